@@ -23,6 +23,12 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.secrets import digest, scan
+
+    return digest(scan(_table(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.exact import exact_groups
 
@@ -41,11 +47,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.mixing import mix, taken
+
+    return taken(mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pii import digest, scan
+
+    return digest(scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
+    "op4_secrets": op4_secrets,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op8_decontamination": op8_decontamination,
+    "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {
@@ -54,4 +75,19 @@ ORACLE: dict[str, str] = {
         select doc_id, max(doc_id) over (partition by x) as keep_id, count(*) over (partition by x) as group_size,
                doc_id = max(doc_id) over (partition by x) as kept, sha256(x) as text_sha256
         from t""",
+    "op9_mixing": r"""
+        with d as (select doc_id, source, md5('17:' || cast(doc_id as varchar)) as h,
+                          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+        s as (select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) as n from d group by source),
+        w as (select *, case (n - 1) % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as w from s),
+        l as (select *, (source_size * 2)::double as cap, (source_size * 2)::double / w as lv, sum(source_size) over () * 1.5::double as t from w),
+        f as (select *, coalesce(sum(cap) over (order by lv, n rows between unbounded preceding and 1 preceding), 0)
+                        + lv * sum(w) over (order by lv, n rows between current row and unbounded following) <= t as capped from l),
+        g as (select *, case when capped then cap else (t - sum(case when capped then cap else 0 end) over ()) * w
+                        / sum(case when capped then 0 else w end) over () end as target from f),
+        p as (select source, source_size, target, case when source_size > 0 then least(2, floor(target / source_size))::bigint else 0 end as k from g),
+        r as (select *, greatest(0, round(target)::bigint - k * source_size) as rest from p),
+        o as (select d.*, coalesce(sum(size) over (partition by source order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as c from d)
+        select o.doc_id, o.size, r.source_size, r.target, (k * size + greatest(0, least(size, rest - c)))::bigint as taken
+        from o join r on o.source is not distinct from r.source""",
 }
