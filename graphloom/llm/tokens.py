@@ -37,8 +37,8 @@ END_ID = 2
 LENGTH = 2048
 #: Sequences in a batch, and batches in a file (64 MiB of two-byte ids).
 BATCH, FILE_BATCHES = 256, 64
-#: Pieces that a worker remembers.
-CACHE = 400_000
+#: Bytes of text encoded at a time, and pieces that a worker remembers.
+CHUNK_BYTES, CACHE = 1 << 20, 300_000
 _UNSAFE = re.compile(r"\s ")
 _EDGE = re.compile(r"(?<=\S)(?= )")
 
@@ -176,12 +176,20 @@ def write_sequences(docs: DataFrame, tokenizer: str, uri: str, length: int = LEN
             if writer is None:
                 part = batch["part"][0].as_py()
                 writer = SequenceWriter(uri, part, length, wide)
-            ids = [x + end for x in encoder([x.decode() for x in utf8(batch["text"])])]
-            writer.add(np.frombuffer(b"".join(ids), "<u4"))
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
+            texts, lengths, begin = utf8(batch["text"]), [], 0
+            while begin < len(texts):  # a few MB at a time: the pieces of a text take many times its size
+                stop, size = begin, 0
+                while stop < len(texts) and (stop == begin or size + len(texts[stop]) <= CHUNK_BYTES):
+                    size += len(texts[stop])
+                    stop += 1
+                ids = [x + end for x in encoder([x.decode() for x in texts[begin:stop]])]
+                writer.add(np.frombuffer(b"".join(ids), "<u4"))
+                lengths += [len(x) // 4 for x in ids]
+                begin = stop
+            counts = np.array(lengths, np.int64)
             first = n + np.cumsum(counts) - counts
             n += int(counts.sum())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.full(len(ids), part, np.int32)), pa.array(first), pa.array(counts)], names=["doc_id", "part", "at", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.full(len(counts), part, np.int32)), pa.array(first), pa.array(counts)], names=["doc_id", "part", "at", "n_tokens"])
         if writer is not None:
             writer.close()
 
