@@ -17,6 +17,18 @@ def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.lm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.jaccard import components
+
+    return components(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.tokens import token_output
 
@@ -66,6 +78,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_token_output": op3_token_output,
     "op4_secrets": op4_secrets,
     "op5_exact_dedup": op5_exact_dedup,
