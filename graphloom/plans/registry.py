@@ -1,4 +1,6 @@
 """All registered queries of the core engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from graphloom.plans import graph_queries
+
+QUERIES: dict = {**graph_queries.QUERIES}
+ORACLE: dict = {**graph_queries.ORACLE}
