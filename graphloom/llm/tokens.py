@@ -18,6 +18,7 @@ gives no files and an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -38,7 +39,9 @@ LENGTH = 2048
 #: Sequences in a batch, and batches in a file (64 MiB of two-byte ids).
 BATCH, FILE_BATCHES = 256, 64
 #: Bytes of text encoded at a time, and pieces that a worker remembers.
-CHUNK_BYTES, CACHE = 1 << 20, 300_000
+CHUNK_BYTES, CACHE = 2 << 20, 1_500_000
+#: Marks that may follow a word.
+MARKS = ".,;:!?*#$%&|"
 _UNSAFE = re.compile(r"\s ")
 _EDGE = re.compile(r"(?<=\S)(?= )")
 
@@ -53,47 +56,65 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    The tokenizer's first step never joins characters across a blank that follows a non-blank, so
-    a text's ids are those of its pieces cut there; pieces repeat, and each is encoded once.  That
-    holds for byte-level BPE files without normaliser or prefix blank; for others, and for texts
-    that hold the string of an added token, the whole text is encoded at once.
+    The tokenizer's first step never joins characters across a blank that follows a non-blank, nor a
+    letter with a mark, so a text's ids are those of its pieces cut there; pieces repeat, and each is
+    encoded once.  That holds for byte-level BPE files without normaliser or prefix blank; for
+    others, and for texts that hold the string of an added token, the whole text is encoded at once.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        import json
-
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # pieces at the head of a text, and marks
+        self.rest: dict[str, bytes] = {}  # pieces after a blank, without it
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, known: dict[str, bytes], pieces: list[str], before: str) -> None:
+        got = self.tokenizer.encode_batch_fast([before + x for x in pieces], add_special_tokens=False)
+        known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(pieces, got, strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cache, cut = self.cache, []
-        if len(cache) > CACHE:
-            cache.clear()
-        new: dict[str, None] = {}
+        if len(self.rest) > CACHE:
+            self.rest.clear()
+            self.heads.clear()
+        cut: list[list[str] | None] = []
+        missing: set[str] = set()
         for text in texts:
             if not self.by_piece or any(x in text for x in self.added):
                 cut.append(None)
                 continue
             if _UNSAFE.search(text):
                 pieces = _EDGE.split(text)
+                pieces = [pieces[0], *(x[1:] for x in pieces[1:])]
             else:
                 pieces = text.split(" ")
-                pieces[1:] = [" " + x for x in pieces[1:]]
-            for x in pieces:
-                if x not in cache:
-                    new[x] = None
             cut.append(pieces)
-        fresh = list(new)
-        for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            cache[x] = np.array(e.ids, "<u4").tobytes()
-        return [self.whole(t) if p is None else b"".join(map(cache.__getitem__, p)) for t, p in zip(texts, cut, strict=True)]
+            missing.update(pieces[1:])
+        missing.difference_update(self.rest)
+        stems = {x: x.rstrip(MARKS) for x in missing}
+        marked = {x: t for x, t in stems.items() if t != x and t.isalpha()}
+        self._learn(self.rest, [x for x in {*(missing - marked.keys()), *marked.values()} if x not in self.rest], " ")
+        ends = {x[len(t) :] for x, t in marked.items()}
+        firsts = {p[0] for p in cut if p is not None}
+        self._learn(self.heads, [x for x in ends | firsts if x not in self.heads], "")
+        for x, t in marked.items():
+            self.rest[x] = self.rest[t] + self.heads[x[len(t) :]]
+        get = self.rest.__getitem__
+        out = [self.whole(t) if p is None else self.heads[p[0]] + b"".join(map(get, p[1:])) for t, p in zip(texts, cut, strict=True)]
+        for x in marked:  # quickly made again; the memory is for words
+            del self.rest[x]
+        return out
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder; its pieces serve all tasks that the worker runs."""
+    return Encoder(path)
 
 
 class SequenceWriter:
@@ -168,7 +189,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, uri: str, length: int = LEN
     wide = _tokenizer(tokenizer).get_vocab_size() > 65536 or end_id > 65535
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, n = Encoder(tokenizer), None, 0
+        encoder, writer, n = _encoder(tokenizer), None, 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             if not batch.num_rows:
