@@ -34,11 +34,11 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("id", zero("degree_in").alias("degree_in"), zero("degree_out").alias("degree_out"), F.when(F.col("n") > 1, both / (F.col("n") - 1)).otherwise(0.0).alias("degree_centrality"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, weighted: bool = True, cut: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, weighted: bool = True) -> DataFrame:
     """id, pagerank.  Dangling mass is spread evenly; with tolerance 0 all rounds run.
 
-    Edges stay hash-partitioned by source in a written table; each round is one join and one aggregate, and every ``cut`` rounds the
-    ranks are written to the shared folder.  A relation subset is a filter on edges before the call.
+    Shares are a written table; each round is one join and one aggregate, and its ranks are written to the shared folder, since the
+    next round reads them three times.  A relation subset is a filter on edges before the call.
     """
     spark = nodes.sparkSession
     where = shared_dir(spark)
@@ -59,10 +59,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         lost = ranks.where("not sends").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
         value = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
         new = ranks.join(given, ranks["id"] == given["target"], "left").join(F.broadcast(lost)).select("id", "sends", value.alias("pagerank"), F.abs(value - F.col("pagerank")).alias("moved"))
-        if k % cut == 0 or k == rounds:
-            new = written(new, f"{where}/{k}")
-            if tolerance and (new.agg(F.sum("moved")).first()[0] or 0.0) < n * tolerance:
-                return new.select("id", "pagerank")
+        new = written(new, f"{where}/{k}")
+        if tolerance and k % 5 == 0 and (new.agg(F.sum("moved")).first()[0] or 0.0) < n * tolerance:
+            return new.select("id", "pagerank")
         ranks = new.select("id", "sends", "pagerank")
     return ranks.select("id", "pagerank")
 
