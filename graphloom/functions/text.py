@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Words that carry no topic.
 STOP_WORDS = (
@@ -24,7 +25,7 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(out, r"[ .]", "_")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode composition; the one step of preprocessing that Spark has no function for."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -265,7 +266,7 @@ def best_titles(queries: DataFrame, papers: DataFrame, least: float = 0.6) -> Da
     return scored.groupBy("query_id").agg(F.max_by(F.struct("paper_id", "score"), F.struct("score", -F.col("paper_id"))).alias("b")).select("query_id", "b.paper_id", "b.score")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _redecoded(texts: pd.Series) -> pd.Series:
     def forms(t):
         if t is None:

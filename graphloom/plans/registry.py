@@ -1,6 +1,6 @@
 """All registered queries of the core engine and their SQL."""
 
-from graphloom.plans import graph_queries
+from graphloom.plans import graph_queries, text_queries
 
-QUERIES: dict = {**graph_queries.QUERIES}
-ORACLE: dict = {**graph_queries.ORACLE}
+QUERIES: dict = {**graph_queries.QUERIES, **text_queries.QUERIES}
+ORACLE: dict = {**graph_queries.ORACLE, **text_queries.ORACLE}

@@ -84,6 +84,8 @@ def with_tables(sql: str) -> str:
     body = sql.strip()
     if not head:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {head}, {body[5:]}"
     return f"with {head} {body}"
