@@ -22,6 +22,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -72,11 +73,11 @@ class Encoder:
         self.rest: dict[str, bytes] = {}  # pieces after a blank, without it
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, known: dict[str, bytes], pieces: list[str], before: str) -> None:
         got = self.tokenizer.encode_batch_fast([before + x for x in pieces], add_special_tokens=False)
-        known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(pieces, got, strict=True))
+        known.update((x, array("I", e.ids).tobytes()) for x, e in zip(pieces, got, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.rest) > CACHE:
