@@ -86,7 +86,7 @@ def _(s, d):
     return rows.select("doc_id", T.abstract(F.col("index")).alias("abstract"))
 
 
-@query("b11_tokenize", f"select doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), w -> length(w) > 2 and w not in ({STOP})), ' ') as tokens from documents")
+@query("b11_tokenize", f"select doc_id, array_to_string([w for w in regexp_extract_all(lower(text), '[a-z0-9]+') if length(w) > 2 and w not in ({STOP})], ' ') as tokens from documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
 
@@ -160,7 +160,7 @@ def _(s, d):
 @query("b22_sheet_grid", "select 'f' as file, l_suppkey % 7 as sheet, l_linenumber as row, '| ' || string_agg(x, ' | ' order by c) || ' |' as line from (select l_suppkey, l_linenumber, c, case when c = 1 then 'v' || max(l_partkey) else 'w' end as x from lineitem, (select unnest([1, 2]) as c) where l_suppkey < 7 group by 1, 2, 3) group by 2, 3")
 def _(s, d):
     base = table(s, d, "lineitem").where("l_suppkey < 7").groupBy(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("row")).agg(F.max("l_partkey").alias("p"))
-    cells = base.select(F.lit("f").alias("file"), (F.col("k") % 7).alias("sheet"), "row", F.explode(F.array(F.struct(F.lit(1).alias("col"), F.concat(F.lit("v"), "p").alias("value")), F.struct(F.lit(2), F.lit("w")))).alias("c")).select("file", "sheet", "row", "c.col", "c.value")
+    cells = base.select(F.lit("f").alias("file"), (F.col("k") % 7).alias("sheet"), "row", F.explode(F.array(F.struct(F.lit(1).alias("col"), F.concat(F.lit("v"), "p").alias("value")), F.struct(F.lit(2).alias("col"), F.lit("w").alias("value")))).alias("c")).select("file", "sheet", "row", "c.col", "c.value")
     none = cells.select("file", "sheet", F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("row").alias("r2"), F.col("col").alias("c2")).where("false")
     return T.sheet_grid(cells, none)
 
@@ -336,7 +336,7 @@ def _(s, d):
 
 @query("l17_ledger", f"with {RANKED} select rank, paper_id, case when paper_id % 3 = 0 then 'failed' else 'not_checked' end as status from rk where profile = 'balanced' and rank <= 25")
 def _(s, d):
-    notes = table(s, d, "papers").where("paper_id % 3 = 0").select("paper_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("failed").alias("status")), F.struct(F.lit(1), F.lit("reproduced")))).alias("x")).select("paper_id", "x.*")
+    notes = table(s, d, "papers").where("paper_id % 3 = 0").select("paper_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("failed").alias("status")), F.struct(F.lit(1).alias("pos"), F.lit("reproduced").alias("status")))).alias("x")).select("paper_id", "x.*")
     return ranking.ledger(ranking.ranked(ranking.combined(cheap(s, d)[1])), notes)
 
 
@@ -444,7 +444,7 @@ def vectors(s, d):
     return similarity.unit(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
 
 
-@query("d3_unit_vectors", "select vec_id as id, round(sqrt(list_sum(list_transform(embedding, x -> x::double * x::double))) , 4) > 0 as positive, 1.0::double as norm from embeddings")
+@query("d3_unit_vectors", "select vec_id as id, round(sqrt(list_sum([x::double * x::double for x in embedding])) , 4) > 0 as positive, 1.0::double as norm from embeddings")
 def _(s, d):
     v = vectors(s, d)
     raw = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), (F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x) > 0).alias("positive"))
@@ -459,7 +459,7 @@ def _(s, d):
 
 @query("d4_lsh_pairs")
 def _(s, d):
-    return similarity.lsh_pairs(vectors(s, d), 0.9).select("a", "b")
+    return similarity.lsh_pairs(vectors(s, d), 0.6).select("a", "b")
 
 
 def text_duplicates(s, d):
@@ -548,7 +548,7 @@ def _(s, d):
     return files.read_triples(s, where)
 
 
-@query("a12_clusters", "select id, lpad(cluster_id::varchar, length((select max(cluster_id) from nodes)::varchar), '0') as cluster from nodes")
+@query("a12_clusters", "select id, lpad(cluster_id::varchar, length((select max(cluster_id) from nodes)::varchar)::integer, '0') as cluster from nodes")
 def _(s, d):
     where = shared_dir(s)
     files.write_clusters(table(s, d, "nodes").select("id", "cluster_id"), where)
