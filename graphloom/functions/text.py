@@ -60,6 +60,26 @@ def slices(docs: DataFrame, most: int, id_col: str = "id") -> DataFrame:
 BOUNDARIES = {"section": (r"\n#{1,6} [^\n]*\n", 1), "paragraph": (r"\n\s*\n", 2), "sentence": (r"[.!?]\s+", 3), "phrase": (r"[,;:]\s+", 4), "word": (r"\s+", 5)}
 
 
+def _ends(pieces: Column, hits: Column) -> Column:
+    """The ends of matches, from the pieces between them and the matches."""
+    upto = lambda a, n: F.length(F.array_join(F.slice(a, F.lit(1), n), ""))
+    return F.transform(hits, lambda _, i: upto(pieces, i + 1) + upto(hits, i + 1))
+
+
+def _scored(low: Column, target: Column, weight: int):
+    def score(e: Column) -> Column:
+        at = low + e
+        return F.struct((weight * F.abs(at - target) * F.when(at > target, 0.9).otherwise(1.0)).cast("double").alias("score"), at.alias("at"))
+
+    return score
+
+
+def _marked(pieces: Column, hits: Column, k: int, marker: str, most: int) -> Column:
+    """The first matches of a marker as (k, start, n, marker)."""
+    upto = lambda a, n: F.length(F.array_join(F.slice(a, F.lit(1), n), ""))
+    return F.transform(F.slice(hits, 1, most), lambda h, i: F.struct(F.lit(k).alias("k"), (upto(pieces, i + 1) + upto(hits, i)).alias("start"), F.length(h).alias("n"), F.lit(marker).alias("marker")))
+
+
 def soft_boundary(text: Column, target: Column, shift: int) -> Column:
     """The best cut (characters) within ``shift`` of target: least weight * distance, 0.9 of it after the target; the target if there is none."""
     low = F.greatest(target - shift, F.lit(0))
@@ -67,14 +87,7 @@ def soft_boundary(text: Column, target: Column, shift: int) -> Column:
     found = []
     for pattern, weight in BOUNDARIES.values():
         pieces, hits = F.split(near, pattern, -1), F.regexp_extract_all(near, F.lit(pattern), 0)
-        ends = F.transform(hits, lambda _, i, p=pieces, h=hits: F.length(F.array_join(F.slice(p, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(h, F.lit(1), i + 1), "")))
-
-        def score(e: Column, weight: int = weight) -> Column:
-            at = low + e
-            distance = F.abs(at - target)
-            return F.struct((weight * distance * F.when(at > target, 0.9).otherwise(1.0)).cast("double").alias("score"), at.alias("at"))
-
-        found.append(F.filter(F.transform(ends, score), lambda s: F.abs(s["at"] - target) <= shift))
+        found.append(F.filter(F.transform(_ends(pieces, hits), _scored(low, target, weight)), lambda s: F.abs(s["at"] - target) <= shift))
     return F.coalesce(F.array_min(F.concat(*found))["at"], target)
 
 
@@ -139,12 +152,7 @@ def evidence_spans(docs: DataFrame, markers: list[str], id_col: str = "id", text
     for k, marker in enumerate(markers):
         pattern = "(?i)(?<![0-9a-z])" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in marker) + "s?(?![0-9a-z])"
         pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-        spans = F.transform(
-            F.slice(hits, 1, most),
-            lambda h, i, p=pieces, hs=hits, k=k, marker=marker: F.struct(
-                F.lit(k).alias("k"), (F.length(F.array_join(F.slice(p, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(hs, F.lit(1), i), ""))).alias("start"), F.length(h).alias("n"), F.lit(marker).alias("marker")
-            ),
-        )
+        spans = _marked(pieces, hits, k, marker, most)
         every.append(F.when(F.contains(F.lower(text), F.lit(marker.lower())), spans).otherwise(F.array().cast("array<struct<k:int,start:int,n:int,marker:string>>")))
     picked = rows.select(id_col, "_t", F.posexplode(F.slice(F.array_sort(F.concat(*every)), 1, most)).alias("_at", "s"))
     start, end = F.col("s.start"), F.col("s.start") + F.col("s.n")
