@@ -20,18 +20,24 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 4 << 20
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Unsigned integers of width bytes as byte planes, which compress in the shuffle."""
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def from_planes(raw: bytes, width: int) -> np.ndarray:
+    n = len(raw) // width
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel()
+
+
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences and 32-bit counts, each as byte planes, which compress in the shuffle."""
-    deltas = np.diff(keys, prepend=np.uint64(0))
-    planes = deltas.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return planes.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Sorted 64-bit keys as differences and a block's own counts, both as byte planes."""
+    return planes(np.diff(keys, prepend=np.uint64(0)), 8) + planes(counts, 4)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) // 12
-    raw = np.frombuffer(blob, np.uint8)
-    deltas = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(deltas, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(from_planes(blob[: 8 * n], 8), dtype=np.uint64), from_planes(blob[8 * n :], 4).astype(np.int64)
 
 
 def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -47,8 +53,11 @@ def blocked(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
 
 
 def totals(rows: DataFrame, blocks: int, items: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """For each block packed (key, total) of the items it shares with others; items gives a block's sorted keys and counts."""
-    parts = blocks // 2 + 1
+    """(block, part, blob): the totals of a block's items in a range, in the order of its keys; items gives a block's sorted keys and counts.
+
+    An answer holds counts alone, since the block knows its keys; ranges where all totals are the block's own have none.
+    """
+    parts = parts_of(blocks)
 
     def send(table: pa.Table) -> pa.Table:
         keys, counts = items(table)
@@ -59,38 +68,40 @@ def totals(rows: DataFrame, blocks: int, items: Callable[[pa.Table], tuple[np.nd
         return pa.table({"part": pa.array(used, pa.int64()), "block": pa.array([block] * len(used), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        block = table["block"].to_pylist()
+        block, part = table["block"].to_pylist(), table["part"][0].as_py()
         got = [unpack(b) for b in table["blob"].to_pylist()]
-        size = np.array([len(k) for k, _ in got])
         keys, counts = np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got])
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
-        heads = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
-        group = np.cumsum(heads) - 1
-        total = np.bincount(group, weights=counts[order]).astype(np.int64) if len(ranked) else np.zeros(0, np.int64)
+        group = np.cumsum(np.concatenate(([True], ranked[1:] != ranked[:-1]))) - 1
+        total = np.bincount(group, weights=counts[order]).astype(np.int64)
         whole = np.empty(len(keys), np.int64)
         whole[order] = total[group]
-        out_block, out_blob = [], []
-        begin = 0
-        for b, n in zip(block, size.tolist(), strict=True):
-            own = slice(begin, begin + n)
-            more = whole[own] != counts[own]
-            if more.any():
+        width = 4 if int(whole.max()) < 1 << 32 else 8
+        out_block, out_blob, begin = [], [], 0
+        for b, (k, c) in zip(block, got, strict=True):
+            own = whole[begin : begin + len(k)]
+            if (own != c).any():
                 out_block.append(b)
-                out_blob.append(pack(keys[own][more], whole[own][more]))
-            begin += n
-        return pa.table({"block": pa.array(out_block, pa.int64()), "blob": pa.array(out_blob, pa.binary())})
+                out_blob.append(planes(own, width))
+            begin += len(k)
+        return pa.table({"block": pa.array(out_block, pa.int64()), "part": pa.array([part] * len(out_block), pa.int64()), "blob": pa.array(out_blob, pa.binary())})
 
     sent = rows.groupBy("block").applyInArrow(send, "part bigint, block bigint, blob binary")
-    return sent.groupBy("part").applyInArrow(answer, "block bigint, blob binary")
+    return sent.groupBy("part").applyInArrow(answer, "block bigint, part bigint, blob binary")
+
+
+def parts_of(blocks: int) -> int:
+    return blocks // 2 + 1
 
 
-def with_answers(keys: np.ndarray, counts: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+def with_answers(keys: np.ndarray, counts: np.ndarray, answers: pa.Table, blocks: int) -> np.ndarray:
     """The totals of a block's items: its own counts, raised by the answers."""
     out = counts.astype(np.int64).copy()
-    for blob in blobs:
-        k, c = unpack(blob)
-        out[np.searchsorted(keys, k)] = c
+    cut = ranges(keys, parts_of(blocks))
+    for part, blob in zip(answers["part"].to_pylist(), answers["blob"].to_pylist(), strict=True):
+        n = int(cut[part + 1] - cut[part])
+        out[cut[part] : cut[part + 1]] = from_planes(blob, len(blob) // n)
     return out
 
 

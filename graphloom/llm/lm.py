@@ -177,7 +177,7 @@ def score(docs: DataFrame, training: Column | None = None, order: int = ORDER, p
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         kinds, first, keys, own = read(table)
-        sums = C.with_answers(keys, own, answers["blob"].to_pylist())
+        sums = C.with_answers(keys, own, answers, blocks)
         automaton = Automaton(kinds, keys, sums, n, v, prior)
         count = sums[automaton.symbols]
         ends = first[:-1]
