@@ -8,13 +8,14 @@ and can be shared by nobody, so only the rest of that prefix, usually nothing, l
 
 1. Documents with equal sets fall into one class (128-bit hash of the set).
 2. Prefix n-grams that two or more classes hold make groups of classes; each class first goes
-   to one of its groups, where a prefix tree over whole sets is built and traversed: depth first,
-   carrying the overlap that all sets below a node have in common, leaving a subtree when the
-   overlap plus what remains of either side cannot reach the bound, or when its sets are already
-   connected.  Groups are cut at ``GROUP`` classes here; it is only the first pass.
+   to one of its groups, then to another, where a prefix tree over whole sets is built and
+   traversed: depth first, carrying the overlap that all sets below a node have in common, leaving
+   a subtree when the overlap plus what remains of either side cannot reach the bound, or when its
+   sets are already connected.  Groups are cut at ``GROUP`` classes here; it is only the first pass.
 3. Components of the links contract the classes.  Only n-grams whose classes lie in more than one
    component can still yield a link; for these every pair of classes meets once in a prefix
-   tree, groups with equal members once in all, and large groups block by block.
+   tree, groups with equal members once in all, large groups block by block, after a look at the
+   prefixes alone has left out the classes without a partner of fitting size and overlap.
 4. Components of all links give each class, and so each document, its smallest document.
 
 Only connectivity is computed, so a group of copies costs links in proportion to its size; no
@@ -172,7 +173,7 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         flat, first = sets_of(utf8(table["text"]), width)
         keys, number, own = np.unique(flat, return_inverse=True, return_counts=True)
-        total = C.with_answers(keys, own, answers["blob"].to_pylist())[number]
+        total = C.with_answers(keys, own, answers, blocks)[number]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat + np.uint64(1)))))
         more = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(0x5851F42D4C957F2D)))))
         ns, cls, leads, shared = [], [], [], []
@@ -213,36 +214,116 @@ def _links(rows: DataFrame, keys: list[str], sided: bool) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, "a binary, b binary")
 
 
-def class_links(sets: DataFrame, where: str) -> DataFrame:
-    """From the rows of document_sets: (cls, label) for classes in a component of two or more."""
-    classes = sets.where("lead > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("shared").alias("shared"))
-    classes = written(classes, f"{where}/classes")
-    heads = classes.select("cls", F.explode(F.slice("shared", F.lit(1), F.col("lead"))).alias("gram"))
-    several = heads.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    heads = written(heads.join(several, "gram"), f"{where}/heads")
-    # First pass: each class in one group of its own choice, cut to bounded size.
-    home = heads.groupBy("cls").agg(F.min(F.struct(F.xxhash64("gram").alias("h"), "gram", "members")).alias("x"))
-    home = home.select("cls", F.col("x.gram").alias("gram"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("x.members") / GROUP)).alias("part"))
-    first = _links(home.join(classes, "cls").withColumn("label", F.col("cls")), ["gram", "part"], False)
-    first = written(first, f"{where}/first")
-    labels = connected_components(first).withColumnRenamed("node", "cls")
-    labels = written(classes.select("cls").join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label")), f"{where}/labels")
-    # Second pass: n-grams between components, each distinct set of members once.
+def least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many n-grams the prefixes of two linked sets of n and m have in common at least.
+
+    Of the k common n-grams that come first in the order, the k-th is at place k + n - overlap or before in the one set and
+    k + m - overlap in the other, and both prefixes reach the place where k is this bound.
+    """
+    return (3 * (n + m) + 6) // 7 - np.maximum((3 * n + 3) // 4, (3 * m + 3) // 4) + 1
+
+
+def partners(n: np.ndarray, labels: np.ndarray, side: np.ndarray, row: np.ndarray, held: np.ndarray, times: np.ndarray, gram: int) -> np.ndarray:
+    """Which members of the group of ``gram`` may link with another: of another component and side, of fitting size, with enough
+    common prefix n-grams, and ``gram`` the first group in which the two meet.  row, held, times: the members' n-grams and how many
+    n-grams each stands for."""
+    a, b = n[:, None], n[None, :]
+    fits = (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (labels[:, None] != labels[None, :]) & (side[:, None] != side[None, :])
+    if not fits.any():
+        return fits.any(1)
+    symbols, number, holders = np.unique(held, return_inverse=True, return_counts=True)
+    shared = holders > 1
+    place = np.cumsum(shared) - 1
+    use = shared[number]
+    has = np.zeros((len(n), int(shared.sum())), np.float32)
+    has[row[use], place[number[use]]] = np.sqrt(times[use])
+    fits &= np.rint(has @ has.T) >= least_common(a, b)
+    if fits.any():
+        before = (has[:, : int((shared & (symbols < gram)).sum())] > 0).astype(np.float32)
+        fits &= (before @ before.T) == 0
+    return fits.any(1)
+
+
+def _with_partner(rows: DataFrame) -> DataFrame:
+    """The rows (gram, i, j, cls, label, n, held, times, side) that ``partners`` leaves, without n, held and times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows < 2:
+            return table.slice(0, 0).drop_columns(["n", "held", "times"])
+        _, labels = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
+        held = table["held"].combine_chunks()
+        held = held if isinstance(held, pa.Array) else held.chunk(0)
+        times = table["times"].combine_chunks()
+        times = times if isinstance(times, pa.Array) else times.chunk(0)
+        length = np.diff(held.offsets.to_numpy())
+        keep = partners(
+            table["n"].to_numpy(), labels, table["side"].to_numpy(), np.repeat(np.arange(table.num_rows), length),
+            held.flatten().to_numpy(), times.flatten().to_numpy().astype(np.float64), table["gram"][0].as_py(),
+        )
+        return table.filter(pa.array(keep)).drop_columns(["n", "held", "times"])
+
+    return rows.groupBy("gram", "i", "j").applyInArrow(run, "gram bigint, i bigint, j bigint, cls binary, label binary, side bigint")
+
+
+def _open(heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (gram, cls, label) of n-grams whose classes lie in more than one component, with members and a 128-bit fingerprint (x, y) of these."""
     marked = heads.select("gram", "cls").join(labels, "cls")
-    open_ = marked.groupBy("gram").agg(
+    between = marked.groupBy("gram").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"),
         F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"),
     ).where("lo <> hi")
-    once = open_.groupBy("members", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "members")
-    parts = F.ceil(F.col("members") / GROUP)
-    rows = marked.join(once, "gram").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("cls"), parts)})
-    # Blocks i and j of a large group meet in group (gram, i, j); small groups are one block.
-    met = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j"))))
-    rows = rows.withColumn("p", met).select("gram", "p.i", "p.j", "cls", "label", F.when(F.col("p.i") == F.col("p.j"), F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(2))).otherwise(F.col("part")).alias("side"), (F.col("p.i") == F.col("p.j")).alias("inner"))
-    rest = rows.join(classes.select("cls", "n", "shared"), "cls")
-    second = _links(rest.where("inner"), ["gram", "i", "j"], False).unionByName(_links(rest.where("not inner"), ["gram", "i", "j"], True))
-    second = written(second, f"{where}/second")
-    return connected_components(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(second)).withColumnRenamed("node", "cls")
+    return marked.join(between.drop("lo", "hi"), "gram")
+
+
+def class_links(sets: DataFrame, where: str) -> DataFrame:
+    """From the rows of document_sets: (cls, label) for classes in a component of two or more."""
+    some = sets.where("lead > 0")
+    heads = some.groupBy("cls").agg(F.first(F.slice("shared", F.lit(1), F.col("lead"))).alias("lead_grams")).select("cls", F.explode("lead_grams").alias("gram"))
+    several = heads.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
+    heads = written(heads.join(several, "gram").select("gram", "cls"), f"{where}/heads")
+    classes = some.join(heads.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
+    classes = written(classes, f"{where}/classes")
+    labels = classes.select("cls", F.col("cls").alias("label"))
+    links = None
+    # First pass: each class in one group, the smallest and then the largest it is in, cut to bounded size.
+    for turn, pick in enumerate((F.min, F.max)):
+        home = _open(heads, labels).groupBy("cls", "label").agg(pick(F.struct("members", F.xxhash64("gram").alias("h"), "gram")).alias("x"))
+        home = home.select("cls", "label", F.col("x.gram").alias("gram"), F.ceil(F.col("x.members") / GROUP).alias("parts"))
+        home = written(home, f"{where}/home{turn}")
+        # Three classes of a group that is cut are in all its parts, so that a group of near copies stays in one piece.
+        cut = home.where("parts > 1").groupBy("gram").agg(F.max("parts").alias("parts"), *[F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "label")).alias(f"l{k}") for k in range(3)])
+        heads_of = cut.select("gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "l0", "l1", "l2").select("gram", "part", F.explode(F.array("l0", "l1", "l2")).alias("l"))
+        home = home.select("cls", "label", "gram", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
+        home = home.unionByName(heads_of.select("l.cls", "l.label", "gram", "part")).distinct()
+        found = written(_links(home.join(classes, "cls"), ["gram", "part"], False), f"{where}/links{turn}")
+        links = found if links is None else links.unionByName(found)
+        names = connected_components(links).withColumnRenamed("node", "cls")
+        labels = written(classes.select("cls").join(names, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label")), f"{where}/labels{turn}")
+    # Second pass: what is left between components, each distinct set of members once.
+    left = written(_open(heads, labels), f"{where}/open")
+    once = left.groupBy("members", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("times"))
+    rows = left.join(once.select("gram", "times"), "gram").select("gram", "times", "members", "cls", "label")
+    held = rows.groupBy("cls").agg(F.collect_list(F.struct("gram", "times")).alias("h")).select("cls", F.col("h.gram").alias("held"), F.col("h.times").alias("times"))  # at most a prefix
+    rows = rows.drop("times")
+    # The component with the most members of a group, and how many others there are.
+    main = rows.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "label")).alias("m")).select("gram", F.col("m.c").alias("c"), F.col("m.label").alias("main"))
+    rows = rows.join(main, "gram").join(held, "cls").join(classes.select("cls", "n"), "cls").withColumn("own", F.xxhash64("cls"))
+    # A group mostly of one component: its parts meet all others, and not each other.  Else blocks i and j of a large group meet in
+    # group (gram, i, j).  Small groups are one part.
+    lop = (F.col("members") - F.col("c")) <= GROUP
+    parts = F.when(lop, F.ceil(F.col("c") / GROUP)).otherwise(F.ceil(F.col("members") / GROUP))
+    rows = rows.withColumn("lop", lop).withColumn("parts", parts).withColumn("part", F.pmod("own", F.col("parts")))
+    each = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    pair = lambda i, j: F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"))
+    met = (
+        F.when(F.col("lop") & (F.col("label") == F.col("main")), F.array(pair(F.col("part"), F.col("part"))))
+        .when(F.col("lop"), F.transform(each, lambda k: pair(k, k)))
+        .otherwise(F.transform(each, lambda k: pair(F.least(k, "part"), F.greatest(k, "part"))))
+    )
+    rows = rows.withColumn("p", F.explode(met)).select("gram", "p.i", "p.j", "cls", "label", "n", "held", "times", F.when(F.col("p.i") == F.col("p.j"), F.monotonically_increasing_id()).otherwise(F.col("part")).alias("side"))
+    rows = _with_partner(rows)
+    second = written(_links(rows.join(classes, "cls"), ["gram", "i", "j"], True), f"{where}/links2")
+    return connected_components(links.unionByName(second)).withColumnRenamed("node", "cls")
 
 
 def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
