@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document is there once for each draw, cut where the target ends; draws are shuffled within a task."""
-    return mixing.mixed(docs).sortWithinPartitions("shard", "place").select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@
 
 Everything is DataFrame and SQL functions; reruns agree.  Null or empty texts have size 0 and are
 never drawn; a null source is a source of its own, the last; repeated rows are blocks of their
-own; an empty table gives an empty result; extra columns are kept by ``mix`` and ``mixed``.
+own; an empty table gives an empty result; extra columns, whatever their names, are kept by ``mix`` and ``mixed``.
 """
 
 from __future__ import annotations
@@ -35,14 +35,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """The rows with size (words), a source key that is never null, and the block's place in the random order."""
-    return docs.withColumns(
+    """docs' columns as _row0, _row1, ..., doc_id, size (words), a source key that is never null, and the block's place in the random order."""
+    return docs.select(*[docs[c].alias(f"_row{k}") for k, c in enumerate(docs.columns)], "doc_id", "source", "text").withColumns(
         {
             "size": F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint"),
             "_key": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")),
             "_h": F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
         }
-    )
+    ).drop("source", "text")
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -126,7 +126,7 @@ def splitting_tree(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) ->
 
 
 def mix(docs: DataFrame, levels: int = LEVELS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """All rows with size, source_size, target, and draws: an array of (pass, shard, words)."""
+    """All rows (docs' columns as _row0, _row1, ...) with doc_id, size, source_size, target, and draws: an array of (pass, shard, words)."""
     rows = sized(docs).withColumn("_range", F.substring("_h", 1, RANGE_DIGITS))
     light = rows.select("_key", "_range", "size")
     goal = targets(light, weights, share, cap)
@@ -155,7 +155,7 @@ def mix(docs: DataFrame, levels: int = LEVELS, weights: tuple[int, ...] = WEIGHT
     last = F.when((F.col("size") > 0) & (extra > 0), drawn(F.col("passes"), extra))
     none = F.expr("cast(array() as array<struct<pass:bigint,shard:int,words:bigint>>)")
     draws = F.concat(*[F.coalesce(x, none) for x in (*whole, last)])
-    return out.select(*[F.col(c) for c in docs.columns], "size", "source_size", "target", draws.alias("draws"), "_h")
+    return out.select(*[f"_row{k}" for k in range(len(docs.columns))], "doc_id", "size", "source_size", "target", draws.alias("draws"), "_h")
 
 
 def taken(mixture: DataFrame) -> DataFrame:
@@ -165,13 +165,13 @@ def taken(mixture: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """One row a draw with docs' columns, shard and place: the text is cut where a draw is partial; n_chars follows the text."""
+    """One row a draw with docs' columns, ordered within a task by shard and a hash; the text is cut where a draw is partial, and n_chars follows it."""
     out = mix(docs, levels).withColumn("_d", F.explode("draws"))
-    text = F.when(F.col("_d.words") == F.col("size"), F.col("text")).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("_d.words").cast("int")), "")
-    )
-    out = out.withColumn("text", text).withColumn("shard", F.col("_d.shard"))
+    at = {c: f"_row{k}" for k, c in enumerate(docs.columns)}
+    words = F.regexp_extract_all(at["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    text = F.when(F.col("_d.words") == F.col("size"), F.col(at["text"])).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_d.words").cast("int")), ""))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    place = F.xxhash64(F.lit(SEED), "_h", F.col("_d.pass"))
-    return out.select(*docs.columns, "shard", place.alias("place"))
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    placed = out.select(*[new.get(c, F.col(n)).alias(n) for c, n in at.items()], F.col("_d.shard").alias("_shard"), F.xxhash64(F.lit(SEED), "_h", F.col("_d.pass")).alias("_place"))
+    return placed.sortWithinPartitions("_shard", "_place").select(*[F.col(n).alias(c) for c, n in at.items()])
