@@ -46,14 +46,19 @@ def upsert_graph(changes: DataFrame, path: str, checkpoint: str, keys: list[str]
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Events whose ts can carry a watermark: a time without zone is read in the session's zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def debounced(events: DataFrame, gap: str = "3 seconds", delay: str = "10 seconds", by: str = "event_type") -> DataFrame:
     """O3: one row for each burst: events of a key less than ``gap`` apart."""
-    return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("events")).select(by, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
+    return timed(events).withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("events")).select(by, F.col("w.start").cast("timestamp_ntz").alias("started"), F.col("w.end").cast("timestamp_ntz").alias("ended"), "events")
 
 
 def rollup(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events by type and window."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events")).select(F.col("w.start").alias("started"), "event_type", "events")
+    return timed(events).withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events")).select(F.col("w.start").cast("timestamp_ntz").alias("started"), "event_type", "events")
 
 
 def streamed(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], where: str, files: int = 1) -> DataFrame:
