@@ -284,21 +284,19 @@ def class_links(sets: DataFrame, where: str) -> DataFrame:
     classes = some.join(heads.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
     classes = written(classes, f"{where}/classes")
     labels = classes.select("cls", F.col("cls").alias("label"))
-    links = None
-    # First pass: each class in one group, the smallest and then the largest it is in, cut to bounded size.
-    for turn, pick in enumerate((F.min, F.max)):
-        home = _open(heads, labels).groupBy("cls", "label").agg(pick(F.struct("members", F.xxhash64("gram").alias("h"), "gram")).alias("x"))
-        home = home.select("cls", "label", F.col("x.gram").alias("gram"), F.ceil(F.col("x.members") / GROUP).alias("parts"))
-        home = written(home, f"{where}/home{turn}")
-        # Three classes of a group that is cut are in all its parts, so that a group of near copies stays in one piece.
-        cut = home.where("parts > 1").groupBy("gram").agg(F.max("parts").alias("parts"), *[F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "label")).alias(f"l{k}") for k in range(3)])
-        heads_of = cut.select("gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "l0", "l1", "l2").select("gram", "part", F.explode(F.array("l0", "l1", "l2")).alias("l"))
-        home = home.select("cls", "label", "gram", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
-        home = home.unionByName(heads_of.select("l.cls", "l.label", "gram", "part")).distinct()
-        found = written(_links(home.join(classes, "cls"), ["gram", "part"], False), f"{where}/links{turn}")
-        links = found if links is None else links.unionByName(found)
-        names = connected_components(links).withColumnRenamed("node", "cls")
-        labels = written(classes.select("cls").join(names, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label")), f"{where}/labels{turn}")
+    # First pass: each class in the smallest and in the largest group it is in, cut to bounded size.
+    groups = _open(heads, labels)
+    pick = F.struct("members", F.xxhash64("gram").alias("h"), "gram")
+    home = groups.groupBy("cls", "label").agg(F.min(pick).alias("x0"), F.max(pick).alias("x1")).select("cls", "label", F.explode(F.array("x0", "x1")).alias("x")).distinct()
+    home = written(home.select("cls", "label", F.col("x.gram").alias("gram"), F.ceil(F.col("x.members") / GROUP).alias("parts")), f"{where}/home")
+    # Three classes of a group that is cut are in all its parts, so that a group of near copies stays in one piece.
+    cut = home.where("parts > 1").groupBy("gram").agg(F.max("parts").alias("parts"), *[F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "label")).alias(f"l{k}") for k in range(3)])
+    heads_of = cut.select("gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "l0", "l1", "l2").select("gram", "part", F.explode(F.array("l0", "l1", "l2")).alias("l"))
+    home = home.select("cls", "label", "gram", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
+    home = home.unionByName(heads_of.select("l.cls", "l.label", "gram", "part")).distinct()
+    links = written(_links(home.join(classes, "cls"), ["gram", "part"], False), f"{where}/links")
+    names = connected_components(links).withColumnRenamed("node", "cls")
+    labels = written(classes.select("cls").join(names, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label")), f"{where}/labels")
     # Second pass: what is left between components, each distinct set of members once.
     left = written(_open(heads, labels), f"{where}/open")
     once = left.groupBy("members", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("times"))
