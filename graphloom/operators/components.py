@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from graphloom.functions.shared import shared_dir, written
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 1000) -> DataFrame:
     """(node, label) for every node of an edge; label is the smallest node of its component.
 
-    Each round takes the smallest label among a node and its neighbours and then the label of
-    that label, so the number of rounds is about the logarithm of the longest path.  Each round
-    is a table in the shared folder: a lost executor costs no earlier round.  A null endpoint is
-    no node; self-loops give components of one; repeated edges count once.
+    Each round takes the smallest label among a node and its neighbours, gives it to the node's old
+    label too (so a root follows the least label that its members see), and then takes the label of
+    that label.  The number of rounds is about the logarithm of the longest path, whatever the order
+    of the ids.  Rounds go on until nothing moves; max_rounds is a safety limit that raises.  Each
+    round is a table in the shared folder: a lost executor costs no earlier round.  A null endpoint
+    is no node; self-loops give components of one; repeated edges count once.
     """
     spark = edges.sparkSession
     where = shared_dir(spark)
@@ -23,10 +25,12 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), f"{where}/0")
     for k in range(1, max_rounds + 1):
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        seen = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        hooks = seen.where("low < old").groupBy(F.col("old").alias("root")).agg(F.min("low").alias("hook"))
+        low = seen.join(hooks, F.col("node") == F.col("root"), "left").select("node", "old", F.least("low", F.coalesce("hook", "low")).alias("low"))
         up = labels.select(F.col("node").alias("p"), F.col("label").alias("up"))
         new = written(low.join(up, F.col("low") == F.col("p")).select("node", "old", F.least("low", "up").alias("label")), f"{where}/{k}")
         if new.where("old <> label").limit(1).count() == 0:
             return new.select("node", "label")
         labels = new.select("node", "label")
-    return labels
+    raise RuntimeError(f"connected_components: labels still move after {max_rounds} rounds")

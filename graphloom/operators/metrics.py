@@ -74,11 +74,11 @@ def component_ids(nodes: DataFrame, edges: DataFrame, order: str = "pos") -> Dat
     return named.join(firsts.withColumn("component_id", F.dense_rank().over(Window.orderBy("first")) - 1).select("label", "component_id"), "label").select("id", "component_id")
 
 
-def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame, cost: Column | None = None, max_rounds: int = 200) -> DataFrame:
+def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame, cost: Column | None = None, max_rounds: int = 100_000) -> DataFrame:
     """(src, id, dist, sigma): for every source the distances of all it reaches and the number of shortest paths.
 
     Sources run in parallel: one relaxation round joins the frontier of all sources with the edges.  edges: source, target, and
-    inverse_weight unless cost is given.
+    inverse_weight unless cost is given.  Rounds go on until nothing moves; max_rounds is a safety limit that raises.
     """
     spark = nodes.sparkSession
     where = shared_dir(spark)
@@ -93,8 +93,8 @@ def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame, cost: Colu
         frontier = state.where("fresh").select("src", "id", "dist")
         state = state.select("src", "id", "dist")
         if frontier.limit(1).count() == 0:
-            break
-    return state
+            return state
+    raise RuntimeError(f"distances: paths still get shorter after {max_rounds} rounds")
 
 
 def _shortest_dag(dist: DataFrame, edges: DataFrame, cost: Column) -> DataFrame:
@@ -149,7 +149,7 @@ def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(found, "id", "left").select("id", F.coalesce(value, F.lit(0.0)).alias("out_closeness"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(id, scc): scc is the smallest node of the strongly connected component.
 
     Rounds of colouring: every open node takes the smallest id that reaches it; nodes that reach their colour's root inside the colour
@@ -197,10 +197,12 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100)
         open_ = written(open_.join(member, "id", "left_anti"), f"{where}/open{serial}")
         if open_.limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"strong_components: nodes are still open after {max_rounds} rounds")
     return done
 
 
-def prerequisites(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def prerequisites(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """id, prerequisite_depth (longest chain of components before it) and learning_effort (difficulties of its own component
     plus the largest effort of a component before it; difficulty 3 where missing).  edges: prerequisite (source) of (target)."""
     spark = nodes.sparkSession
@@ -217,6 +219,8 @@ def prerequisites(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) ->
         state = new.drop("moved")
         if new.where("moved").limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"prerequisites: depths still move after {max_rounds} rounds")
     return scc.join(state, "scc").select("id", F.col("depth").alias("prerequisite_depth"), F.col("effort").alias("learning_effort"))
 
 

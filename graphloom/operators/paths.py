@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from graphloom.functions.shared import shared_dir, written
 
 
-def easiest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, alpha: float = 1.0, beta: float = 0.0, sigma: float = 0.0, max_rounds: int = 200) -> DataFrame:
+def easiest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, alpha: float = 1.0, beta: float = 0.0, sigma: float = 0.0, max_rounds: int = 100_000) -> DataFrame:
     """(step, id, cost) from start to goal; an edge costs alpha + beta * difficulty(target) + sigma * (1 - weight).
 
     With beta and sigma 0 it is the path of the fewest steps.  Costs relax round by round; of equal costs the smaller predecessor wins.
-    No path: no row.
+    No path: no row.  Rounds go on until no cost falls; max_rounds is a safety limit that raises.
     """
     where = shared_dir(edges.sparkSession)
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
@@ -32,6 +32,8 @@ def easiest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, alph
         frontier = new.where("fresh").join(reached, how="left").where("best is null or cost < best").select("id", "cost", "pred")
         if frontier.limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"easiest_path: costs still fall after {max_rounds} rounds")
     spark = edges.sparkSession
     trace, at = [], goal
     while at is not None:  # one look-up a step of the path

@@ -101,7 +101,7 @@ def without_edge(nodes: DataFrame, edges: DataFrame, node_type: str, edge_type:
     return nodes.where(F.col("type") == node_type).select("id").join(own, "id", "left_anti")
 
 
-def has_cycle(edges: DataFrame, max_rounds: int = 1000) -> bool:
+def has_cycle(edges: DataFrame, max_rounds: int = 100_000) -> bool:
     """Whether the directed edges hold a cycle: nodes that nothing points at are peeled off until none is left or none can go."""
     from graphloom.functions.shared import shared_dir, written
 
@@ -114,7 +114,7 @@ def has_cycle(edges: DataFrame, max_rounds: int = 1000) -> bool:
         live = written(live.join(live.select(F.col("target").alias("source")).distinct(), "source", "left_semi"), f"{where}/{k}")
         if live.count() == before:
             return True
-    return True
+    raise RuntimeError(f"has_cycle: nodes are still peeled off after {max_rounds} rounds")
 
 
 def statistics(nodes: DataFrame) -> DataFrame:

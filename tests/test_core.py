@@ -72,6 +72,36 @@ def test_long_chain_component(spark):
     assert {r["label"] for r in connected_components(edges).collect()} == {"n000"}
 
 
+def test_random_chain_component(spark):
+    import random
+
+    from graphloom.operators.components import connected_components
+
+    ids = [f"n{k:03d}" for k in range(501)]
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a string, b string")
+    got = connected_components(edges, max_rounds=20).collect()
+    assert len(got) == 501 and {r["label"] for r in got} == {"n000"}
+
+
+def test_unfinished_rounds_raise(spark):
+    from graphloom.operators import metrics, paths, quality
+    from graphloom.operators.components import connected_components
+
+    ids = [f"n{k:02d}" for k in range(12)]
+    nodes, edges = graph(spark, list(zip(ids, ids[1:], strict=False)))
+    for cut in (
+        lambda: connected_components(edges, "source", "target", max_rounds=1),
+        lambda: metrics.distances(nodes, metrics.clean_weights(edges), nodes.select("id"), max_rounds=2),
+        lambda: metrics.strong_components(nodes, edges, max_rounds=2),
+        lambda: metrics.prerequisites(nodes, edges, max_rounds=2),
+        lambda: paths.easiest_path(nodes, edges, "n00", "n11", max_rounds=2),
+        lambda: quality.has_cycle(edges, max_rounds=2),
+    ):
+        with pytest.raises(RuntimeError):
+            cut()
+
+
 def test_communities(spark):
     from graphloom.operators import metrics
 
