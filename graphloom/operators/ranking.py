@@ -203,14 +203,17 @@ def sensitivity(ranks: DataFrame) -> DataFrame:
     )
 
 
-def preference_pairs(explicit: DataFrame, ranked_ids: DataFrame, longest: int = 40, most: int = 500) -> DataFrame:
-    """(preferred, over): explicit pairs and all ordered pairs of a ranked list (source, position, paper_id) of at most ``longest``, each once, at most ``most``."""
+def preference_pairs(explicit: DataFrame, ranked_ids: DataFrame, longest: int = 40, most: int | None = 500) -> DataFrame:
+    """(preferred, over): explicit pairs and all ordered pairs of a ranked list (source, position, paper_id) of at most ``longest``, each once, at most ``most`` (None: all)."""
     short = ranked_ids.where(F.col("position") < longest)
     a, b = short.alias("a"), short.alias("b")
     listed = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.position") < F.col("b.position"))).select(F.col("a.paper_id").alias("preferred"), F.col("b.paper_id").alias("over"), F.lit(1).alias("_k"), F.col("a.position").alias("_p"), F.col("b.position").alias("_q"))
     rows = explicit.select("preferred", "over", F.lit(0).alias("_k"), F.lit(0).alias("_p"), F.lit(0).alias("_q")).unionByName(listed).where("preferred <> over")
     w = Window.partitionBy("preferred", "over").orderBy("_k", "_p", "_q")
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").orderBy("_k", "_p", "_q", "preferred", "over").limit(most).select("preferred", "over")
+    once = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    if most is not None:
+        once = once.orderBy("_k", "_p", "_q", "preferred", "over").limit(most)
+    return once.select("preferred", "over")
 
 
 def agreement(pairs: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -318,6 +319,12 @@ def ranked_lists(s, d):
     return table(s, d, "documents").where("doc_id < 120").select("source", F.floor(F.col("doc_id") / 20).cast("int").alias("position"), F.col("doc_id").alias("paper_id"))
 
 
+def whole_lists(s, d):
+    """All documents in lists of at most 40 of a source: every row is in one list."""
+    docs = table(s, d, "documents").select(F.concat_ws(":", "source", F.floor(F.col("doc_id") / 40).cast("string")).alias("source"), F.col("doc_id").alias("paper_id"))
+    return docs.withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy("paper_id")) - 1)
+
+
 def no_pairs(s):
     return s.createDataFrame([], "preferred bigint, over bigint")
 
@@ -334,6 +341,16 @@ def _(s, d):
     return ranking.agreement(ranking.preference_pairs(no_pairs(s), ranked_lists(s, d), most=100_000), ranking.profile_ranks(cheap(s, d)[1]))
 
 
+@query("l15_preference_pairs_whole")
+def _(s, d):
+    return ranking.preference_pairs(no_pairs(s), whole_lists(s, d), most=None)
+
+
+@query("l16_agreement_whole")
+def _(s, d):
+    return ranking.agreement(ranking.preference_pairs(no_pairs(s), whole_lists(s, d), most=None), ranking.profile_ranks(cheap(s, d)[1]))
+
+
 @query("l17_ledger", f"with {RANKED} select rank, paper_id, case when paper_id % 3 = 0 then 'failed' else 'not_checked' end as status from rk where profile = 'balanced' and rank <= 25")
 def _(s, d):
     notes = table(s, d, "papers").where("paper_id % 3 = 0").select("paper_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("failed").alias("status")), F.struct(F.lit(1).alias("pos"), F.lit("reproduced").alias("status")))).alias("x")).select("paper_id", "x.*")

@@ -227,6 +227,19 @@ def test_stream_matches_batch(spark, sf, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "b"]
 
 
+def test_preference_pairs_of_all_documents(spark, sf):
+    from graphloom.plans import registry
+
+    lists = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect():
+        lists.setdefault((r["source"], r["doc_id"] // 40), []).append(r["doc_id"])
+    want = {(a, b) for ids in lists.values() for a in ids for b in ids if a < b}
+    got = [tuple(r) for r in registry.QUERIES["l15_preference_pairs_whole"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want and max(b for _, b in got) > 120
+    agreed = registry.QUERIES["l16_agreement_whole"](spark, sf).collect()
+    assert {r["satisfied"] + r["violated"] + r["tied"] for r in agreed} == {len(want)}
+
+
 CHECKED = ["c1_final_ids", "c5_valid_edges", "c6_mentions", "c11_violations", "f16_bridge_scores", "g10_iqr_outliers", "h5_cluster_links", "i3_triples", "i9_material_relations", "j6_kpi_target_gap", "k1_upsert", "b3_slices", "b11_tokenize", "b23_budgeted", "l5_topical", "l14_sensitivity", "l16_agreement", "e4_upserts", "o1_incremental_slices"]
 
 
