@@ -20,7 +20,7 @@ def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.lm import score
 
-    return score(_table(spark, sf_dir, "documents"))
+    return score(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -404,3 +404,16 @@ def test_pipeline_stages(spark, sf):
     size = lambda df: sum(len(words(r["text"])) for r in df.collect())
     assert abs(size(mixed) - 1.5 * size(docs)) <= 20
     assert tokens.END_ID == 2
+
+
+def test_lm_query_has_two_words_of_context(spark, tmp_path):
+    from graphloom.llm import lm
+    from graphloom.llm.queries import op1_lm_score
+
+    learn = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 != 2]
+    test = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2]
+    texts = {k: ("a b c", "x b d")[n % 2] for n, k in enumerate(learn)} | {test[0]: "a b c", test[1]: "a b d"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["score"] for r in op1_lm_score(spark, str(tmp_path)).collect()}
+    assert got[test[0]] > got[test[1]] + 0.1  # one word of context cannot tell them apart
+    assert lm.ORDER == 2
