@@ -261,16 +261,22 @@ def _(s, d):
     return metrics.pagerank(nodes, table(s, d, "citations"), rounds=20, tolerance=0, weighted=False).select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
+@query("f6_citation_pagerank_60")
+def _(s, d):
+    nodes = table(s, d, "documents").select(F.col("doc_id").alias("id"))
+    return metrics.pagerank(nodes, table(s, d, "citations"), rounds=60, tolerance=0, weighted=False).select("id", F.round("pagerank", 8).alias("pagerank"))
+
+
 @query("f4_pagerank")
 def _(s, d):
     n, e = graph(s, d)
-    return metrics.pagerank(n, metrics.collapsed(e).withColumn("weight", F.coalesce("confidence", F.lit(1.0))), rounds=20).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return metrics.pagerank(n, metrics.collapsed(e).withColumn("weight", F.coalesce("confidence", F.lit(1.0)))).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query("f5_relation_pagerank")
 def _(s, d):
     n, e = graph(s, d)
-    return metrics.pagerank(n, metrics.collapsed(e.where(F.col("type").isin(*O.ONTOLOGICAL_EDGES))), rounds=10).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return metrics.pagerank(n, metrics.collapsed(e.where(F.col("type").isin(*O.ONTOLOGICAL_EDGES)))).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query("f9_components", """with recursive e as (select source as u, target as v from edges where type = 'REQUIRES_CONDITION' union all select target, source from edges where type = 'REQUIRES_CONDITION'),

@@ -67,7 +67,7 @@ def _(s, d):
 @query("f12_importance")
 def _(s, d):
     n, e = graph(s, d)
-    return metrics.pagerank(n, metrics.collapsed(e.where(F.col("type").isin(*O.IMPORTANT_EDGES))), rounds=6, tolerance=0).select("id", F.round("pagerank", 9).alias("importance"))
+    return metrics.pagerank(n, metrics.collapsed(e.where(F.col("type").isin(*O.IMPORTANT_EDGES)))).select("id", F.round("pagerank", 9).alias("importance"))
 
 
 @query("f15_communities")

@@ -194,7 +194,7 @@ def papers_and_edges(s, d):
 
 def scored_papers(s, d):
     p, edges = papers_and_edges(s, d)
-    ranks = metrics.pagerank(p.select(F.col("paper_id").alias("id")), edges, rounds=8, tolerance=0, weighted=False).withColumnRenamed("id", "paper_id")
+    ranks = metrics.pagerank(p.select(F.col("paper_id").alias("id")), edges, rounds=60, tolerance=0, weighted=False).withColumnRenamed("id", "paper_id")
     return p, edges, ranking.signals(p, ranks, "the that and token", 2025)
 
 

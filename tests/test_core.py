@@ -37,6 +37,52 @@ def test_pagerank(spark):
     assert metrics.pagerank(nodes.where("false"), edges).count() == 0
 
 
+def settled_pagerank(ids, edges, rounds):
+    """numpy ranks of weighted edges (source, target, weight)."""
+    import numpy as np
+
+    at = {x: k for k, x in enumerate(ids)}
+    rows = [(at[a], at[b], w) for a, b, w in edges if a in at and b in at and w > 0]
+    a, b, w = (np.array(x) for x in zip(*rows, strict=True))
+    total = np.bincount(a, w, len(ids))
+    rank = np.full(len(ids), 1 / len(ids))
+    for _ in range(rounds):
+        rank = 0.15 / len(ids) + 0.85 * (np.bincount(b, w / total[a] * rank[a], len(ids)) + rank[total == 0].sum() / len(ids))
+    return dict(zip(ids, rank.tolist(), strict=True))
+
+
+@pytest.mark.parametrize(("name", "column"), [("f4_pagerank", "pagerank"), ("f5_relation_pagerank", "pagerank"), ("f12_importance", "importance"), ("f6_citation_pagerank_60", "pagerank")])
+def test_pagerank_queries_are_settled(spark, sf, name, column):
+    from graphloom.functions import ontology as O
+    from graphloom.operators import metrics
+    from graphloom.plans import registry
+    from graphloom.plans.tables import table
+
+    if name.startswith("f6"):
+        ids = [r[0] for r in table(spark, sf, "documents").select("doc_id").collect()]
+        edges = [(r[0], r[1], 1.0) for r in table(spark, sf, "citations").collect()]
+    else:
+        e = table(spark, sf, "edges")
+        kinds = {"f5_relation_pagerank": O.ONTOLOGICAL_EDGES, "f12_importance": O.IMPORTANT_EDGES}.get(name)
+        e = metrics.collapsed(e if kinds is None else e.where(F.col("type").isin(*kinds)))
+        edges = [(r[0], r[1], (1.0 if r[2] is None else r[2]) if kinds is None else 1.0) for r in e.select("source", "target", "confidence").collect()]
+        ids = [r[0] for r in table(spark, sf, "nodes").select("id").collect()]
+    want = settled_pagerank(ids, edges, 60 if name.startswith("f6") else 300)
+    got = {r["id"]: r[column] for r in registry.QUERIES[name](spark, sf).collect()}
+    assert sum(abs(got[x] - want[x]) for x in ids) < (1e-8 if name.startswith("f6") else 1e-6) * len(ids) * 6
+
+
+def test_pagerank_queries_use_the_whole_rounds(spark, sf, monkeypatch):
+    from graphloom.operators import metrics
+    from graphloom.plans import registry
+
+    asked = []
+    monkeypatch.setattr(metrics, "pagerank", lambda n, e, **options: asked.append(options) or n.select("id", F.lit(0.0).alias("pagerank")))
+    for name in ("f4_pagerank", "f5_relation_pagerank", "f12_importance"):
+        registry.QUERIES[name](spark, sf)
+    assert asked == [{}, {}, {}]
+
+
 def test_paths_and_centrality(spark):
     from graphloom.operators import metrics, paths
 
