@@ -33,6 +33,14 @@ def plants(s, d):
     return n.where("type in ('SynthesisMethod', 'Property', 'Condition')"), up.unionByName(on)
 
 
+def whole(s, d):
+    """All nodes, and all edges between them: parallel edges once, each of length 1."""
+    n, e = graph(s, d)
+    ids = n.select("id")
+    inside = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").where("source <> target")
+    return n, metrics.collapsed(inside).withColumn("inverse_weight", F.lit(1.0))
+
+
 CHAIN = "s as (select s_suppkey, s_nationkey, n_regionkey from supplier join nation on s_nationkey = n_nationkey), n as (select (select count(*) from supplier) + (select count(*) from nation) + (select count(*) from region) as n)"
 
 
@@ -44,9 +52,8 @@ def _(s, d):
 
 @query("f7_betweenness_pivots")
 def _(s, d):
-    n, e = graph(s, d)
-    clean = metrics.clean_weights(e.withColumn("weight", F.col("confidence")).where("type in ('SYNTHESIZED_BY', 'REQUIRES_CONDITION')"))
-    return metrics.betweenness(n, metrics.collapsed(clean).withColumn("inverse_weight", F.lit(1.0)), n.where("type = 'Material' and pos % 499 = 0")).select("id", F.round("betweenness", 9).alias("betweenness"))
+    n, e = whole(s, d)
+    return metrics.betweenness(n, e, n.where("pos % 20 = 0")).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query("f8_closeness", f"with {CHAIN} select id, round(case when type = 'SynthesisMethod' then (2 / (n - 1.0e0)) * (2 / 5.0e0) when type = 'Property' then (1 / (n - 1.0e0)) * 1 else 0.0e0 end, 9) as out_closeness from nodes, n where type in ('SynthesisMethod', 'Property', 'Condition')")
@@ -72,8 +79,27 @@ def _(s, d):
 
 @query("f15_communities")
 def _(s, d):
-    n, e = plants(s, d)
-    return metrics.communities(n, e, rounds=4, levels=2)
+    return metrics.communities(*whole(s, d))
+
+
+@query("f7_betweenness_whole")
+def _(s, d):
+    return metrics.betweenness(*whole(s, d)).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query("f8_closeness_whole")
+def _(s, d):
+    return metrics.closeness(*whole(s, d)).select("id", F.round("out_closeness", 9).alias("out_closeness"))
+
+
+@query("f9_components_whole")
+def _(s, d):
+    return metrics.component_ids(*whole(s, d), order="id")
+
+
+@query("f10_f11_prerequisites_whole")
+def _(s, d):
+    return metrics.prerequisites(*whole(s, d))
 
 
 @query("n1_shortest_path")

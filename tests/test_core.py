@@ -286,6 +286,44 @@ def test_preference_pairs_of_all_documents(spark, sf):
     assert {r["satisfied"] + r["violated"] + r["tied"] for r in agreed} == {len(want)}
 
 
+def test_whole_graph_closeness_and_components(spark, sf):
+    from collections import deque
+
+    from graphloom.plans import registry
+    from graphloom.plans.tables import table
+
+    ids = {r[0] for r in table(spark, sf, "nodes").select("id").collect()}
+    pairs = {(r[0], r[1]) for r in table(spark, sf, "edges").select("source", "target").collect() if r[0] in ids and r[1] in ids and r[0] != r[1]}
+    out = {x: [] for x in ids}
+    both = {x: set() for x in ids}
+    for a, b in pairs:
+        out[a].append(b)
+        both[a].add(b)
+        both[b].add(a)
+
+    def reach(start, near):
+        dist, queue = {start: 0}, deque([start])
+        while queue:
+            x = queue.popleft()
+            for y in near[x]:
+                if y not in dist:
+                    dist[y] = dist[x] + 1
+                    queue.append(y)
+        return dist
+
+    want = {}
+    for x in ids:
+        dist = reach(x, out)
+        r = len(dist) - 1
+        want[x] = round(r / (len(ids) - 1) * r / sum(dist.values()), 9) if r else 0.0
+    got = {r["id"]: r["out_closeness"] for r in registry.QUERIES["f8_closeness_whole"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=2e-9)
+    first = {x: min(reach(x, both)) for x in ids}
+    found = {r["id"]: r["component_id"] for r in registry.QUERIES["f9_components_whole"](spark, sf).collect()}
+    assert set(found) == ids and len(set(zip(first.values(), (found[x] for x in first), strict=True))) == len(set(first.values())) == len(set(found.values()))
+    assert {r["id"] for r in registry.QUERIES["f15_communities"](spark, sf).collect()} == ids
+
+
 CHECKED = ["c1_final_ids", "c5_valid_edges", "c6_mentions", "c11_violations", "f16_bridge_scores", "g10_iqr_outliers", "h5_cluster_links", "i3_triples", "i9_material_relations", "j6_kpi_target_gap", "k1_upsert", "b3_slices", "b11_tokenize", "b23_budgeted", "l5_topical", "l14_sensitivity", "l16_agreement", "e4_upserts", "o1_incremental_slices"]
 
 
