@@ -138,8 +138,8 @@ def cleaned_reply(reply: Column) -> Column:
 def abstract(index: Column) -> Column:
     """The text of an inverted index (word to positions); on one position the last word wins; no blank before a mark."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e, k: F.transform(e["value"], lambda p: F.struct(p.alias("p"), k.alias("k"), e["key"].alias("w")))))
-    ordered = F.array_sort(pairs)
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)))
+    # Bound by a lambda, so that the pairs are sorted once and not for each word.
+    last = F.get(F.transform(F.array(F.array_sort(pairs)), lambda o: F.filter(o, lambda x, i: F.coalesce(F.get(o, i + 1)["p"] != x["p"], F.lit(True)))), F.lit(0))
     return F.regexp_replace(F.array_join(F.transform(last, lambda x: x["w"]), " "), r" ([,.;:!?])", "$1")
 
 

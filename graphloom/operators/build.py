@@ -74,17 +74,20 @@ def valid_edges(nodes: DataFrame, edges: DataFrame, least: float = 0.5) -> DataF
     return first_by(allowed.withColumn("relation_role", F.coalesce(given, role)), ["source", "target", "type"], ["pos", "confidence"])
 
 
-def mentions(chunks: DataFrame, concepts: DataFrame, existing: DataFrame | None = None, weight: float = 0.35, max_words: int = 4) -> DataFrame:
-    """Chunk-to-concept edges where a term (of up to ``max_words`` words) or alias occurs as whole words, case-insensitively.
+def mentions(chunks: DataFrame, concepts: DataFrame, existing: DataFrame | None = None, weight: float = 0.35, max_words: int | None = None) -> DataFrame:
+    """Chunk-to-concept edges where a term or alias (of any length, or up to ``max_words`` words) occurs as whole words, case-insensitively.
 
-    Words of the chunk form n-grams that meet the terms in an equi-join; no chunk is compared with every concept.
+    Words of the chunk form n-grams, of the lengths that occur among the terms, that meet the terms in an equi-join; no chunk is compared with every concept.
     """
     terms = concepts.select("concept_id", F.explode(F.array_distinct(F.concat(F.array("term"), F.coalesce("aliases", F.array()) if "aliases" in concepts.columns else F.array().cast("array<string>")))).alias("term"))
-    terms = terms.where(F.trim("term") != "").select("concept_id", F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"[\p{L}\p{N}_]+"), 0), " ").alias("gram")).where("gram <> ''")
+    terms = terms.where(F.trim("term") != "").select("concept_id", F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"[\p{L}\p{N}_]+"), 0), " ").alias("gram")).where("gram <> ''").distinct()
+    lengths = sorted(r[0] for r in terms.select(F.size(F.split("gram", " "))).distinct().collect())  # a row a length
+    lengths = [n for n in lengths if max_words is None or n <= max_words]
+    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)
     sized = chunks.select("id", words.alias("w"))
-    grams = sized.select("id", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")))))).alias("gram"))
-    out = grams.join(terms.distinct(), "gram").select(F.col("id").alias("source"), F.col("concept_id").alias("target"), F.lit("MENTIONS").alias("type"), F.lit(weight).alias("weight")).distinct()
+    grams = sized.select("id", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")))))).alias("gram"))
+    out = grams.join(terms, "gram").select(F.col("id").alias("source"), F.col("concept_id").alias("target"), F.lit("MENTIONS").alias("type"), F.lit(weight).alias("weight")).distinct()
     return out if existing is None else out.join(existing.select("source", "target"), ["source", "target"], "left_anti")
 
 

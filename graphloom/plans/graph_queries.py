@@ -107,7 +107,7 @@ def _(s, d):
 @query("c6_mentions", r"""with w as (select id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) as g from chunks)
   select distinct w.id as source, c.concept_id as target from w join concepts c on c.term = w.g where c.term <> ''""")
 def _(s, d):
-    return build.mentions(table(s, d, "chunks"), table(s, d, "concepts"), max_words=1).select("source", "target")
+    return build.mentions(table(s, d, "chunks"), table(s, d, "concepts")).select("source", "target")
 
 
 @query("c8_merge_concepts", """with r as (select source as concept_id, lang as alias, doc_id from documents),

@@ -64,7 +64,7 @@ def _(s, d):
 @query("b6_b8_fallback_cut")
 def _(s, d):
     docs = table(s, d, "documents").select("doc_id", "text", T.fallback_cut(F.col("text"), (F.length("text") / 2).cast("int"), 200).alias("at"))
-    before, after = F.substring(F.col("text"), F.lit(1), F.col("at")), F.substring(F.col("text"), F.col("at") + 1, F.lit(400))
+    before, after = F.substring(F.col("text"), F.lit(1), F.col("at")), F.substring(F.col("text"), F.col("at") + 1, F.length("text"))
     return docs.select("doc_id", F.col("at").cast("bigint").alias("at"), T.safe_cut(before, after).alias("safe"), T.cut_quality(before, after).alias("quality"))
 
 
@@ -74,6 +74,13 @@ def _(s, d):
     return docs.select("doc_id", T.safe_cut(F.substring("text", 1, 200), F.substring("text", 201, 400)).alias("safe"))
 
 
+@query("b7_safe_cut_whole")
+def _(s, d):
+    half = F.floor(F.length("text") / 2).cast("int")
+    before, after = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    return table(s, d, "documents").select("doc_id", T.safe_cut(before, after).alias("safe"))
+
+
 @query("b9_cleaned_reply", "select conv_id, turn, trim(text, chr(10) || chr(9) || chr(13) || ' ') as text from conversations")
 def _(s, d):
     c = table(s, d, "conversations")
@@ -87,6 +94,13 @@ def _(s, d):
     return rows.select("doc_id", T.abstract(F.col("index")).alias("abstract"))
 
 
+@query("b10_abstract_whole")
+def _(s, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
+    rows = table(s, d, "documents").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    return rows.select("doc_id", T.abstract(F.col("index")).alias("abstract"))
+
+
 @query("b11_tokenize", f"select doc_id, array_to_string([w for w in regexp_extract_all(lower(text), '[a-z0-9]+') if length(w) > 2 and w not in ({STOP})], ' ') as tokens from documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))

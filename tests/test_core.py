@@ -324,6 +324,26 @@ def test_whole_graph_closeness_and_components(spark, sf):
     assert {r["id"] for r in registry.QUERIES["f15_communities"](spark, sf).collect()} == ids
 
 
+def test_texts_are_not_cut(spark, sf, tmp_path):
+    import re
+
+    from graphloom.operators import build
+    from graphloom.plans import registry
+
+    chunks = spark.createDataFrame([("c", "see the very long name of a thing here"), ("d", "a thing")], "id string, text string")
+    concepts = spark.createDataFrame([("k", "The very long name of a Thing"), ("m", "a thing")], "concept_id string, term string")
+    assert {(r["source"], r["target"]) for r in build.mentions(chunks, concepts).collect()} == {("c", "k"), ("c", "m"), ("d", "m")}
+    assert build.mentions(chunks, concepts.where("false")).count() == 0
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = {k: " ".join(re.findall("[a-z]+", t.lower())) for k, t in texts.items()}
+    got = {r["doc_id"]: r["abstract"] for r in registry.QUERIES["b10_abstract_whole"](spark, sf).collect()}
+    assert got == {k: t for k, t in want.items() if t} and max(map(len, want.values())) > 400
+    link = "[" + "word " * 100 + "end. " + "word " * 101 + "](u)"
+    spark.createDataFrame([(1, link)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert registry.QUERIES["b7_safe_cut_whole"](spark, str(tmp_path)).first()["safe"] is False
+    assert registry.QUERIES["b6_b8_fallback_cut"](spark, str(tmp_path)).first()["safe"] is False
+
+
 CHECKED = ["c1_final_ids", "c5_valid_edges", "c6_mentions", "c11_violations", "f16_bridge_scores", "g10_iqr_outliers", "h5_cluster_links", "i3_triples", "i9_material_relations", "j6_kpi_target_gap", "k1_upsert", "b3_slices", "b11_tokenize", "b23_budgeted", "l5_topical", "l14_sensitivity", "l16_agreement", "e4_upserts", "o1_incremental_slices"]
 
 
