@@ -417,3 +417,20 @@ def test_lm_query_has_two_words_of_context(spark, tmp_path):
     got = {r["doc_id"]: r["score"] for r in op1_lm_score(spark, str(tmp_path)).collect()}
     assert got[test[0]] > got[test[1]] + 0.1  # one word of context cannot tell them apart
     assert lm.ORDER == 2
+
+
+def test_toxicity_sample_is_read_by_all_tasks(spark, tmp_path):
+    from graphloom.llm import toxicity
+
+    where = str(tmp_path)
+
+    def seen(batches):
+        from pyspark import TaskContext
+
+        open(f"{where}/{TaskContext.get().taskAttemptId()}", "w").close()
+        yield from batches
+
+    ids = spark.range(40, numPartitions=4).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    toxicity.fit(ids.mapInArrow(seen, ids.schema), labels)
+    assert len(list(tmp_path.iterdir())) >= 4
