@@ -20,7 +20,7 @@ and can be shared by nobody, so only the rest of that prefix, usually nothing, l
 
 Only connectivity is computed, so a group of copies costs links in proportion to its size; no
 link between components is lost.  Null and empty texts have an empty set and link with nothing;
-shorter texts have one n-gram, the whole; repeated ids are joined row by row; an empty table gives
+shorter texts have one n-gram, the whole; repeated and null ids are judged row by row; an empty table gives
 an empty result; extra columns are ignored by ``components`` and kept by ``deduplicated``.
 """
 
@@ -71,7 +71,7 @@ class Trie:
     """A path-compressed prefix tree over sorted sets of small integers, numbered in lexicographic order."""
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        self.order = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
+        self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u4").tobytes())  # as the lists compare
         self.sets = [sets[k] for k in self.order]
         self.sizes = sizes[self.order]
         self.root = self._node(0, len(sets), 0)
@@ -163,17 +163,18 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row: doc_id, n (set size), cls (128-bit hash of the set), lead (how much of shared is prefix) and shared: the
     n-grams that other documents hold too, in global order; empty where the prefix has none of these."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows, blocks = C.blocked(rows, total)
+    parts = C.parts_of(C.text_bytes(rows))
+    blocks = C.packed(rows)
 
     def items(table: pa.Table):
         flat, _ = sets_of(utf8(table["text"]), width)
         return np.unique(flat, return_counts=True)
 
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        table = C.unpacked(packed)
         flat, first = sets_of(utf8(table["text"]), width)
         keys, number, own = np.unique(flat, return_inverse=True, return_counts=True)
-        total = C.with_answers(keys, own, answers, blocks)[number]
+        total = C.with_answers(keys, own, answers, parts)[0][number]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat + np.uint64(1)))))
         more = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(0x5851F42D4C957F2D)))))
         ns, cls, leads, shared = [], [], [], []
@@ -195,8 +196,8 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    answers = C.totals(rows, blocks, items)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {SET_SCHEMA}")
+    answers = C.totals(blocks, parts, items)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {SET_SCHEMA}")
 
 
 def _links(rows: DataFrame, keys: list[str], sided: bool) -> DataFrame:

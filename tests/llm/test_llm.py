@@ -41,58 +41,45 @@ def words(s):
     return re.findall(r"[^\x20\x09-\x0D]+", lower(s))
 
 
-def test_lm_score(docs, none):
-    from graphloom.llm import lm
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_score(docs, none, order, monkeypatch):
+    from graphloom.llm import counts, lm
 
-    got = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    monkeypatch.setattr(counts, "BLOCK_BYTES", 2000)  # several blocks and ranges
+    monkeypatch.setattr(counts, "RANGE_BYTES", 20_000)
+    got = {r["doc_id"]: r for r in lm.score(docs, order=order).collect()}
     tokens = {k: [*words(t), "<END>"] for k, t in enumerate(TEXTS)}
-    one, two = Counter(), Counter()
+    count = Counter()
     for k, w in tokens.items():
         if zlib.crc32(str(k).encode()) % 7 != 2:
-            one.update(w)
-            two.update(zip(w, w[1:], strict=False))
+            count.update(tuple(w[i : i + m]) for m in range(1, order + 1) for i in range(len(w) - m + 1))
+    one = {g[0]: c for g, c in count.items() if len(g) == 1}
     n, v = sum(one.values()), len(one)
 
-    def chance(a, b):
-        p = (one[b] + 1) / (n + v + 1)
-        return p if a is None or not one[a] else (two[a, b] + lm.PRIOR * p) / (one[a] + lm.PRIOR)
+    def chance(gram):
+        p = (one.get(gram[-1], 0) + 1) / (n + v + 1)
+        for m in range(2, len(gram) + 1):
+            if context := count[gram[-m:-1]]:
+                p = (count[gram[-m:]] + lm.PRIOR * p) / (context + lm.PRIOR)
+        return p
 
     for k, w in tokens.items():
         r = got[k]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(one[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), abs=1e-6)
-        assert r["score"] == pytest.approx(sum(math.log10(chance(w[i - 1] if i else None, x)) for i, x in enumerate(w)), abs=1e-6)
-    assert lm.score(none).count() == 0
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in one for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((one.get(x, 0) + 1) / (n + v + 1)) for x in w), abs=1e-6)
+        assert r["score"] == pytest.approx(sum(math.log10(chance(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))), abs=1e-6)
+    seen = [x for x in one if x != "never"]
+    for context in ((), ("the",), ("the", "quick"), ("quick", "the"), ("no", "such")):
+        if len(context) < order:
+            assert sum(chance((*context, x)) for x in [*seen, "never"]) == pytest.approx(1.0)
+    assert lm.score(none, order=order).count() == 0
+    assert lm.score(docs, training=F_false(), order=order).count() == len(TEXTS)
 
 
-def test_lm_third_order_sums_to_one():
-    from graphloom.llm import lm
+def F_false():
+    from pyspark.sql import functions as F
 
-    texts = [b"a b a c a b b c", b"a b c", b"c c a"]
-    kinds, first, _, _ = lm.counted(texts, np.array([True] * 3), 3)
-    n, v = int(first[-1]), len(np.unique(kinds[0]))
-    probe = [f"a b {x}".encode() for x in "abc"] + [b"a b zzz", b"a b"]
-    k2, f2, keys2, totals = lm.counted([*texts, *probe], np.array([True] * 3 + [False] * 5), 3)
-    auto = lm.Automaton(k2, keys2, totals, n, v, 2.0)
-    # P(x | a b) over a, b, c, the end and the unseen token, by the automaton's arcs after "a b".
-    state = 0
-    sym = auto.symbols[f2[-2] : f2[-1]]
-    for w in sym[:2].tolist():
-        arc = auto.arcs.get(state * auto.size + w) if state else None
-        state = (arc or auto.root[w])[1]
-
-    def p(word):
-        s, weight = state, 0.0
-        while s:
-            arc = auto.arcs.get(s * auto.size + word)
-            if arc:
-                return 10 ** (weight + arc[0])
-            weight += auto.fail_weight[s]
-            s = auto.fail[s]
-        return 10 ** (weight + auto.root[word][0])
-
-    seen = {auto.symbols[f2[3 + j] + 2] for j in range(3)} | {sym[2], auto.symbols[f2[6] + 2]}
-    assert sum(p(int(w)) for w in seen) == pytest.approx(1.0)
+    return F.lit(False)
 
 
 def plain_components(texts):
