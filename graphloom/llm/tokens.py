@@ -12,7 +12,7 @@ name of their own and rename when the file is complete, so a lost or repeated ta
 half-written file behind and never changes another's.
 
 Null counts as empty (its only id is the end id); very long texts are split at blanks for the
-tokenizer, which gives the same ids; ties of doc_id are kept and ordered by text; an empty table
+tokenizer, which gives the same ids; rows of one doc_id (null comes first) are kept in the order of the input; an empty table
 gives no files and an empty result; extra columns are ignored.
 """
 
@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,13 @@ LENGTH = 2048
 BATCH, FILE_BATCHES = 256, 64
 #: Bytes of text encoded at a time, and pieces that a worker remembers.
 CHUNK_BYTES, CACHE = 2 << 20, 1_500_000
+#: Words encoded in one call, and the longest piece that is remembered.
+WORDS, LONGEST = 256, 64
+#: The signs that stand for a blank and a line end in the tokens of a byte-level vocabulary.
+SIGNS = {" ": "\u0120", "\n": "\u010a"}
 #: Marks that may follow a word.
 MARKS = ".,;:!?*#$%&|"
-_UNSAFE = re.compile(r"\s ")
+_UNSAFE = re.compile(r"\s\s")
 _EDGE = re.compile(r"(?<=\S)(?= )")
 
 
@@ -57,9 +62,9 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    The tokenizer's first step never joins characters across a blank that follows a non-blank, nor a
-    letter with a mark, so a text's ids are those of its pieces cut there; pieces repeat, and each is
-    encoded once.  That holds for byte-level BPE files without normaliser or prefix blank; for
+    The tokenizer's first step never joins characters across a blank that follows a non-blank, across
+    a line end between non-blanks, nor a letter with a mark, so a text's ids are those of its pieces
+    cut there; pieces repeat, and each is encoded once.  That holds for byte-level BPE files without normaliser or prefix blank; for
     others, and for texts that hold the string of an added token, the whole text is encoded at once.
     """
 
@@ -70,7 +75,11 @@ class Encoder:
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.heads: dict[str, bytes] = {}  # pieces at the head of a text, and marks
-        self.rest: dict[str, bytes] = {}  # pieces after a blank, without it
+        self.rest: dict[str, bytes] = {}  # pieces after a blank, without it, and pieces that begin with a line end or several blanks, in full
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = {sep: np.zeros(max(vocabulary.values()) + 1, bool) for sep in SIGNS}  # tokens that begin with a blank or a line end
+        for sep, sign in SIGNS.items():
+            self.opens[sep][[k for x, k in vocabulary.items() if x.startswith(sign)]] = True
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -79,36 +88,63 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast([before + x for x in pieces], add_special_tokens=False)
         known.update((x, array("I", e.ids).tobytes()) for x, e in zip(pieces, got, strict=True))
 
+    def _learn_words(self, words: list[str], sep: str) -> None:
+        """Words of letters after a blank or a line end, many in one text: each begins with the one token that has the separator."""
+        if not words:
+            return
+        got = self.tokenizer.encode_batch_fast([sep + sep.join(words[k : k + WORDS]) for k in range(0, len(words), WORDS)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in got])
+        raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.opens[sep][ids])).tolist()
+        keys = words if sep == " " else [sep + x for x in words]
+        self.rest.update((x, raw[a:b]) for x, a, b in zip(keys, cuts, [*cuts[1:], len(raw)], strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > CACHE:
+        if len(self.rest) + len(self.heads) > CACHE:
             self.rest.clear()
             self.heads.clear()
         cut: list[list[str] | None] = []
         missing: set[str] = set()
+        known = self.rest.__contains__
         for text in texts:
             if not self.by_piece or any(x in text for x in self.added):
                 cut.append(None)
                 continue
             if _UNSAFE.search(text):
                 pieces = _EDGE.split(text)
-                pieces = [pieces[0], *(x[1:] for x in pieces[1:])]
-            else:
-                pieces = text.split(" ")
+                pieces = [pieces[0], *(x if x[1:2].isspace() else x[1:] for x in pieces[1:])]
+            else:  # white space stands alone: a line end is a piece's first character
+                pieces = text.replace("\n", " \n").split(" ")
             cut.append(pieces)
-            missing.update(pieces[1:])
-        missing.difference_update(self.rest)
-        stems = {x: x.rstrip(MARKS) for x in missing}
-        marked = {x: t for x, t in stems.items() if t != x and t.isalpha()}
-        self._learn(self.rest, [x for x in {*(missing - marked.keys()), *marked.values()} if x not in self.rest], " ")
+            missing.update(filterfalse(known, islice(pieces, 1, None)))
+        marked: dict[str, str] = {}
+        words: dict[str, set[str]] = {sep: set() for sep in SIGNS}
+        other: dict[str, list[str]] = {" ": [], "": []}
+        for x in missing:
+            line = x[:1] == "\n"
+            stem = x.rstrip(MARKS)
+            if (stem[1:] if line else stem).isalpha():
+                if stem != x:
+                    marked[x] = stem
+                if stem not in self.rest:
+                    words["\n" if line else " "].add(stem[1:] if line else stem)
+            else:
+                other["" if line or x[:1] == " " else " "].append(x)
+        for sep, found in words.items():
+            self._learn_words(list(found), sep)
+        for before, found in other.items():
+            self._learn(self.rest, found, before)
         ends = {x[len(t) :] for x, t in marked.items()}
         firsts = {p[0] for p in cut if p is not None}
         self._learn(self.heads, [x for x in ends | firsts if x not in self.heads], "")
         for x, t in marked.items():
             self.rest[x] = self.rest[t] + self.heads[x[len(t) :]]
         get = self.rest.__getitem__
-        out = [self.whole(t) if p is None else self.heads[p[0]] + b"".join(map(get, p[1:])) for t, p in zip(texts, cut, strict=True)]
+        out = [self.whole(t) if p is None else self.heads[p[0]] + b"".join(map(get, islice(p, 1, None))) for t, p in zip(texts, cut, strict=True)]
         for x in marked:  # quickly made again; the memory is for words
             del self.rest[x]
+        for pieces in (self.rest, self.heads):  # long pieces hardly come again
+            for x in [x for x in (firsts if pieces is self.heads else missing) if len(x) > LONGEST]:
+                pieces.pop(x, None)
         return out
 
 
@@ -186,7 +222,9 @@ def write_sequences(docs: DataFrame, tokenizer: str, uri: str, length: int = LEN
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    # Rows of one id may fill several ranges, in the order of the input.
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    rows = rows.drop("row").withColumn("part", F.spark_partition_id())
     wide = _tokenizer(tokenizer).get_vocab_size() > 65536 or end_id > 65535
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,9 +168,15 @@ def test_tokens(docs, none, tmp_path, spark):
             valid += batch["mask"].flatten().to_numpy(zero_copy_only=False).sum()
     assert valid == start
     assert tokens.token_output(none, path).count() == 0
-    odd = ["", "  a  b \n c", " x", "x ", "a\n b", "<|endoftext|> a", "a   b", "it's 's", "w, w. w!?"]
+    odd = ["\n", "a\nb", "a\nb\n", "\na", "a,\nb, c\nd.\n", "a\n\nb", "a\n b", "a \nb", "a\n1 2\nb!", "a\tb\nc", "a\u00a0b \u00a0c", "x\n" + "y" * 100 + " z", "", "  a  b \n c", " x", "x ", "a\n b", "<|endoftext|> a", "a   b", "it's 's", "w, w. w!?"]
     enc = tokens.Encoder(path)
-    assert enc(odd) == [enc.whole(x) for x in odd]
+    assert enc(odd) == [enc.whole(x) for x in odd] == enc(odd)
+    rng = np.random.default_rng(8)
+    mixed = ["".join(rng.choice(list("abé ß1,.!'\n\t \u00a0漢\u0301\U0001f600Ⅷ²") + [" ", "\n", "s", "'s"], rng.integers(0, 40))) for _ in range(3000)]
+    assert enc(mixed) == [enc.whole(x) for x in mixed]
+    again = spark.createDataFrame([(k, t) for k, t in [(1, "a b"), (1, "c"), (None, "d"), (1, "a b")]], "doc_id bigint, text string")
+    rows = tokens.token_output(again, path, 64).collect()
+    assert sorted((r["start"], r["n_tokens"]) for r in rows) == [(0, 2), (2, 3), (5, 2), (7, 3)] and sum(r["doc_id"] is None and r["start"] == 0 for r in rows) == 1
 
 
 SECRET = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
