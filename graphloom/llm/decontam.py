@@ -1,9 +1,9 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 Benchmark texts become phrases: every run of ``window`` words, or the whole item where it is
-shorter.  The phrases are the stated query set: they are collected in blocks of bounded size,
-and each block is broadcast and searched in every shard, so no document leaves its task before
-the search.
+shorter.  The phrases are the stated query set: tasks write them to the shared folder in blocks of
+bounded size, and every shard is searched for one block after the other, so no document leaves its
+task, whatever the number of blocks, and a task holds two blocks at most.
 
 A shard is a bounded number of words of one partition.  Words outside the phrases' vocabulary
 cannot be part of an occurrence, so the index covers exactly the runs of vocabulary words that
@@ -13,26 +13,34 @@ backward search finds the suffix range of every phrase, and suffix positions sam
 eighth word and at the head of each run locate the occurrences.  Overlapping occurrences merge
 to removal spans.
 
-Nulls and empty texts have no words and are clean.  Repeated rows and ids are judged row by row.
-Extra columns are ignored by ``scan`` and kept by ``clean``.
+Nulls and empty texts have no words and are clean.  Repeated rows and repeated or null ids are judged
+row by row.  A null item_id counts as empty.  Extra columns are ignored by ``scan`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shared import shared_dir
+from graphloom.llm.counts import pieces
 from graphloom.llm.words import ALNUM, split, utf8
 
 WINDOW = 13
-#: Words of benchmark text in one broadcast block (about 100 bytes a word in all).
+#: Words of benchmark text in one block of the query set (about 100 bytes a word in all).
 BLOCK_WORDS = 200_000
+#: A word, before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in one shard.
 SHARD_BYTES = 16 << 20
 SAMPLE = 8
@@ -45,14 +53,14 @@ class Phrases:
     vocabulary: np.ndarray
     symbols: np.ndarray  # phrases x window
     lengths: np.ndarray
-    items: list[list[int]] = field(default_factory=list)  # of each phrase
+    items: list[list[str]] = field(default_factory=list)  # of each phrase
 
 
-def phrases(rows: list[tuple[int, bytes]], window: int = WINDOW) -> Phrases:
+def phrases(rows: list[tuple[str, bytes]], window: int = WINDOW) -> Phrases:
     words = split([text for _, text in rows], ALNUM)
     vocabulary = np.unique(words.hashes)
     ids = np.searchsorted(vocabulary, words.hashes) + 1
-    found: dict[tuple, dict[int, None]] = {}
+    found: dict[tuple, dict[str, None]] = {}
     for k, (item, _) in enumerate(rows):
         own = ids[words.first[k] : words.first[k + 1]].tolist()
         for i in range(max(1, len(own) - window + 1) if own else 0):
@@ -173,124 +181,102 @@ def _kept_runs(ids: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarr
     return text, origin
 
 
-def search_shard(texts: list[bytes], query: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
-    """For each text its number of words, merged hit spans (word offsets, end exclusive) and items found."""
+def search_shard(texts: list[bytes], queries: Iterable[Phrases]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+    """For each text its number of words, merged hit spans (word offsets, end exclusive) and items found by any of the queries."""
     words = split(texts, ALNUM)
     n = len(words.hashes)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[int]] = [set() for _ in texts]
-    if n and len(query.lengths):
+    items: list[set[str]] = [set() for _ in texts]
+    edge = np.zeros(n + 1, np.int64)
+    for query in queries if n else ():
         at = np.minimum(np.searchsorted(query.vocabulary, words.hashes), len(query.vocabulary) - 1)
         ids = np.where(query.vocabulary[at] == words.hashes, at + 1, 0)
         text, origin = _kept_runs(ids, words.first, int(query.lengths.min()))
-        if len(text):
-            index = FmIndex(text, len(query.vocabulary) + 1)
-            low, high = index.search(query.symbols, query.lengths)
-            count = high - low
-            hit = np.flatnonzero(count > 0)
-            phrase = np.repeat(hit, count[hit])
-            rows = np.arange(len(phrase)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit]) + low[phrase]
-            begin = origin[index.locate(rows)]
-            owner = np.searchsorted(words.first, begin, side="right") - 1
-            edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, begin + query.lengths[phrase], -1)
-            covered = np.cumsum(edge[:-1]) > 0
-            opens = covered.copy()
-            opens[1:] &= ~covered[:-1]
-            heads = words.first[:-1][words.first[:-1] < n]
-            opens[heads] = covered[heads]
-            closes = covered.copy()
-            closes[:-1] &= ~covered[1:] | opens[1:]
-            for a, b in zip(np.flatnonzero(opens).tolist(), (np.flatnonzero(closes) + 1).tolist(), strict=True):
-                k = int(np.searchsorted(words.first, a, side="right")) - 1
-                spans[k].append((a - int(words.first[k]), b - int(words.first[k])))
-            pairs = np.unique(owner * np.int64(len(query.lengths)) + phrase)
-            for k, p in zip((pairs // len(query.lengths)).tolist(), (pairs % len(query.lengths)).tolist(), strict=True):
-                items[k].update(query.items[p])
+        if not len(text):
+            continue
+        index = FmIndex(text, len(query.vocabulary) + 1)
+        low, high = index.search(query.symbols, query.lengths)
+        count = high - low
+        hit = np.flatnonzero(count > 0)
+        phrase = np.repeat(hit, count[hit])
+        rows = np.arange(len(phrase)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit]) + low[phrase]
+        begin = origin[index.locate(rows)]
+        owner = np.searchsorted(words.first, begin, side="right") - 1
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + query.lengths[phrase], -1)
+        pairs = np.unique(owner * np.int64(len(query.lengths)) + phrase)
+        for k, p in zip((pairs // len(query.lengths)).tolist(), (pairs % len(query.lengths)).tolist(), strict=True):
+            items[k].update(query.items[p])
+    if edge.any():
+        covered = np.cumsum(edge[:-1]) > 0
+        opens = covered.copy()
+        opens[1:] &= ~covered[:-1]
+        heads = words.first[:-1][words.first[:-1] < n]
+        opens[heads] = covered[heads]
+        closes = covered.copy()
+        closes[:-1] &= ~covered[1:] | opens[1:]
+        for a, b in zip(np.flatnonzero(opens).tolist(), (np.flatnonzero(closes) + 1).tolist(), strict=True):
+            k = int(np.searchsorted(words.first, a, side="right")) - 1
+            spans[k].append((a - int(words.first[k]), b - int(words.first[k])))
     for k in range(len(texts)):
         yield int(words.first[k + 1] - words.first[k]), spans[k], sorted(items[k])
 
 
-def _blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
-    """The query set in blocks of bounded size; rows come partition by partition."""
-    rows: list[tuple[int, bytes]] = []
-    size = 0
-    for r in benchmark.select("item_id", F.col("text").cast("string")).where("text is not null").toLocalIterator():
-        rows.append((r[0], r[1].encode()))
-        size += r[1].count(" ") + 1
-        if size >= BLOCK_WORDS:
-            yield phrases(rows, window)
-            rows, size = [], 0
-    if rows:
-        yield phrases(rows, window)
-
-
-RESULT = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))])
-
-
-def _scan_block(docs: DataFrame, query: Phrases, spark: SparkSession) -> DataFrame:
-    sent = spark.sparkContext.broadcast(query)
-    keep = [f.name for f in docs.schema if f.name != "text"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch["text"])
-            begin = 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and (end == begin or size + len(texts[end]) <= SHARD_BYTES):
-                    size += len(texts[end])
-                    end += 1
-                found = list(search_shard(texts[begin:end], sent.value))
-                own = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays(
-                    [own[k] for k in keep] + [pa.array([x[j] for x in found], RESULT.field(j).type) for j in range(3)],
-                    names=keep + RESULT.names,
-                )
-                begin = end
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(scan, f"{kept}, n_words bigint, spans array<array<bigint>>, items array<bigint>")
+def write_queries(benchmark: DataFrame, window: int = WINDOW) -> list[str]:
+    """Writes the query set to the shared folder, in blocks of about ``BLOCK_WORDS`` words; returns the files.
+
+    Items are cut to parts of at most that many words which share window - 1 words, so no window is lost and none is added.
+    """
+    uri = shared_dir(benchmark.sparkSession)
+    text = F.col("text").cast("string")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text.alias("text"), F.regexp_count(text, F.lit(WORD)).alias("n")).where("n > 0")
+    blocks = (items.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS + 1
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)), F.lit(BLOCK_WORDS)), lambda k: F.array_join(F.slice(words, k + 1, F.lit(BLOCK_WORDS + window - 1)), " "))
+    parts = items.select("item", F.explode(F.when(F.col("n") <= BLOCK_WORDS, F.array("text")).otherwise(cut)).alias("text"))
+    parts = parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+
+    def build(table: pa.Table) -> pa.Table:
+        fs, root = pa.fs.FileSystem.from_uri(uri)
+        fs.create_dir(root, recursive=True)
+        query = phrases(list(zip(table["item"].to_pylist(), utf8(table["text"]), strict=True)), window)
+        own, name = f"{root}/.{uuid.uuid4().hex}", f"block-{table['block'][0].as_py():06d}"
+        with fs.open_output_stream(own) as sink:
+            sink.write(pickle.dumps(query))
+        fs.move(own, f"{root}/{name}")
+        return pa.table({"name": [name]})
+
+    return [f"{uri}/{r['name']}" for r in parts.groupBy("block").applyInArrow(build, "name string").orderBy("name").collect()]
+
+
+@lru_cache(maxsize=2)
+def _read_query(file: str) -> Phrases:
+    fs, path = pa.fs.FileSystem.from_uri(file)
+    with fs.open_input_stream(path) as source:
+        return pickle.loads(source.read())
+
+
+def _found(batch: list[bytes], files: list[str]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+    """The results of all texts, shard by shard; a shard meets the blocks one after the other."""
+    for a, b in pieces(np.array([len(x) for x in batch], np.int64), SHARD_BYTES):
+        yield from search_shard(batch[a:b], map(_read_query, files))
+
+
+FOUND = "struct<n_words:bigint,spans:array<array<bigint>>,items:array<string>>"
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, spans (merged removal spans in words, end exclusive) and items (ids found) of each row."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    blocks = _blocks(benchmark, window)
-    one = next(blocks, None) or phrases([], window)
-    two = next(blocks, None)
-    if two is None:
-        return _scan_block(docs, one, spark)
-    # Several blocks: each gives the documents it hits, then a merge by row.
-    keyed = docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    parts = []
-    for query in (one, two, *blocks):
-        parts.append(_scan_block(keyed, query, spark))
-    whole = parts[0]
-    for other in parts[1:]:
-        whole = whole.unionByName(other.where("size(items) > 0"))
-    merged = whole.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") - F.sum((F.size("items") > 0).cast("int")) + 0).alias("_free"),
-    )
-    joined = F.aggregate(
-        F.array_sort("spans"),
-        F.expr("cast(array() as array<array<bigint>>)"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(F.element_at(done, -1), 2) >= s[0]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(F.element_at(done, -1)[0], F.greatest(F.element_at(F.element_at(done, -1), 2), s[1])))),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    counts = keyed.groupBy("doc_id").count()
-    return (
-        counts.join(merged, "doc_id")
-        .select(F.explode(F.sequence(F.lit(1).cast("bigint"), "count")), F.col("doc_id.doc_id").alias("doc_id"), "n_words", joined.alias("spans"), "items")
-        .drop("col")
-    )
+    """doc_id, n_words, spans (merged removal spans in words, end exclusive) and items (ids found, as strings) of each row."""
+    files = write_queries(benchmark, window)
+
+    @F.arrow_udf(FOUND)
+    def search(text: pa.Array) -> pa.Array:
+        n, spans, items = zip(*_found(utf8(text), files), strict=True) if len(text) else ((), (), ())
+        return pa.StructArray.from_arrays(
+            [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=["n_words", "spans", "items"]
+        )
+
+    return docs.select("doc_id", search(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")
 
 
 def judged(scanned: DataFrame, share: int = 20) -> DataFrame:
@@ -308,33 +294,16 @@ def judged(scanned: DataFrame, share: int = 20) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    spark = docs.sparkSession
-    blocks = list(_blocks(benchmark, window))
-    if len(blocks) > 1:
-        bad = judged(scan(docs, benchmark, window), share).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-    query = blocks[0] if blocks else phrases([], window)
-    sent = spark.sparkContext.broadcast(query)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch["text"])
-            good = []
-            begin = 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and (end == begin or size + len(texts[end]) <= SHARD_BYTES):
-                    size += len(texts[end])
-                    end += 1
-                for n, spans, _ in search_shard(texts[begin:end], sent.value):
-                    hit = sum(b - a for a, b in spans)
-                    good.append(not (hit and share * hit >= n))
-                begin = end
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
-
-
-def fingerprint(items: list[int]) -> str:
+    files = write_queries(benchmark, window)
+
+    @F.arrow_udf("boolean")
+    def contaminated(text: pa.Array) -> pa.Array:
+        hit = [(sum(b - a for a, b in spans), n) for n, spans, _ in _found(utf8(text), files)]
+        return pa.array([h > 0 and share * h >= n for h, n in hit], pa.bool_())
+
+    return docs.where(~contaminated(F.col("text").cast("string")))
+
+
+def fingerprint(items: list) -> str:
     """The digest of a list of items, as judged() makes it."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, label string, block int, _score double"
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards brew a bitter potion near the old mill at dawn and nobody sees them".split()
@@ -73,13 +74,7 @@ def test_lm_score(docs, none, order, monkeypatch):
         if len(context) < order:
             assert sum(chance((*context, x)) for x in [*seen, "never"]) == pytest.approx(1.0)
     assert lm.score(none, order=order).count() == 0
-    assert lm.score(docs, training=F_false(), order=order).count() == len(TEXTS)
-
-
-def F_false():
-    from pyspark.sql import functions as F
-
-    return F.lit(False)
+    assert lm.score(docs, training=F.lit(False), order=order).count() == len(TEXTS)
 
 
 def plain_components(texts):
@@ -293,6 +288,9 @@ def test_decontamination(spark, none):
     decontam.BLOCK_WORDS = 5
     try:
         assert {r["doc_id"]: tuple(r)[1:] for r in decontam.judged(decontam.scan(df, items)).collect()} == got
+        assert len(decontam.write_queries(items)) > 2
+        same = df.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, 7).cast("bigint"))  # repeated and null ids
+        assert sorted(r["size"] for r in decontam.clean(same, items).collect()) == [k for k, t in enumerate(texts) if not plain(t)[4]]
     finally:
         decontam.BLOCK_WORDS = old
     assert decontam.scan(none, items).count() == 0
