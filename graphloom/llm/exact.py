@@ -7,7 +7,8 @@ A light table of (doc_id, hashes) then meets the groups that have copies; the ho
 on the light side of that join, which AQE splits.  Two different texts under one pair of hashes
 stop the job instead of being merged.
 
-Null counts as empty; empty texts equal each other; repeated ids count as rows; an empty table
+Null counts as empty; empty texts equal each other; repeated ids count as rows; a null id is less than
+any other, so it stays only where all ids of a text are null; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -28,10 +29,11 @@ def exact_groups(docs: DataFrame, text: Column | None = None, keep: str = "max")
     several = groups.where("group_size > 1").withColumn("group_size", F.when(F.col("_texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share an MD5 and a SHA-256")).cast("bigint")))
     out = hashed.select("doc_id", "_h", "_s").join(several.drop("_texts"), ["_h", "_s"], "left")
     keep_id = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), (F.col("doc_id") == keep_id).alias("kept"), F.lower(F.hex("_s")).alias("text_sha256"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("_s")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows that stay, with all their columns; of rows with one id and one text, all stay."""
-    dropped = exact_groups(docs, keep=keep).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_gone"], "left_anti")
+    """The rows that stay, with all their columns, judged by id and text; of rows with one id and one text, all stay."""
+    dropped = exact_groups(docs, keep=keep).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    own = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_gone"]) & (own == dropped["_sha"]), "left_anti")

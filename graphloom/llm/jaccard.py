@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.shared import shared_dir, written
@@ -156,13 +156,18 @@ def join_group(sets: list[np.ndarray], sizes: np.ndarray, labels: list, side: np
     return out
 
 
-SET_SCHEMA = "n bigint, cls binary, lead int, shared array<bigint>"
+SET_SCHEMA = "h bigint, n bigint, cls binary, lead int, shared array<bigint>"
+
+
+def _hash(docs: DataFrame) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row: doc_id, n (set size), cls (128-bit hash of the set), lead (how much of shared is prefix) and shared: the
+    """Per row: doc_id, h (a hash of the text), n (set size), cls (128-bit hash of the set), lead (how much of shared is prefix) and shared: the
     n-grams that other documents hold too, in global order; empty where the prefix has none of these."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), _hash(docs).alias("h"))
     parts = C.parts_of(C.text_bytes(rows))
     blocks = C.packed(rows)
 
@@ -190,7 +195,7 @@ def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             shared.append(flat[a:b][np.argsort(f, kind="stable")[single:]].view(np.int64) if k else np.empty(0, np.int64))
         return pa.table(
             {
-                "doc_id": table["doc_id"], "n": pa.array(ns, pa.int64()), "cls": pa.array(cls, pa.binary()), "lead": pa.array(leads, pa.int32()),
+                "doc_id": table["doc_id"], "h": table["h"], "n": pa.array(ns, pa.int64()), "cls": pa.array(cls, pa.binary()), "lead": pa.array(leads, pa.int32()),
                 "shared": pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, shared)]), pa.array(np.concatenate(shared) if shared else np.empty(0, np.int64))).cast(pa.list_(pa.int64())),
             }
         )
@@ -325,21 +330,41 @@ def class_links(sets: DataFrame, where: str) -> DataFrame:
     return connected_components(links.unionByName(second)).withColumnRenamed("node", "cls")
 
 
-def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def _members(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, h, n, component_id and first, the component's row that stays (null: the row is alone), for every row."""
     where = shared_dir(docs.sparkSession)
     sets = written(document_sets(docs, width), f"{where}/sets")
     labels = class_links(sets, where)
-    light = sets.select("doc_id", "n", F.when(F.col("lead") > 0, F.col("cls")).alias("cls"))
-    least = light.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
-    least = least.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "low")
-    lowest = least.groupBy("label").agg(F.min("low").alias("component_id"))
-    found = least.join(lowest, "label").select("cls", "component_id")
-    out = light.join(found, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    light = sets.select("doc_id", "h", "n", F.when(F.col("lead") > 0, F.col("cls")).alias("cls"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    least = light.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min(row).alias("first"))
+    least = least.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "low", "first")
+    lowest = least.groupBy("label").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
+    found = least.select("cls", "label").join(lowest, "label").select("cls", "component_id", "first")
+    return light.join(found, "cls", "left").select("doc_id", "h", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "first")
+
+
+def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    return _members(docs, width).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row of each component stays, that of the smallest id; all columns stay.  Rows of one id count as one document."""
-    gone = components(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each component stays, that of the smallest id (then the smallest hash of the text); all columns stay.
+
+    Rows are told apart by id and text; of rows that repeat both, one stays.  Rows without words all stay.
+    """
+    members = written(_members(docs, width), shared_dir(docs.sparkSession))
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h"))
+    linked_rows = members.where("first is not null").withColumn("stays", stays)
+    gone = linked_rows.where("not stays").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
+    again = linked_rows.where("stays").groupBy(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).count().where("count > 1").drop("count")
+    same = lambda side: docs["doc_id"].eqNullSafe(side["_gone"]) & (_hash(docs) == side["_h"])
+    if again.isEmpty():
+        return docs.join(gone, same(gone), "left_anti")
+    both = gone.unionByName(again)
+    once = docs.join(both, same(both), "left_anti")
+    number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    repeated = docs.join(again, same(again), "left_semi").select(row.alias("r"), F.col("doc_id").alias("_id"), _hash(docs).alias("_hash")).withColumn("_k", number)
+    return once.unionByName(repeated.where("_k = 1").select("r.*"))

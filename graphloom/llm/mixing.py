@@ -6,14 +6,14 @@
 2. A document is a block.  A source's blocks have a fixed random order (MD5 of seed and id).  The
    mix takes whole passes of the source and then blocks from the head of that order up to the
    target; the last block is cut at the word where the target is met.  The order is never sorted
-   as a whole: blocks fall into 4096 ranges of the hash by source, sums of the ranges give each
-   range's offset, and only within a range is there a running sum.
+   as a whole: blocks fall into ranges of the hash by source, sums of the ranges give each range's
+   offset, and only within a range is there a running sum.
 3. Each source's exact number of draws is its quota.  The splitting tree starts from all quotas;
    each node divides its quotas between its halves by a multivariate-hypergeometric draw (one
    conditional hypergeometric draw a source, by inverse distribution function outwards from the
    mode), until each leaf holds one output shard's exact quotas.
-4. The k-th draw of a source goes to the shard whose cumulative quota covers k, and a shard orders
-   its draws by a hash of its own.
+4. The k-th draw of a source goes to the shard whose cumulative quota covers k; each shard's draws
+   are gathered and shuffled by a hash of the shard's own.
 
 Everything is DataFrame and SQL functions; reruns agree.  Null or empty texts have size 0 and are
 never drawn; a null source is a source of its own, the last; repeated rows are blocks of their
@@ -22,21 +22,26 @@ own; an empty table gives an empty result; extra columns, whatever their names,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.shared import shared_dir, written
+
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
-RANGE_DIGITS = 3
-#: Levels of the splitting tree: 2 ** LEVELS shards.
-LEVELS = 4
+#: Blocks of a source in one range of the hash, at about; there are 4096 ranges a source at least.
+RANGE_BLOCKS = 50_000
+#: Words in one output shard, at about, and the least number of levels of the splitting tree (2 ** levels shards).
+SHARD_WORDS, LEVELS = 32_000_000, 4
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs' columns as _row0, _row1, ..., doc_id, size (words), a source key that is never null, and the block's place in the random order."""
-    return docs.select(*[docs[c].alias(f"_row{k}") for k, c in enumerate(docs.columns)], "doc_id", "source", "text").withColumns(
+def sized(docs: DataFrame, keep: bool = True) -> DataFrame:
+    """docs' columns (if they are kept) as _row0, _row1, ..., doc_id, size (words), a source key that is never null, and the block's place in the random order."""
+    return docs.select(*[docs[c].alias(f"_row{k}") for k, c in enumerate(docs.columns) if keep], "doc_id", "source", "text").withColumns(
         {
             "size": F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint"),
             "_key": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")),
@@ -119,27 +124,42 @@ def splitting_tree(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) ->
             F.struct((F.col("a") + width).alias("a"), F.zip_with("q", "left", lambda p, r: p - r).alias("q")),
         )
         node = node.select("names", "all", F.explode(halves).alias("h")).select("names", "all", "h.a", "h.q")
+        if _level == 5 and levels > 8:  # a large tree's lower levels are drawn by several tasks
+            node = node.repartition("a")
     leaf = node.select(F.col("a").alias("shard"), F.explode(F.arrays_zip(F.col("names").alias("n"), F.col("q").alias("q"))).alias("z"))
     leaf = leaf.select("shard", F.col("z.n").alias("_n"), F.col("z.q").alias("q"))
     high = F.sum("q").over(Window.partitionBy("_n").orderBy("shard"))
     return leaf.select("_n", "shard", (high - F.col("q")).alias("low"), high.alias("high")).where("high > low")
 
 
-def mix(docs: DataFrame, levels: int = LEVELS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """All rows (docs' columns as _row0, _row1, ...) with doc_id, size, source_size, target, and draws: an array of (pass, shard, words)."""
-    rows = sized(docs).withColumn("_range", F.substring("_h", 1, RANGE_DIGITS))
-    light = rows.select("_key", "_range", "size")
+def levels_of(words: float) -> int:
+    """Levels of the splitting tree for so many drawn words."""
+    return max(LEVELS, math.ceil(math.log2(max(1.0, words / SHARD_WORDS))))
+
+
+def mix(docs: DataFrame, levels: int | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, keep: bool = True) -> DataFrame:
+    """All rows with doc_id, size, source_size, target, and draws: an array of (pass, shard, words); keep: docs' columns are there as _row0, _row1, ..."""
+    light = written(sized(docs, False), shared_dir(docs.sparkSession))  # words are counted once for all that follows
+    n, words = light.agg(F.count("*"), F.sum("size")).first()
+    levels = levels_of(share * (words or 0)) if levels is None else levels
+    digits = max(3, math.ceil(math.log(max(1.0, n / RANGE_BLOCKS), 16)))
+    ranged = lambda rows: rows.withColumn("_range", F.substring("_h", 1, digits))
+    light = ranged(light)
+    rows = ranged(sized(docs)) if keep else light
     goal = targets(light, weights, share, cap)
     inside = Window.partitionBy("_key", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.withColumns({"_sum": F.sum("size").over(inside) - F.col("size"), "_k": F.sum((F.col("size") > 0).cast("bigint")).over(inside) - 1})
+    summed = lambda rows: rows.withColumns({"_sum": F.sum("size").over(inside) - F.col("size"), "_k": F.sum((F.col("size") > 0).cast("bigint")).over(inside) - 1})
+    ranked = summed(rows)
     ranges = light.groupBy("_key", "_range").agg(F.sum("size").alias("words"), F.count(F.when(F.col("size") > 0, 1)).alias("blocks"))
-    upto = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a source
+    upto = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     ranges = ranges.withColumns({"_words0": F.coalesce(F.sum("words").over(upto), F.lit(0)), "_k0": F.coalesce(F.sum("blocks").over(upto), F.lit(0))})
     ranges = ranges.join(goal, "_key")
-    placed = ranked.join(ranges.drop("words"), ["_key", "_range"])
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_words0") - F.col("_sum")))
+    # Blocks before the cut: those of the ranges before it, and those of the cut's own range that are.
+    at_cut = ranges.where((F.col("_words0") < F.col("rest")) & (F.col("rest") <= F.col("_words0") + F.col("words")))
+    placed = summed(light.join(at_cut.select("_key", "_range", "_n", "_words0", "_k0", "rest"), ["_key", "_range"]))
     # A source's draws: its whole passes, and the blocks before the cut.
-    cut = placed.where((F.col("size") > 0) & (extra > 0)).groupBy("_n").agg(F.count("*").alias("m"))
+    cut = placed.groupBy("_n").agg((F.max("_k0") + F.count(F.when((F.col("size") > 0) & (extra > 0), 1))).alias("m"))
     quotas = goal.join(cut, "_n", "left").select("_n", (F.col("passes") * F.col("n_blocks") + F.coalesce("m", F.lit(0))).alias("quota"))
     tree = splitting_tree(quotas, levels).groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("low", "high", "shard"))).alias("cuts"))
     near = lambda x, p: (x["high"] > p * F.col("n_blocks") + F.col("_k0")) & (x["low"] < p * F.col("n_blocks") + F.col("_k0") + F.col("blocks"))
@@ -155,7 +175,7 @@ def mix(docs: DataFrame, levels: int = LEVELS, weights: tuple[int, ...] = WEIGHT
     last = F.when((F.col("size") > 0) & (extra > 0), drawn(F.col("passes"), extra))
     none = F.expr("cast(array() as array<struct<pass:bigint,shard:int,words:bigint>>)")
     draws = F.concat(*[F.coalesce(x, none) for x in (*whole, last)])
-    return out.select(*[f"_row{k}" for k in range(len(docs.columns))], "doc_id", "size", "source_size", "target", draws.alias("draws"), "_h")
+    return out.select(*[f"_row{k}" for k in range(len(docs.columns)) if keep], "doc_id", "size", "source_size", "target", draws.alias("draws"), "_h")
 
 
 def taken(mixture: DataFrame) -> DataFrame:
@@ -164,8 +184,12 @@ def taken(mixture: DataFrame) -> DataFrame:
     return mixture.select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
-def mixed(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """One row a draw with docs' columns, ordered within a task by shard and a hash; the text is cut where a draw is partial, and n_chars follows it."""
+def mixed(docs: DataFrame, levels: int | None = None, shard: str | None = None) -> DataFrame:
+    """One row a draw with docs' columns: each output shard is gathered and shuffled by a hash of its own.
+
+    The text is cut where a draw is partial, and n_chars follows it.  A shard has about ``SHARD_WORDS`` words, so no task
+    grows with the input.  shard: the name of a column that tells it.
+    """
     out = mix(docs, levels).withColumn("_d", F.explode("draws"))
     at = {c: f"_row{k}" for k, c in enumerate(docs.columns)}
     words = F.regexp_extract_all(at["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
@@ -173,5 +197,6 @@ def mixed(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    placed = out.select(*[new.get(c, F.col(n)).alias(n) for c, n in at.items()], F.col("_d.shard").alias("_shard"), F.xxhash64(F.lit(SEED), "_h", F.col("_d.pass")).alias("_place"))
-    return placed.sortWithinPartitions("_shard", "_place").select(*[F.col(n).alias(c) for c, n in at.items()])
+    placed = out.select(*[new.get(c, F.col(n)).alias(n) for c, n in at.items()], F.col("_d.shard").alias("_shard"), F.xxhash64(F.lit(SEED), "_d.shard", "_h", F.col("_d.pass")).alias("_place"))
+    shards = placed.repartition("_shard").sortWithinPartitions("_shard", "_place")
+    return shards.select(*[F.col(n).alias(c) for c, n in at.items()], *[F.col("_shard").alias(shard) for _ in range(shard is not None)])

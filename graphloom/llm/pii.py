@@ -25,18 +25,21 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.shared import shared_dir, written
 from graphloom.llm import spans as S
 
 KINDS = ["email", "ip", "card", "phone"]
 THRESHOLD = 0.5
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+#: A match starts at the head of its run of characters or where the last one ended (\\G), since an earlier start in the run
+#: would do as well; loops that need not step back never do (++).  So a run is read once, whatever its length.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: A maximal run of digits with single separators; runs of other than 16 to 19 digits fail anyway.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Loose forms, and the words that two labelers look for.
 LOOSE = {
-    "spelled": r"[A-Za-z0-9._-]+ ?[\[(]?(?:at|@)[\])]? ?[A-Za-z0-9-]+ ?[\[(]?(?:dot|\.)[\])]? ?(?:com|net|org|edu|de|fr|es)\b",
+    "spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?[\[(]?(?:at|@)[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]?(?:dot|\.)[\])]? ?(?:com|net|org|edu|de|fr|es)\b",
     "number": r"(?<![0-9+.-])(?<![0-9][ .-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![ .-]?[0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -44,7 +47,6 @@ LOOSE = {
 }
 CUES = r"(?i)(?:mail|phone|tel|call|fax|mobile|contact|address|adresse|card|visa|ssn|iban|account|konto|name|dear|ip|host|server)[^A-Za-z]{0,12}$"
 GAZETTEER = r"(?i)^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\b|(?:com|net|org|edu)$|^\+1|^(?:10|192\.168|127)\.|^(?:DE|FR|ES|GB|IT|NL)[0-9]{2}"
-CONTEXT = 30
 
 
 def _digits(x: Column) -> Column:
@@ -84,12 +86,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
     loose = F.concat(*[S.found(F.col("text"), p, k, _needed(k, F.col("text"))) for k, p in LOOSE.items()])
     free = F.filter(loose, lambda s: ~S.overlaps(s, F.col("base")))
-    near = lambda spans: F.transform(
-        spans,
-        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
-                           F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))).alias("before")),
-    )
-    return text.select("doc_id", near(F.col("base")).alias("base"), near(free).alias("loose"))
+    return text.select("doc_id", "base", free.alias("loose"))
 
 
 def votes(s: Column) -> list[Column]:
@@ -174,14 +171,13 @@ def probability(s: Column, model: tuple[float, list[dict[str, float]]]) -> Colum
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, end, text, before)."""
-    found = candidates(docs)
+    found = written(candidates(docs), shared_dir(docs.sparkSession))  # texts are matched once; spans alone go on
     model = train(found)
     likely = F.filter("loose", lambda s: probability(s, model) >= threshold)
     # Of loose spans that overlap, the first by (start, kind) stays.
-    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,text:string,before:string>>)")
     kept = F.aggregate(
-        F.array_sort(F.transform(likely, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s.alias("s")))), empty,
-        lambda done, x: F.when(S.overlaps(x["s"], done), done).otherwise(F.concat(done, F.array(x["s"]))),
+        F.array_sort(F.transform(likely, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s.alias("s")))), F.expr(f"cast(array() as {S.SPAN})"),
+        lambda done, x: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > x["start"]), done).otherwise(F.concat(done, F.array(x["s"]))),
     )
     return found.select("doc_id", "base", F.transform(kept, lambda s: s.withField("kind", F.concat(F.lit("other_"), s["kind"]))).alias("added"))
 

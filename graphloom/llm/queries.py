@@ -68,7 +68,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.mixing import mix, taken
 
-    return taken(mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return taken(mix(_table(spark, sf_dir, "documents"), keep=False))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,9 +44,15 @@ def _place(char: Column) -> Column:
     return F.instr(F.lit(ALPHABET), char)
 
 
+def _chars(string: Column) -> Column:
+    return F.regexp_extract_all(string, F.lit("(?s)."), F.lit(0))
+
+
 def _transitions(strings: DataFrame) -> DataFrame:
     """(label, string) to counts of character pairs (label, a, b, n); a string's start counts as symbol 0."""
-    pairs = strings.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("string")), lambda i: F.struct(F.when(i > 1, F.substring(F.col("string"), i - 1, F.lit(1))).alias("a"), F.substring(F.col("string"), i, F.lit(1)).alias("b")))).alias("p"))
+    chars = strings.select("label", _chars(F.col("string")).alias("c"))
+    pair = lambda c, i: F.struct(F.when(i > 0, F.get("c", i - 1)).alias("a"), c.alias("b"))
+    pairs = chars.select("label", F.explode(F.transform("c", pair)).alias("p"))
     placed = pairs.select("label", F.coalesce(F.instr(F.lit(ALPHABET), F.col("p.a")), F.lit(0)).alias("a"), F.instr(F.lit(ALPHABET), F.col("p.b")).alias("b"))
     return placed.groupBy("label", "a", "b").agg(F.count("*").alias("n"))
 
@@ -90,11 +96,11 @@ def ratio(string: Column, table: list[float]) -> Column:
     scores = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
     start = F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("sum"))
 
-    def step(s: Column, i: Column) -> Column:
-        b = _place(F.substring(string, i, F.lit(1)))
+    def step(s: Column, char: Column) -> Column:
+        b = _place(char)
         return F.struct(b.alias("a"), (s["sum"] + F.element_at(scores, s["a"] * n + b + 1)).alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(string)), start, step, lambda s: s["sum"])
+    return F.aggregate(_chars(string), start, step, lambda s: s["sum"])
 
 
 def scan(docs: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -7,25 +7,56 @@ points.  Both see the whole text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<kind:string,start:int,end:int,text:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,text:string,before:string>>"
+#: Characters before a match that come with it.
+CONTEXT = 30
+#: Matches whose positions are added up together; an aggregate copies its state at every step, so it must stay small.
+CHUNK = 256
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def found(text: Column, pattern: str, kind: str, needed: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches as an array of (kind, start, end, text); needed: a cheap necessary condition."""
+    """Leftmost non-overlapping matches as an array of (kind, start, end, text, before); needed: a cheap necessary condition.
+
+    before: up to ``CONTEXT`` characters, as far back as the first of the ``CHUNK`` matches that are placed together.
+    """
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.zip_with(pieces, hits, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    pairs = F.filter(F.zip_with(pieces, hits, lambda p, m: F.struct(p.alias("gap"), m.alias("m"))), lambda x: x["m"].isNotNull())
+    none = F.expr(f"cast(array() as {SPAN})")
+    last = lambda x: F.right(x, F.lit(CONTEXT))
 
     def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + x["gap"]
+        begin = s["at"] + F.length(x["gap"])
         end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
+        before = last(F.concat(s["tail"], last(x["gap"])))
+        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("text"), before.alias("before"))
+        return F.struct(end.alias("at"), last(F.concat(s["tail"], last(x["gap"]), last(x["m"]))).alias("tail"), F.concat(s["out"], F.array(span)).alias("out"))
+
+    def placed(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.lit("").alias("tail"), none.alias("out")), step, lambda s: s["out"])
+
+    def of_chunks(chunks: Column) -> Column:
+        length = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["m"]))
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        starts = F.aggregate(chunks, begin, lambda s, c: F.struct((s["at"] + length(c)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(chunks, starts, placed))
+
+    def of_pairs(p: Column) -> Column:
+        cut = lambda k: F.slice(p, k, F.lit(CHUNK))
+        few = placed(p, F.lit(0))
+        return F.when(F.size(p) <= CHUNK, few).otherwise(_bound(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(CHUNK)), cut), of_chunks))
 
-    spans = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda s: s["out"])
-    return spans if needed is None else F.when(needed, spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    spans = _bound(pairs, of_pairs)
+    return spans if needed is None else F.when(needed, spans).otherwise(none)
 
 
 def written(spans: Column) -> Column:

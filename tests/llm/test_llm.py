@@ -320,6 +320,26 @@ def test_mixing(spark, docs, none, sf):
     assert mixing.mixed(docs).columns == docs.columns
     assert mixing.mix(big).selectExpr("explode(draws) as d").select("d.shard").distinct().count() == 16
     assert mixing.taken(mixing.mix(none)).count() == 0
+    # Each shard of the mix has the tree's quotas, its blocks are shuffled, and the words of its rows are the query's.
+    from graphloom.llm.queries import op9_mixing
+
+    rows = mixing.mixed(big, shard="shard").select("doc_id", "source", "text", "shard", F.spark_partition_id().alias("part")).collect()
+    quota = Counter()
+    for r in mixing.mix(big).select("_row3", F.explode("draws").alias("d")).collect():
+        quota[r["d"]["shard"], r["_row3"]] += 1
+    assert big.columns[3] == "source" and Counter((r["shard"], r["source"]) for r in rows) == quota
+    sizes = Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 16
+    assert all(len({r["part"] for r in rows if r["shard"] == k}) == 1 for k in sizes)
+    first = [str(r["source"]) for r in rows if r["shard"] == 0]
+    assert first != sorted(first)
+    words_of = Counter()
+    for r in rows:
+        words_of[r["doc_id"]] += len(words(r["text"]))
+    assert {r["doc_id"]: r["taken"] for r in op9_mixing(spark, sf).collect() if r["taken"]} == {k: v for k, v in words_of.items() if v}
+    assert mixing.levels_of(1) == 4 and mixing.levels_of(32e6 * 1000) == 10
+    many = mixing.splitting_tree(spark.createDataFrame([(1, 5000), (2, 70)], "_n int, quota bigint"), 9).collect()
+    assert sum(r["high"] - r["low"] for r in many) == 5070 and len({r["shard"] for r in many}) == 512
 
 
 def test_splitting_tree(spark):
@@ -425,3 +445,54 @@ def test_toxicity_sample_is_read_by_all_tasks(spark, tmp_path):
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
     toxicity.fit(ids.mapInArrow(seen, ids.schema), labels)
     assert len(list(tmp_path.iterdir())) >= 4
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows are judged one by one, whatever their ids."""
+    from graphloom.llm import exact, jaccard, lm, mixing, pii, secrets, toxicity
+
+    a, b, c = " ".join(BASE), " ".join([*BASE, "extra"]), "something else that nobody else has written down here"
+    rows = [(2, a), (1, b), (2, c), (2, a), (None, a), (None, c + " now"), (5, ""), (5, None), (1, b), (7, "only here and nowhere else at all")]
+    df = spark.createDataFrame([(i, t, None, ["s", None][k % 2], 0, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint, size int")
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.components(df).collect()))
+    n = len(BASE) - 4
+    assert got == sorted([(2, n, 1), (1, n + 1, 1), (2, 5, 2), (2, n, 1), (0, n, 1), (0, 6, 2), (5, 0, 5), (5, 0, 5), (1, n + 1, 1), (7, 3, 7)])
+    kept = [r["size"] for r in jaccard.deduplicated(df).collect()]
+    assert len(kept) == 5 and {2, 6, 7, 9} < set(kept) and len({1, 8} & set(kept)) == 1
+    assert jaccard.deduplicated(df).columns == df.columns
+    kept = sorted(r["size"] for r in exact.exact_dedup(df).collect())
+    assert kept == [0, 1, 2, 3, 5, 6, 7, 8, 9]
+    groups = {(r["doc_id"], r["text_sha256"][:4]): r["keep_id"] for r in exact.exact_groups(df).collect()}
+    assert groups[None, hashlib.sha256(a.encode()).hexdigest()[:4]] == 2
+    for f in (lm.score, lambda d: pii.digest(pii.scan(d)), lambda d: secrets.digest(secrets.scan(d)), lambda d: mixing.taken(mixing.mix(d))):
+        assert f(df).count() == len(rows)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (5, 0)], "doc_id bigint, toxic int")
+    scored = toxicity.score(df, labels).collect()
+    assert len(scored) == len(rows) and all(r["held_out"] is not None for r in scored)
+    assert toxicity.rejecting(df, labels).columns == df.columns
+
+
+def test_long_texts_of_dangerous_shape(spark):
+    from graphloom.llm import pii, secrets
+
+    n = 100_000
+    shapes = ["a@b" + ".c" * n, "x" * n + " a@b.cd", "1" * n, "1." * n, "@" * n, "at" * n, "+1" + " " * n + "5", "+1" * 1000, "A" * n + "=", "token" + " " * n + "= abcdefghij", "Qz9" * (n // 3), "f" * n]
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(shapes)], "doc_id bigint, text string, source string").repartition(4)
+    got = {r["doc_id"]: r for r in pii.digest(pii.scan(df)).collect()}
+    assert got[0]["spans"].startswith(f"email:0:{2 * n + 3}") and f"email:{n + 1}:{n + 7}" in got[1]["spans"]
+    assert got[3]["n_ip"] == n // 4 and got[4]["spans"] == got[5]["spans"] == ""
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(df)).collect()}
+    assert got[9]["n_assign"] == 1 and got[11]["n_hex"] == 1
+
+
+def test_base_patterns_match_the_plain_ones(spark):
+    from graphloom.llm import pii
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("ab1.@-_%+ ,"), rng.integers(0, 40))) for _ in range(3000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    for r in df.select("doc_id", pii.base_spans(F.col("text")).alias("s")).collect():
+        t = texts[r["doc_id"]]
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)]
+        assert [(s["kind"], s["start"], s["end"]) for s in r["s"] if s["kind"] in ("email", "ip")] == want
