@@ -41,7 +41,7 @@ LENGTH = 2048
 #: Sequences in a batch, and batches in a file (64 MiB of two-byte ids).
 BATCH, FILE_BATCHES = 256, 64
 #: Bytes of text encoded at a time, and pieces that a worker remembers.
-CHUNK_BYTES, CACHE = 2 << 20, 1_500_000
+CHUNK_BYTES, CACHE = 2 << 20, 400_000
 #: Words encoded in one call, and the longest piece that is remembered.
 WORDS, LONGEST = 256, 64
 #: The signs that stand for a blank and a line end in the tokens of a byte-level vocabulary.
