@@ -47,6 +47,11 @@ ONTOLOGY = {
     "REFUTES": ("InternalExperiment", "HypothesisRecord"),
     "SUPPORTED_BY": ("* - Source", "Source"),
 }
+#: The schema's edge types.
+ONTOLOGY_TYPES = [
+    "IMPROVES", "DEGRADES", "CAUSES", "MITIGATES", "REQUIRES_CONDITION", "SYNTHESIZED_BY", "CHARACTERIZED_BY", "HAS_FAILURE_MODE", "APPLIED_IN", "SUPPORTED_BY", "SUBCLASS_OF",
+    "REQUIRES_EQUIPMENT", "USES_FEEDSTOCK", "IMPACTS_COST", "HAS_REGULATION", "ANALOGOUS_TO", "SUBSTITUTE_FOR", "TESTED_BY", "CONFIRMS", "REFUTES",
+]
 CAUSAL = ["IMPROVES", "DEGRADES", "CAUSES", "MITIGATES", "REQUIRES_CONDITION", "HAS_FAILURE_MODE"]
 BUSINESS = ["IMPACTS_COST", "HAS_REGULATION", "SUBSTITUTE_FOR", "REQUIRES_EQUIPMENT"]
 ONTOLOGICAL_EDGES = ["SYNTHESIZED_BY", "CHARACTERIZED_BY", "IMPROVES", "DEGRADES", "CAUSES", "REQUIRES_CONDITION", "HAS_FAILURE_MODE", "MITIGATES", "APPLIED_IN", "SUBCLASS_OF", "MENTIONS"]

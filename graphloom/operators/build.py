@@ -153,6 +153,41 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.groupBy("rule", "entity").agg(F.count("*").alias("n"))
 
 
+#: The schema's closed lists.
+SOURCE_TYPES = ["literature", "patent", "internal_report", "lab_notebook", "database"]
+RISKS = ["low", "medium", "high", "critical"]
+ROLES = ["causal", "structural", "taxonomic", "economic", "operational"]
+DIRECTIONS = ["positive", "negative", "neutral"]
+
+
+def schema_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rule, entity, n) of every broken rule of the graph schema: required fields, closed lists, patterns and ranges.
+
+    nodes: id, type, name and optionally source_type, supply_chain_risk; edges: source, target, type and optionally the
+    attributes' columns.  A required attribute whose column is absent is missing in every edge.  One pass over each table.
+    """
+
+    def broken(df: DataFrame, entity: Column, rules: dict[str, Column]) -> DataFrame:
+        found = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()]))
+        return df.select(F.explode(found).alias("rule"), entity.alias("entity"))
+
+    def listed(df: DataFrame, prefix: str, lists: dict[str, list[str]]) -> dict[str, Column]:
+        return {f"{prefix}_{c}": ~F.col(c).isin(*values) for c, values in lists.items() if c in df.columns}
+
+    node_rules = {f"node_{c}_required": F.col(c).isNull() for c in ("id", "type", "name")}
+    node_rules |= {"node_id_pattern": ~F.col("id").rlike("^[A-Za-z0-9:_-]+$")}
+    node_rules |= listed(nodes, "node", {"type": list(O.NODE_CODES), "source_type": SOURCE_TYPES, "supply_chain_risk": RISKS})
+    needed = ("source", "target", "type", "confidence_score", "evidence_quote", "source_doi", "relation_role")
+    edge_rules = {f"edge_{c}_required": F.col(c).isNull() if c in edges.columns else F.lit(True) for c in needed}
+    edge_rules |= listed(edges, "edge", {"type": O.ONTOLOGY_TYPES, "relation_role": ROLES, "direction": DIRECTIONS})
+    if "confidence_score" in edges.columns:
+        edge_rules["edge_confidence_score_range"] = ~F.col("confidence_score").between(0, 1)
+    if "co_occurrence_count" in edges.columns:
+        edge_rules["edge_co_occurrence_count_range"] = F.col("co_occurrence_count") < 0
+    every = broken(nodes, F.coalesce("id", F.lit("")), node_rules).unionByName(broken(edges, F.concat_ws("|", "source", "target", "type"), edge_rules))
+    return every.groupBy("rule", "entity").agg(F.count("*").alias("n"))
+
+
 def concept_violations(concepts: DataFrame) -> DataFrame:
     """(rule, concept_id): repeated ids, a term among its aliases, repeated aliases, all without regard to case."""
     low = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a))

@@ -136,6 +136,24 @@ def before_after(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, Da
     return count(before[0], "nodes_before").join(count(after[0], "nodes_after")).join(count(before[1], "edges_before")).join(count(after[1], "edges_after"))
 
 
+# The node types that long-range edges may join.
+TARGET_TYPES = [
+    "Material", "Property", "SynthesisMethod", "CharacterizationMethod", "FailureMode", "Mechanism", "Condition", "Application", "Source", "Equipment", "BusinessMetric",
+    "InternalExperiment", "Constraint", "HypothesisRecord", "KPI_Target", "Concept", "Chunk", "Assessment",
+]
+
+
+def target_nodes(nodes: DataFrame) -> DataFrame:
+    """The nodes of the eligible types whose text is not blank."""
+    return nodes.where(F.col("type").isin(*TARGET_TYPES) & F.coalesce("text", F.lit("")).rlike(r"\S"))
+
+
+def without_self_loops(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E5: the edges without self-loops, and one row with how many were removed (removed) and stayed (kept)."""
+    loop = F.col("source") == F.col("target")
+    return edges.where(~loop), edges.agg(F.count_if(loop).alias("removed"), F.count_if(~loop).alias("kept"))
+
+
 def long_range_candidates(neighbours: DataFrame, edges: DataFrame, least: float = 0.75, most: int = 3, backward: bool = False) -> DataFrame:
     """(source, target, similarity, existing): similar pairs in id order (or against it), the ``most`` best of a source, with the types of the edges between them."""
     side = F.col("id") > F.col("other") if backward else F.col("id") < F.col("other")

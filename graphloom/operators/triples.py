@@ -69,14 +69,14 @@ def labels_of(nodes: DataFrame, kind: str) -> DataFrame:
 def known_in_goals(goals: DataFrame, labels: DataFrame) -> DataFrame:
     """(goal_id, label) where the label occurs in the goal, case-insensitively.
 
-    Labels meet the goals by the goal's substrings that start at a word and have a label's number of words, in an equi-join; the exact
-    containment is checked afterwards.  Labels that start inside a word are found through their first whole word's start.
+    A label is met by equality with the goal's substrings of the lengths that occur among the labels, so neither side is paired
+    with all of the other.  Blank labels are left out.
     """
-    words = r"[^\s]+"
-    sized = labels.select("label", F.lower("label").alias("low")).withColumn("n", F.size(F.regexp_extract_all("low", F.lit(words), 0))).where("n > 0")
-    sized = sized.withColumn("key", F.element_at(F.regexp_extract_all("low", F.lit("[a-z0-9#]+"), 0), 1))
-    parts = goals.select("goal_id", F.lower("goal").alias("g")).withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all("g", F.lit("[a-z0-9#]+"), 0))))
-    return parts.join(sized, "key").where(F.contains("g", F.col("low"))).select("goal_id", "label").distinct()
+    sized = labels.select("label", F.lower("label").alias("low")).where(F.trim("low") != "")
+    lengths = sized.agg(F.collect_set(F.length("low")).alias("lengths"))  # one row, as long as the longest label at most
+    parts = goals.select("goal_id", F.lower("goal").alias("g")).crossJoin(F.broadcast(lengths)).select("goal_id", "g", F.explode("lengths").alias("n")).where(F.length("g") >= F.col("n"))
+    parts = parts.select("goal_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("g") - F.col("n") + 1), lambda i: F.substring("g", i, F.col("n"))))).alias("low"))
+    return parts.join(sized, "low").select("goal_id", "label").distinct()
 
 
 def application_context(found: DataFrame) -> DataFrame:

@@ -141,6 +141,45 @@ def _(s, d):
     return build.violations(*graph(s, d))
 
 
+EDGE_SCHEMA = f"""
+select source, target, type, confidence as confidence_score, case when pos % 10 <> 0 then 'quote ' || pos end as evidence_quote, case when pos % 14 <> 0 then 'doi:' || pos end as source_doi,
+       case when type in ({IN(O.CAUSAL)}) then 'causal' when pos % 6 = 0 then 'odd' else 'structural' end as relation_role, case when pos % 12 = 0 then 'up' when pos % 2 = 0 then 'positive' end as direction, co_occurrence_count - 1 as co_occurrence_count"""
+NODE_SCHEMA = "select case when pos % 45 = 0 then id || ' !' else id end as id, case when pos % 60 = 0 then 'Metal' else type end as type, case when pos % 75 <> 0 then name end as name, case when pos % 8 = 0 then 'patent' when pos % 90 = 0 then 'blog' end as source_type"
+
+
+@query("c16_schema_violations", f"""with n as ({NODE_SCHEMA} from nodes), e as (select *, source || '|' || target || '|' || type as k from ({EDGE_SCHEMA} from edges))
+  select rule, entity, count(*) as n from (
+   select 'node_name_required' as rule, id as entity from n where name is null
+   union all select 'node_id_pattern', id from n where not regexp_matches(id, '^[A-Za-z0-9:_-]+$')
+   union all select 'node_type', id from n where type not in ({IN(O.NODE_CODES)})
+   union all select 'node_source_type', id from n where source_type not in ('literature', 'patent', 'internal_report', 'lab_notebook', 'database')
+   union all select 'edge_confidence_score_required', k from e where confidence_score is null
+   union all select 'edge_evidence_quote_required', k from e where evidence_quote is null
+   union all select 'edge_source_doi_required', k from e where source_doi is null
+   union all select 'edge_type', k from e where type not in ({IN(O.ONTOLOGY_TYPES)})
+   union all select 'edge_relation_role', k from e where relation_role not in ('causal', 'structural', 'taxonomic', 'economic', 'operational')
+   union all select 'edge_direction', k from e where direction not in ('positive', 'negative', 'neutral')
+   union all select 'edge_confidence_score_range', k from e where confidence_score < 0 or confidence_score > 1
+   union all select 'edge_co_occurrence_count_range', k from e where co_occurrence_count < 0
+  ) group by 1, 2""")
+def _(s, d):
+    n, e = graph(s, d)
+    return build.schema_violations(s.sql(NODE_SCHEMA + " from {n}", n=n), s.sql(EDGE_SCHEMA + " from {e}", e=e))
+
+
+GOALS = """select c_custkey as goal_id, case c_custkey % 3 when 0 then 'Improve ' || upper(c_name) || ' at lower cost' when 1 then 'A cheaper ' || p_name || ', please' else 'Nothing that is known' end as goal"""
+
+
+@query("i10_goal_context", f"""with g as (select goal_id, lower(goal) as goal from ({GOALS} from customer left join part on p_partkey = c_custkey)),
+  l as (select distinct lower(coalesce(nullif(name, ''), id)) as low, coalesce(nullif(name, ''), id) as label, type from nodes where type in ('Application', 'Material')),
+  h as (select goal_id, count(distinct label) filter (type = 'Application') as apps, count(distinct label) filter (type = 'Material') as mats from g join l on contains(goal, low) group by 1)
+  select goal_id, case when apps > 0 then 'application' when mats > 0 then 'material' else 'none' end as route, case when apps > 0 then apps when mats > 0 then mats else 0 end as n from g left join h using (goal_id)""")
+def _(s, d):
+    goals = s.sql(GOALS + " from {c} left join {p} on p_partkey = c_custkey", c=table(s, d, "customer"), p=table(s, d, "part"))
+    n, e = graph(s, d)
+    return triples.goal_context(goals, n, triples.triples(n, e))
+
+
 @query("c12_soft_validation", f"with {VALID} select type, count(*) as n from valid group by type")
 def _(s, d):
     return build.valid_edges(*graph(s, d)).groupBy("type").agg(F.count("*").alias("n"))

@@ -530,6 +530,28 @@ def _(s, d):
     return similarity.duplicate_report(similarity.duplicate_map(pairs), pairs)
 
 
+@query("e1_target_nodes", "select id, type from nodes where definition is not null and trim(definition) <> '' union all select id, type from chunks where regexp_matches(text, '[^ \\t\\r\\n]')")
+def _(s, d):
+    n, c = table(s, d, "nodes"), table(s, d, "chunks")
+    every = n.select("id", "type", F.col("definition").alias("text")).unionByName(c.select("id", "type", "text")).unionByName(n.select("id", F.lit("Slice").alias("type"), F.col("name").alias("text")))
+    return similarity.target_nodes(every).select("id", "type")
+
+
+@query("e5_self_loops", "select count(*) filter (source = target) as removed, count(*) filter (source <> target) as kept from edges")
+def _(s, d):
+    return similarity.without_self_loops(table(s, d, "edges"))[1]
+
+
+@query("d8_before_after", """with m as (select 'prp_' || n_nationkey as id, 'prp_' || (n_nationkey - 1) as master from nation where n_nationkey % 2 = 1), x as (select distinct coalesce(a.master, e.source) as source, coalesce(b.master, e.target) as target, e.type from edges e left join m a on a.id = e.source left join m b on b.id = e.target)
+  select (select count(*) from nodes) as nodes_before, (select count(*) from nodes where id not in (select id from m)) as nodes_after, (select count(*) from edges) as edges_before,
+         (select count(*) from x where source in (select id from nodes) and target in (select id from nodes)) as edges_after""")
+def _(s, d):
+    n, e = graph(s, d)
+    n = n.withColumn("text", F.col("name"))
+    mapping = table(s, d, "nation").where("n_nationkey % 2 = 1").select(F.concat(F.lit("prp_"), "n_nationkey").alias("duplicate"), F.concat(F.lit("prp_"), (F.col("n_nationkey") - 1).cast("string")).alias("master"))
+    return similarity.before_after((n, e), similarity.rewritten(n, e, mapping))
+
+
 @query("e2_candidates")
 def _(s, d):
     v = vectors(s, d)

@@ -371,3 +371,28 @@ def test_query_matches_sql(spark, sf, name):
         con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{sf}/{f}'")
     want = con.sql(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({registry.ORACLE[name]})").fetchall()
     assert canonical(df.select(*columns).collect()) == canonical(want)
+
+
+def test_schema_targets_and_self_loops(spark):
+    from graphloom.operators import build, similarity
+
+    nodes = spark.createDataFrame([("a", "Material", "x", "patent"), ("b !", "Metal", None, "blog"), (None, "Source", "y", None)], "id string, type string, name string, source_type string")
+    edges = spark.createDataFrame([("a", "a", "CAUSES", 0.5, "causal", -1), ("a", "b", "LIKES", 1.5, None, 0)], "source string, target string, type string, confidence_score double, relation_role string, co_occurrence_count int")
+    got = {(r["rule"], r["entity"]) for r in build.schema_violations(nodes, edges).collect()}
+    missing = {(f"edge_{c}_required", e) for c in ("evidence_quote", "source_doi") for e in ("a|a|CAUSES", "a|b|LIKES")}
+    assert got == missing | {
+        ("node_id_pattern", "b !"), ("node_type", "b !"), ("node_name_required", "b !"), ("node_source_type", "b !"), ("node_id_required", ""),
+        ("edge_co_occurrence_count_range", "a|a|CAUSES"), ("edge_type", "a|b|LIKES"), ("edge_confidence_score_range", "a|b|LIKES"), ("edge_relation_role_required", "a|b|LIKES"),
+    }
+    texts = spark.createDataFrame([("a", "Chunk", "t"), ("b", "Chunk", " \n"), ("c", "Slice", "t"), ("d", "KPI_Target", None)], "id string, type string, text string")
+    assert [r["id"] for r in similarity.target_nodes(texts).collect()] == ["a"]
+    rest, count = similarity.without_self_loops(edges)
+    assert rest.count() == 1 and tuple(count.first()) == (1, 1)
+
+
+def test_labels_inside_goals(spark):
+    from graphloom.operators import triples
+
+    goals = spark.createDataFrame([(1, "Cheaper part#1027 now"), (2, ""), (3, None)], "goal_id int, goal string")
+    labels = spark.createDataFrame([("Part#10",), ("part#1027",), ("ow",), (" ",), ("",)], "label string")
+    assert {tuple(r) for r in triples.known_in_goals(goals, labels).collect()} == {(1, "Part#10"), (1, "part#1027"), (1, "ow")}
