@@ -191,9 +191,9 @@ def _(s, d):
     return build.concept_violations(c)
 
 
-@query("c14_fill_defaults", "select id, substring(text, 1, 50) as name, '' as definition, pos as node_offset, 3 as difficulty from chunks where text <> ''")
+@query("c14_fill_defaults", "select id, text as name, '' as definition, pos as node_offset, 3 as difficulty from chunks where text <> ''")
 def _(s, d):
-    c = table(s, d, "chunks").where("text <> ''").select("id", F.lit(None).cast("string").alias("name"), F.substring("text", 1, 50).alias("text"), F.lit(None).cast("string").alias("definition"), F.lit(None).cast("bigint").alias("node_offset"), F.lit(None).cast("int").alias("difficulty"))
+    c = table(s, d, "chunks").where("text <> ''").select("id", F.lit(None).cast("string").alias("name"), "text", F.lit(None).cast("string").alias("definition"), F.lit(None).cast("bigint").alias("node_offset"), F.lit(None).cast("int").alias("difficulty"))
     return build.fill_defaults(c).drop("text")
 
 
@@ -262,9 +262,9 @@ def _(s, d):
     return triples.material_relations(*graph(s, d)).withColumn("entities", F.array_join("entities", ";"))
 
 
-@query("i11_triple_search", f"with {TRIPLES} select Object, cast(sum(Count) as bigint) as Count from triples where contains(lower(Subject), '1') and Rel = 'CHM-SYN' group by Object order by 2 desc, 1 limit 20")
+@query("i11_triple_search", f"with {TRIPLES} select Object, cast(sum(Count) as bigint) as Count from triples where contains(lower(Subject), 'ring') and Rel = 'CHM-SYN' group by Object order by 2 desc, 1 limit 20")
 def _(s, d):
-    return triples.search(triples.triples(*graph(s, d)), "1", "CHM-SYN")
+    return triples.search(triples.triples(*graph(s, d)), "ring", "CHM-SYN")
 
 
 @query("i12_entity_lookup", f"with {TRIPLES} select distinct entity from (select Subject as entity from triples union select Object from triples) where starts_with(entity, 'Supplier')")
@@ -288,31 +288,47 @@ def _(s, d):
     return metrics.degrees(n, metrics.collapsed(e))
 
 
-PR = """with recursive n as (select count(*) as n from documents), e as (select source, target from citations), o as (select source, count(*) as k from e group by 1),
+def pagerank_sql(rounds: int) -> str:
+    """Ranks of papers after so many rounds."""
+    return f"""with recursive n as (select count(*) as n from documents), e as (select source, target from citations), o as (select source, count(*) as k from e group by 1),
   r(i, id, pr) as (select 0, doc_id, 1.0e0 / n from documents, n
     union all (with g as (select e.target as id, sum(r.pr / o.k) as got from r join e on e.source = r.id join o on o.source = r.id group by 1), lost as (select coalesce(sum(pr), 0) as lost from r where id not in (select source from o)), step as (select max(i) as i from r)
-    select step.i + 1, d.doc_id, 0.15e0 / n.n + 0.85e0 * (coalesce(g.got, 0) + lost.lost / n.n) from documents d left join g on g.id = d.doc_id, n, lost, step where step.i < 20))"""
+    select step.i + 1, d.doc_id, 0.15e0 / n.n + 0.85e0 * (coalesce(g.got, 0) + lost.lost / n.n) from documents d left join g on g.id = d.doc_id, n, lost, step where step.i < {rounds}))
+  select id, round(pr, 8) as pagerank from r where i = {rounds}"""
 
 
-@query("f6_citation_pagerank", PR + " select id, round(pr, 8) as pagerank from r where i = 20")
+def settled_sql(types: list[str] | None, weight: str, name: str) -> str:
+    """Weighted PageRank of the nodes over the edges of the types: up to 100 rounds, and none after a fifth one that moves less than n * 1e-6."""
+    only = f"where type in ({IN(types)})" if types else ""
+    return f"""with recursive n as (select count(*) as n from nodes), c as (select *, row_number() over (partition by source, target order by pos desc, type desc) as rn from edges {only}),
+  e as (select source, target, {weight} as w from c where rn = 1 and {weight} > 0 and source in (select id from nodes) and target in (select id from nodes)),
+  o as (select source, sum(w) as k from e group by 1), p as (select e.source, target, w / k as p from e join o using (source)),
+  r(i, id, pr, moved) as (select 0, id, 1.0e0 / n, cast(null as double) from nodes, n
+    union all (with g as (select p.target as id, sum(r.pr * p.p) as got from r join p on p.source = r.id group by 1), lost as (select coalesce(sum(pr), 0) as lost from r where id not in (select source from o)), step as (select max(i) as i, sum(moved) as m from r)
+    select step.i + 1, r.id, 0.15e0 / n.n + 0.85e0 * (coalesce(g.got, 0) + lost.lost / n.n), abs(0.15e0 / n.n + 0.85e0 * (coalesce(g.got, 0) + lost.lost / n.n) - r.pr)
+    from r left join g on g.id = r.id, n, lost, step where step.i < 100 and not (step.i % 5 = 0 and step.i > 0 and step.m < n.n * 1e-6)))
+  select id, round(pr, 9) as {name} from r where i = (select max(i) from r)"""
+
+
+@query("f6_citation_pagerank", pagerank_sql(20))
 def _(s, d):
     nodes = table(s, d, "documents").select(F.col("doc_id").alias("id"))
     return metrics.pagerank(nodes, table(s, d, "citations"), rounds=20, tolerance=0, weighted=False).select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
-@query("f6_citation_pagerank_60")
+@query("f6_citation_pagerank_60", pagerank_sql(60))
 def _(s, d):
     nodes = table(s, d, "documents").select(F.col("doc_id").alias("id"))
     return metrics.pagerank(nodes, table(s, d, "citations"), rounds=60, tolerance=0, weighted=False).select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
-@query("f4_pagerank")
+@query("f4_pagerank", settled_sql(None, "coalesce(confidence, 1.0e0)", "pagerank"))
 def _(s, d):
     n, e = graph(s, d)
     return metrics.pagerank(n, metrics.collapsed(e).withColumn("weight", F.coalesce("confidence", F.lit(1.0)))).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
-@query("f5_relation_pagerank")
+@query("f5_relation_pagerank", settled_sql(O.ONTOLOGICAL_EDGES, "1.0e0", "pagerank"))
 def _(s, d):
     n, e = graph(s, d)
     return metrics.pagerank(n, metrics.collapsed(e.where(F.col("type").isin(*O.ONTOLOGICAL_EDGES)))).select("id", F.round("pagerank", 9).alias("pagerank"))
@@ -336,11 +352,11 @@ def _(s, d):
     return metrics.material_counters(*graph(s, d))
 
 
-@query("f14_proximity", """with recursive e as (select distinct source, target from edges), r(goal, id, d) as (select id, id, 0 from nodes where type = 'Condition' union select r.goal, e.source, r.d + 1 from r join e on e.target = r.id where r.d < 3)
+@query("f14_proximity", """with recursive e as (select distinct source, target from edges), r(goal, id, d) as (select id, id, 0 from nodes where type = 'Condition' union select r.goal, e.source, r.d + 1 from r join e on e.target = r.id where r.d < 5)
   select n.id, coalesce(max(1.0e0 / (m.d + 1)), 0) as proximity from nodes n left join (select goal, id, min(d) as d from r group by 1, 2) m on m.id = n.id and m.goal <> m.id group by 1""")
 def _(s, d):
     n, e = graph(s, d)
-    return metrics.proximity(n, e, "Condition", hops=3)
+    return metrics.proximity(n, e, "Condition")
 
 
 @query("f16_bridge_scores", """with b as (select source as id, target as other from edges union select target, source from edges), s as (select b.id, avg(case when x.cluster_id <> y.cluster_id then 1.0e0 else 0.0e0 end) as share from b join nodes x on x.id = b.id join nodes y on y.id = b.other where b.id <> b.other group by 1)

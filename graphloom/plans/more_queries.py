@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import ontology as O
 from graphloom.functions.shared import shared_dir
 from graphloom.operators import metrics, paths
-from graphloom.plans.graph_queries import graph
+from graphloom.plans.graph_queries import graph, settled_sql
 from graphloom.plans.tables import table, with_tables
 from graphloom.sources import files
 
@@ -71,7 +71,7 @@ def _(s, d):
     return metrics.prerequisites(*plants(s, d))
 
 
-@query("f12_importance")
+@query("f12_importance", settled_sql(O.IMPORTANT_EDGES, "1.0e0", "importance"))
 def _(s, d):
     n, e = graph(s, d)
     return metrics.pagerank(n, metrics.collapsed(e.where(F.col("type").isin(*O.IMPORTANT_EDGES)))).select("id", F.round("pagerank", 9).alias("importance"))
@@ -120,28 +120,30 @@ def _(s, d):
     return paths.ladder_path(n, e, "mat_3", "cnd_1", [["SUBSTITUTE_FOR"], ["SYNTHESIZED_BY", "REQUIRES_CONDITION"]])
 
 
-@query("a3_graph_round_trip", "select id, type, pos from (select id, type, row_number() over (partition by cluster_id order by id) - 1 as pos from nodes where type <> 'Application')")
+@query("a3_graph_round_trip", "select id, type, pos from (select id, type, row_number() over (partition by cluster_id, pos // 500 order by id) - 1 as pos from nodes where type <> 'Application')")
 def _(s, d):
     where = shared_dir(s)
     n = table(s, d, "nodes").where("type <> 'Application'")
-    docs = n.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("id", "type", "name"))).alias("nodes"), F.array(F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("X").alias("type"))).alias("edges")).drop("cluster_id")
-    docs.repartition(8).write.option("maxRecordsPerFile", 1).json(where)
+    docs = n.groupBy("cluster_id", F.floor(F.col("pos") / 500)).agg(  # a bounded number of nodes a document
+        F.array_sort(F.collect_list(F.struct("id", "type", "name"))).alias("nodes"), F.array(F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("X").alias("type"))).alias("edges")
+    ).select("nodes", "edges")
+    docs.write.option("maxRecordsPerFile", 1).json(where)
     return files.read_graph(s, where)[0].select("id", "type", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("a4_concepts_round_trip", "select concept_id, term from concepts")
 def _(s, d):
     where = shared_dir(s)
-    c = table(s, d, "concepts").select("concept_id", F.struct(F.col("term").alias("primary"), F.array(F.lit("x")).alias("aliases")).alias("term"), "definition")
-    c.groupBy(F.pmod(F.hash("concept_id"), F.lit(4)).alias("k")).agg(F.collect_list(F.struct("concept_id", "term", "definition")).alias("concepts")).drop("k").write.option("maxRecordsPerFile", 1).json(where)
+    c = table(s, d, "concepts").select("concept_id", F.struct(F.col("term").alias("primary"), F.array(F.lit("x")).alias("aliases")).alias("term"), "definition", F.floor(F.col("pos") / 500).alias("k"))
+    c.groupBy("k").agg(F.collect_list(F.struct("concept_id", "term", "definition")).alias("concepts")).drop("k").write.option("maxRecordsPerFile", 1).json(where)
     return files.read_concepts(s, where).select("concept_id", "term")
 
 
-@query("a5_works_round_trip", "select 'W' || doc_id as id, left(text, 30) as title from documents")
+@query("a5_works_round_trip", "select 'W' || doc_id as id, text as title from documents")
 def _(s, d):
     where = shared_dir(s)
-    w = table(s, d, "documents").select(F.struct(F.concat(F.lit("W"), "doc_id").alias("id"), F.substring("text", 1, 30).alias("display_name")).alias("w"), "source")
-    w.groupBy("source").agg(F.collect_list("w").alias("results")).drop("source").write.option("maxRecordsPerFile", 1).json(where)
+    w = table(s, d, "documents").select(F.struct(F.concat(F.lit("W"), "doc_id").alias("id"), F.col("text").alias("display_name")).alias("w"), F.floor(F.col("doc_id") / 200).alias("k"))
+    w.groupBy("k").agg(F.collect_list("w").alias("results")).drop("k").write.option("maxRecordsPerFile", 1).json(where)
     return files.read_works(s, where).select("id", F.col("display_name").alias("title"))
 
 
@@ -160,8 +162,52 @@ def _(s, d):
     return s.read.schema("paper_id bigint, full_text_chars bigint").json(f"{where}/papers")
 
 
-@query("a15_file_list", "select source as folder, count(*) as n from (select distinct source from documents) group by 1")
+@query("a15_file_list", "select source as folder, cast(sum(coalesce(strlen(text), 0) + 1) as bigint) as bytes from documents group by 1")
 def _(s, d):
     where = shared_dir(s)
-    table(s, d, "documents").groupBy("source").agg(F.first("text").alias("value")).repartition("source").write.partitionBy("source").text(where)
-    return files.list_files(s, where).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder")).groupBy("folder").agg(F.count("*").alias("n"))
+    table(s, d, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(where)
+    return files.list_files(s, where).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder"), "bytes").groupBy("folder").agg(F.sum("bytes").alias("bytes"))
+
+
+@query("a1_documents", "select source as folder, cast(sum(coalesce(length(text), 0) + 1) as bigint) as chars from documents group by 1")
+def _(s, d):
+    where = shared_dir(s)
+    table(s, d, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(where)
+    return files.read_documents(s, where)[0].select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder"), F.length("text").alias("n")).groupBy("folder").agg(F.sum("n").alias("chars"))
+
+
+@query("a6_preferences", """select 'W' || doc_id as preferred, 'V' || doc_id as over, nullif(trim(lang), '') as reason, case when doc_id % 3 = 0 then 'expert' else 'list ' || (doc_id // 500) end as source
+  from documents where doc_id % 5 <> 0""")
+def _(s, d):
+    where = shared_dir(s)
+    key = F.col("doc_id").cast("string")
+    pair = F.struct(
+        F.concat(F.lit(" W"), key).alias("preferred"), F.when(F.col("doc_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("V"), key, F.lit(" "))).alias("over"),
+        F.concat(F.lit(" "), "lang").alias("reason"), F.when(F.col("doc_id") % 3 == 0, F.lit(" expert ")).alias("source"),
+    )
+    rows = table(s, d, "documents").select(F.floor(F.col("doc_id") / 500).alias("k"), pair.alias("p"))
+    lists = rows.groupBy("k").agg(F.collect_list("p").alias("preferences"))
+    lists.select(F.concat(F.lit("list "), "k").alias("source"), "preferences").write.option("maxRecordsPerFile", 1).json(where)
+    return files.read_preferences(s, where)
+
+
+@query("a7_notes", """select 'W' || doc_id as paper_id, case when doc_id % 3 = 0 then 'failed' else 'reproduced' end as status, nullif(left(trim(text), 500), '') as claim, 2 as commands
+  from documents where doc_id % 4 <> 0""")
+def _(s, d):
+    where = shared_dir(s)
+    note = F.struct(
+        F.concat(F.lit("W"), "doc_id", F.lit(" ")).alias("paperId"), F.when(F.col("doc_id") % 4 == 0, "unknown").when(F.col("doc_id") % 3 == 0, " FAILED").otherwise("Reproduced").alias("status"),
+        F.col("text").alias("centralClaim"), F.array(F.lit("make"), F.lit("run")).alias("commands"),
+    )
+    rows = table(s, d, "documents").select(F.floor(F.col("doc_id") / 200).alias("k"), note.alias("n"))
+    rows.groupBy("k").agg(F.collect_list("n").alias("notes")).select("notes").write.option("maxRecordsPerFile", 1).json(where)
+    return files.read_notes(s, where).select("paper_id", "status", "claim", F.size("commands").alias("commands"))
+
+
+@query("a14_results", "select 'goal ' || (doc_id // 200) as goal, count(*) as hypotheses, (doc_id // 200) % 2 = 0 as approved from documents group by doc_id // 200")
+def _(s, d):
+    where = shared_dir(s)
+    rows = table(s, d, "documents").select(F.floor(F.col("doc_id") / 200).alias("k"), F.struct(F.col("doc_id").cast("string"), "lang").alias("h"))
+    found = rows.groupBy("k").agg(F.map_from_entries(F.collect_list("h")).alias("hypotheses"))
+    found.select(F.concat(F.lit("goal "), "k").alias("goal"), "hypotheses", F.when(F.col("k") % 2 == 0, True).alias("approved")).write.option("maxRecordsPerFile", 1).json(where)
+    return files.list_results(s, where).select("goal", F.col("hypotheses").cast("bigint").alias("hypotheses"), "approved")

@@ -68,13 +68,25 @@ def _(s, d):
     return docs.select("doc_id", F.col("at").cast("bigint").alias("at"), T.safe_cut(before, after).alias("safe"), T.cut_quality(before, after).alias("quality"))
 
 
-@query("b7_safe_cut", r"select doc_id, not (regexp_matches(left(text, 200), '[\p{L}\p{N}]$') and regexp_matches(substring(text, 201, 400), '^[\p{L}\p{N}]')) as safe from documents where not regexp_matches(text, '[<`\[|$]|http')")
+END = r"(\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$"
+
+
+def safe_sql(at: str) -> str:
+    """SQL of T.safe_cut for whole texts cut after ``at`` characters; Java's $ also matches before a last line end."""
+    odd = lambda x, mark, n: f"((length({x}) - length(replace({x}, '{mark}', ''))) // {n}) % 2 = 1"
+    return rf"""with t as (select doc_id, left(text, {at}) as b, substring(text, {at} + 1) as a from documents)
+  select doc_id, not (regexp_matches(b, '[\p{{L}}\p{{N}}]{END}') and regexp_matches(a, '^[\p{{L}}\p{{N}}]') or regexp_matches(b, 'https?://\S*{END}') and regexp_matches(a, '^\S')
+    or regexp_matches(b, '\[[^\]]*$') or regexp_matches(b, '\]\([^)]*$') or regexp_matches(b, '<[^<>]*$') and regexp_matches(a, '^[^<>]*>')
+    or {odd("b", "```", 3)} or {odd("string_split(b, chr(10))[-1]", "`", 1)} or {odd("b", "$$", 2)} or regexp_matches(b, '\n\|[^\n]*$') and not regexp_matches(b, '\n{END}')) as safe from t"""
+
+
+@query("b7_safe_cut", safe_sql("200"))
 def _(s, d):
-    docs = table(s, d, "documents").where(~F.col("text").rlike(r"[<`\[|$]|http"))
-    return docs.select("doc_id", T.safe_cut(F.substring("text", 1, 200), F.substring("text", 201, 400)).alias("safe"))
+    after = F.substring(F.col("text"), F.lit(201), F.length("text"))
+    return table(s, d, "documents").select("doc_id", T.safe_cut(F.substring("text", 1, 200), after).alias("safe"))
 
 
-@query("b7_safe_cut_whole")
+@query("b7_safe_cut_whole", safe_sql("(length(text) // 2)"))
 def _(s, d):
     half = F.floor(F.length("text") / 2).cast("int")
     before, after = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
@@ -87,18 +99,21 @@ def _(s, d):
     return c.select("conv_id", "turn", T.cleaned_reply(F.concat(F.lit("```json\n"), F.trim("text"), F.lit("\n```"))).alias("text"))
 
 
-@query("b10_abstract", r"select doc_id, array_to_string(regexp_extract_all(lower(left(text, 400)), '[a-z]+'), ' ') as abstract from documents where len(regexp_extract_all(lower(left(text, 400)), '[a-z]+')) > 0")
+def abstracts(rows, key, text):
+    """Abstracts from the inverted indexes of whole texts."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
+    index = rows.select(key, F.posexplode(words).alias("p", "w")).groupBy(key, "w").agg(F.collect_list("p").alias("ps")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    return index.select(key, T.abstract(F.col("index")).alias("abstract"))
+
+
+@query("b10_abstract", "with w as (select page_id, regexp_extract_all(lower(html), '[a-z]+') as w from pages) select page_id, array_to_string(w, ' ') as abstract from w where len(w) > 0")
 def _(s, d):
-    words = F.regexp_extract_all(F.lower(F.substring("text", 1, 400)), F.lit("[a-z]+"), 0)
-    rows = table(s, d, "documents").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return rows.select("doc_id", T.abstract(F.col("index")).alias("abstract"))
+    return abstracts(table(s, d, "pages"), "page_id", "html")
 
 
-@query("b10_abstract_whole")
+@query("b10_abstract_whole", "with w as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents) select doc_id, array_to_string(w, ' ') as abstract from w where len(w) > 0")
 def _(s, d):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
-    rows = table(s, d, "documents").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return rows.select("doc_id", T.abstract(F.col("index")).alias("abstract"))
+    return abstracts(table(s, d, "documents"), "doc_id", "text")
 
 
 @query("b11_tokenize", f"select doc_id, array_to_string([w for w in regexp_extract_all(lower(text), '[a-z0-9]+') if length(w) > 2 and w not in ({STOP})], ' ') as tokens from documents")
@@ -172,18 +187,25 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", T.table_quality(F.when(F.col("page_id") % 2 == 0, F.lit("| a |  |\n|---|---|\n|  |  |")).otherwise(good)).alias("low"))
 
 
-@query("b22_sheet_grid", "select 'f' as file, l_suppkey % 7 as sheet, l_linenumber as row, '| ' || string_agg(x, ' | ' order by c) || ' |' as line from (select l_suppkey, l_linenumber, c, case when c = 1 then 'v' || max(l_partkey) else 'w' end as x from lineitem, (select unnest([1, 2]) as c) where l_suppkey < 7 group by 1, 2, 3) group by 2, 3")
+@query("b22_sheet_grid", """with b as (select 'f' || l_suppkey as file, l_suppkey % 7 as sheet, l_linenumber as row, max(l_partkey) as p from lineitem group by l_suppkey, l_linenumber),
+  c as (select *, first_value(p) over (partition by file, sheet order by row) as top, min(row) over (partition by file, sheet) as head from b)
+  select file, sheet, row, '| v' || p || ' | ' || case when row <= head + 1 then 'm' || top else 'w' end || ' |' as line from c""")
 def _(s, d):
-    base = table(s, d, "lineitem").where("l_suppkey < 7").groupBy(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("row")).agg(F.max("l_partkey").alias("p"))
-    cells = base.select(F.lit("f").alias("file"), (F.col("k") % 7).alias("sheet"), "row", F.explode(F.array(F.struct(F.lit(1).alias("col"), F.concat(F.lit("v"), "p").alias("value")), F.struct(F.lit(2).alias("col"), F.lit("w").alias("value")))).alias("c")).select("file", "sheet", "row", "c.col", "c.value")
-    none = cells.select("file", "sheet", F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("row").alias("r2"), F.col("col").alias("c2")).where("false")
-    return T.sheet_grid(cells, none)
+    base = table(s, d, "lineitem").groupBy(F.concat(F.lit("f"), "l_suppkey").alias("file"), (F.col("l_suppkey") % 7).alias("sheet"), F.col("l_linenumber").alias("row")).agg(F.max("l_partkey").alias("p"))
+    head = base.groupBy("file", "sheet").agg(F.min("row").alias("r1"))
+    # The second column's first cell spans the rows r1 and r1 + 1, where there are such.
+    last = base.join(head, ["file", "sheet"]).where("row <= r1 + 1").groupBy("file", "sheet", "r1").agg(F.max("row").alias("r2"))
+    merges = last.select("file", "sheet", "r1", F.lit(2).alias("c1"), "r2", F.lit(2).alias("c2"))
+    first = F.when(F.col("row") == F.col("r1"), F.concat(F.lit("m"), "p")).otherwise("w")
+    pair = F.array(F.struct(F.lit(1).alias("col"), F.concat(F.lit("v"), "p").alias("value")), F.struct(F.lit(2).alias("col"), first.alias("value")))
+    cells = base.join(head, ["file", "sheet"]).select("file", "sheet", "row", F.explode(pair).alias("c")).select("file", "sheet", "row", "c.col", "c.value")
+    return T.sheet_grid(cells, merges)
 
 
-@query("b23_budgeted", """with x as (select source, doc_id, left(text, 800) as t from documents), y as (select *, coalesce(sum(length(t)) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as b from x)
-  select source, doc_id, cast(length(left(t, cast(3200 - b as bigint))) as bigint) as n from y where b < 3200""")
+@query("b23_budgeted", """with x as (select source, doc_id, left(text, 8000) as t from documents), y as (select *, coalesce(sum(length(t)) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as b from x)
+  select source, doc_id, cast(length(left(t, cast(32000 - b as bigint))) as bigint) as n from y where b < 32000""")
 def _(s, d):
-    return T.budgeted(table(s, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", 3200, 800).select("source", "doc_id", F.length("text").cast("bigint").alias("n"))
+    return T.budgeted(table(s, d, "documents").select("source", "doc_id", "text"), "source", "doc_id").select("source", "doc_id", F.length("text").cast("bigint").alias("n"))
 
 
 @query("b24_truncated", "select doc_id, case when length(text) > 50 then left(text, 47) || '...' else text end as text, left(regexp_replace(regexp_replace(lower(left(text, 90)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) as slug from documents")
@@ -326,16 +348,16 @@ def _(s, d):
     return ranking.sensitivity(ranking.profile_ranks(cheap(s, d)[1])).select("paper_id", "best", "worst", "range", "stability")
 
 
-PAIRS = "pairs as (select a.doc_id as preferred, b.doc_id as over_id from documents a join documents b on a.source = b.source and a.doc_id < b.doc_id where a.doc_id < 120 and b.doc_id < 120)"
+def pairs_sql(by: str) -> str:
+    return f"l as (select concat_ws(':', {by}) as list, doc_id from documents), pairs as (select a.doc_id as preferred, b.doc_id as over_id from l a join l b on a.list = b.list and a.doc_id < b.doc_id)"
 
 
-def ranked_lists(s, d):
-    return table(s, d, "documents").where("doc_id < 120").select("source", F.floor(F.col("doc_id") / 20).cast("int").alias("position"), F.col("doc_id").alias("paper_id"))
+RUNS, OWN_RUNS = "doc_id // 40", "source, doc_id // 40"
 
 
-def whole_lists(s, d):
-    """All documents in lists of at most 40 of a source: every row is in one list."""
-    docs = table(s, d, "documents").select(F.concat_ws(":", "source", F.floor(F.col("doc_id") / 40).cast("string")).alias("source"), F.col("doc_id").alias("paper_id"))
+def ranked_lists(s, d, *by):
+    """All documents in lists of at most 40, by columns and runs of ids: every row is in one list."""
+    docs = table(s, d, "documents").select(F.concat_ws(":", *by, F.floor(F.col("doc_id") / 40).cast("string")).alias("source"), F.col("doc_id").alias("paper_id"))
     return docs.withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy("paper_id")) - 1)
 
 
@@ -343,26 +365,30 @@ def no_pairs(s):
     return s.createDataFrame([], "preferred bigint, over bigint")
 
 
-@query("l15_preference_pairs", f"with {PAIRS} select preferred, over_id as over from pairs")
+def agreement_sql(by: str) -> str:
+    return f"""with {RANKED}, {pairs_sql(by)}, j as (select x.profile, x.rank as rp, y.rank as ro from pairs join rk x on x.paper_id = preferred join rk y on y.paper_id = over_id and y.profile = x.profile),
+  a as (select profile, count(*) filter (rp < ro) as satisfied, count(*) filter (rp > ro) as violated, count(*) filter (rp = ro) as tied, round(count(*) filter (rp < ro) / count(*), 4) as rate from j group by 1)
+  select *, row_number() over (order by rate desc, satisfied desc, profile) as place from a"""
+
+
+@query("l15_preference_pairs", f"with {pairs_sql(RUNS)} select preferred, over_id as over from pairs")
 def _(s, d):
-    return ranking.preference_pairs(no_pairs(s), ranked_lists(s, d), most=100_000)
+    return ranking.preference_pairs(no_pairs(s), ranked_lists(s, d), most=None)
 
 
-@query("l16_agreement", f"""with {RANKED}, {PAIRS}, j as (select x.profile, x.rank as rp, y.rank as ro from pairs join rk x on x.paper_id = preferred join rk y on y.paper_id = over_id and y.profile = x.profile),
-  a as (select profile, count(*) filter (rp < ro) as satisfied, count(*) filter (rp > ro) as violated, count(*) filter (rp = ro) as tied, round(count(*) filter (rp < ro) / count(*), 4) as rate from j group by 1)
-  select *, row_number() over (order by rate desc, satisfied desc, profile) as place from a""")
+@query("l16_agreement", agreement_sql(RUNS))
 def _(s, d):
-    return ranking.agreement(ranking.preference_pairs(no_pairs(s), ranked_lists(s, d), most=100_000), ranking.profile_ranks(cheap(s, d)[1]))
+    return ranking.agreement(ranking.preference_pairs(no_pairs(s), ranked_lists(s, d), most=None), ranking.profile_ranks(cheap(s, d)[1]))
 
 
-@query("l15_preference_pairs_whole")
+@query("l15_preference_pairs_whole", f"with {pairs_sql(OWN_RUNS)} select preferred, over_id as over from pairs")
 def _(s, d):
-    return ranking.preference_pairs(no_pairs(s), whole_lists(s, d), most=None)
+    return ranking.preference_pairs(no_pairs(s), ranked_lists(s, d, "source"), most=None)
 
 
-@query("l16_agreement_whole")
+@query("l16_agreement_whole", agreement_sql(OWN_RUNS))
 def _(s, d):
-    return ranking.agreement(ranking.preference_pairs(no_pairs(s), whole_lists(s, d), most=None), ranking.profile_ranks(cheap(s, d)[1]))
+    return ranking.agreement(ranking.preference_pairs(no_pairs(s), ranked_lists(s, d, "source"), most=None), ranking.profile_ranks(cheap(s, d)[1]))
 
 
 @query("l17_ledger", f"with {RANKED} select rank, paper_id, case when paper_id % 3 = 0 then 'failed' else 'not_checked' end as status from rk where profile = 'balanced' and rank <= 25")
@@ -628,10 +654,10 @@ def _(s, d):
 def _(s, d):
     where = shared_dir(s)
     n = table(s, d, "nodes").select("id", "name")
-    n.withColumn("name", F.lit("old")).coalesce(1).write.parquet(f"{where}/in")
-    stream = s.readStream.schema(n.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    n.withColumn("name", F.lit("old")).write.parquet(f"{where}/in")
+    stream = s.readStream.schema(n.schema).parquet(f"{where}/in")
     jobs.upsert_graph(stream, f"{where}/out", f"{where}/state", ["id"], "id string, name string").awaitTermination()
-    n.coalesce(1).write.mode("append").parquet(f"{where}/in")
+    n.write.mode("append").parquet(f"{where}/in")
     jobs.upsert_graph(stream, f"{where}/out", f"{where}/state", ["id"], "id string, name string").awaitTermination()
     return s.read.schema(n.schema).parquet(f"{where}/out/v1")
 
