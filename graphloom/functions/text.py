@@ -56,6 +56,41 @@ def slices(docs: DataFrame, most: int, id_col: str = "id") -> DataFrame:
     return cut.select(id_col, "part", start.alias("token_start"), F.least(start + most, F.size("w")).alias("token_end"), F.array_join(F.slice("w", start + 1, F.lit(most)), " ").alias("text"))
 
 
+PIECE = r"\s*(?:[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_])"
+
+
+def _priority(before: Column, after: Column) -> Column:
+    """The kind of the boundary between two pieces: 1 before a heading, then paragraph, sentence, phrase, word, and 6 inside one."""
+    gap = after.rlike(r"^\s")
+    return (
+        F.when(before.isNull(), 9).when(after.rlike(r"^\s*\n\s*#"), 1).when(after.rlike(r"^\s*\n\s*\n"), 2).when(gap & before.rlike(r"[.!?]\z"), 3)
+        .when(gap & before.rlike(r"[,;:]\z"), 4).when(gap, 5).otherwise(6)
+    )
+
+
+def soft_slices(docs: DataFrame, most: int, shift: int, id_col: str = "id") -> DataFrame:
+    """B3 (soft cuts): (id, part, token_start, token_end, text): contiguous windows of about ``most`` tokens, each cut at the best boundary
+    within ``shift`` (< most) tokens of its full length, by 1000 * kind + distance; texts keep their blanks, and the last window takes the rest.
+
+    Kinds are told once a token, and a fold over a text's windows carries the cut before, so the work is linear in the text.
+    """
+    cut = docs.select(id_col, F.regexp_extract_all(F.col("text"), F.lit(PIECE), 0).alias("w")).where("size(w) > 0")
+    # The generator keeps the kinds from being told again in each step of the fold.
+    cut = cut.select(id_col, "w", F.explode(F.array(F.transform("w", lambda x, i: _priority(F.get("w", i - 1), x)))).alias("kinds"))
+    n = F.size("w")
+
+    def step(s: Column, _: Column) -> Column:
+        low = s["at"] + most - shift
+        near = F.transform(F.slice("kinds", low + 1, F.lit(2 * shift + 1)), lambda k, i: F.struct((k * 1000 + F.abs(i - shift)).alias("score"), (low + i).alias("at")))
+        at = F.when(n - s["at"] <= most, n).otherwise(F.array_min(near)["at"])
+        return F.when(s["at"] >= n, s).otherwise(F.struct(at.alias("at"), F.concat(s["cuts"], F.array(at)).alias("cuts")))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("cuts"))
+    cut = cut.select(id_col, "w", F.aggregate(F.sequence(F.lit(1), F.ceil(n / (most - shift)).cast("int")), start, step, lambda s: s["cuts"]).alias("cuts"))
+    parts = cut.select(id_col, "w", "cuts", F.posexplode("cuts").alias("part", "token_end")).withColumn("token_start", F.coalesce(F.get("cuts", F.col("part") - 1), F.lit(0)))
+    return parts.select(id_col, "part", "token_start", "token_end", F.array_join(F.slice("w", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")), "").alias("text"))
+
+
 # Kinds of boundary, their patterns and weights; the smaller weight is better.
 BOUNDARIES = {"section": (r"\n#{1,6} [^\n]*\n", 1), "paragraph": (r"\n\s*\n", 2), "sentence": (r"[.!?]\s+", 3), "phrase": (r"[,;:]\s+", 4), "word": (r"\s+", 5)}
 

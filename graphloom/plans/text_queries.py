@@ -49,6 +49,20 @@ def _(s, d):
     return T.slices(table(s, d, "chunks"), 200).select("id", F.col("part").cast("bigint").alias("part"), F.col("token_start").cast("bigint").alias("token_start"), F.col("token_end").cast("bigint").alias("token_end"), F.md5("text").alias("h"))
 
 
+MOST, SHIFT = 200, 40
+NEXT = f"case when n - a <= {MOST} then n else list_min([(kinds[k] * 1000 + abs(k - a - {MOST})) * 1000000000 + k for k in range(a + {MOST - SHIFT}, least(a + {MOST + SHIFT}, n - 1) + 1)]) % 1000000000 end"
+
+
+@query("b3_soft_slices", rf"""with recursive t as (select id, regexp_extract_all(text, '{T.PIECE}') as w from chunks),
+  p as (select id, len(w) as n, [case when regexp_matches(w[k + 1], '^\s*\n\s*#') then 1 when regexp_matches(w[k + 1], '^\s*\n\s*\n') then 2 when regexp_matches(w[k + 1], '^\s') and regexp_matches(w[k], '[.!?]$') then 3
+    when regexp_matches(w[k + 1], '^\s') and regexp_matches(w[k], '[,;:]$') then 4 when regexp_matches(w[k + 1], '^\s') then 5 else 6 end for k in range(1, len(w))] as kinds from t where len(w) > 0),
+  r(id, part, a, b) as (select id, 0::bigint, 0::bigint, {NEXT} from (select *, 0::bigint as a from p)
+    union all select id, part + 1, a, {NEXT} from (select p.*, r.part, r.b as a from r join p using (id) where r.b < n))
+  select id, part, a as token_start, b::bigint as token_end, md5(array_to_string(w[a + 1 : b], '')) as h from r join t using (id)""")
+def _(s, d):
+    return T.soft_slices(table(s, d, "chunks"), MOST, SHIFT).select("id", F.col("part").cast("bigint").alias("part"), F.col("token_start").cast("bigint").alias("token_start"), F.col("token_end").cast("bigint").alias("token_end"), F.md5("text").alias("h"))
+
+
 @query("b4_numbered", f"""with w as (select id, slug, {WORDS} as w from chunks), p as (select id, slug, unnest(range(0, cast(ceil(len(w) / 200.0) as bigint))) as part from w where len(w) > 0)
   select id, part, row_number() over (order by id, part) - 1 as order_no from p""")
 def _(s, d):

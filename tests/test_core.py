@@ -344,7 +344,26 @@ def test_texts_are_not_cut(spark, sf, tmp_path):
     assert registry.QUERIES["b6_b8_fallback_cut"](spark, str(tmp_path)).first()["safe"] is False
 
 
-CHECKED = ["c1_final_ids", "c5_valid_edges", "c6_mentions", "c11_violations", "f16_bridge_scores", "g10_iqr_outliers", "h5_cluster_links", "i3_triples", "i9_material_relations", "j6_kpi_target_gap", "k1_upsert", "b3_slices", "b11_tokenize", "b23_budgeted", "l5_topical", "l14_sensitivity", "l16_agreement", "e4_upserts", "o1_incremental_slices"]
+def test_soft_slices(spark):
+    from graphloom.functions import text as T
+
+    body = "One two three. Four five, six seven\n\neight nine ten eleven\n# Head twelve thirteen fourteen. Fifteen sixteen"
+    rows = [("a", body), ("b", "short one"), ("c", ""), ("d", None), ("e", "x" * 5 + "-" * 30), ("f", "a,b " * 400)]
+    out = T.soft_slices(spark.createDataFrame(rows, "id string, text string"), 8, 3).orderBy("id", "part").collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["id"], []).append(r)
+    assert set(by) == {"a", "b", "e", "f"}
+    for k, text in rows:
+        if k in by:
+            assert "".join(r["text"] for r in by[k]) == text.rstrip()
+            assert [r["token_start"] for r in by[k]] == [0, *(r["token_end"] for r in by[k][:-1])]
+            assert all(5 <= r["token_end"] - r["token_start"] <= 11 for r in by[k][:-1]) and by[k][-1]["token_end"] - by[k][-1]["token_start"] <= 8
+    assert [r["text"] for r in by["a"]][:2] == ["One two three. Four five, six seven", "\n\neight nine ten eleven\n# Head twelve thirteen fourteen."]  # tokens 9 to 19: the heading is out of reach
+    assert [r["text"] for r in by["b"]] == ["short one"]
+
+
+CHECKED = ["a1_documents", "a6_preferences", "a7_notes", "a14_results", "b3_soft_slices", "b7_safe_cut_whole", "b10_abstract_whole", "f4_pagerank", "l15_preference_pairs", "c1_final_ids", "c5_valid_edges", "c6_mentions", "c11_violations", "f16_bridge_scores", "g10_iqr_outliers", "h5_cluster_links", "i3_triples", "i9_material_relations", "j6_kpi_target_gap", "k1_upsert", "b3_slices", "b11_tokenize", "b23_budgeted", "l5_topical", "l14_sensitivity", "l16_agreement", "e4_upserts", "o1_incremental_slices"]
 
 
 def canonical(rows):
