@@ -195,9 +195,12 @@ def test_secrets(spark, none):
     assert secrets.digest(secrets.scan(none)).count() == 0
 
 
-def test_exact(docs, none):
+@pytest.mark.parametrize("hot", [1, 12, 1000])
+def test_exact(docs, none, hot, monkeypatch):
     from graphloom.llm import exact
 
+    monkeypatch.setattr(exact, "HOT", hot)
+    assert exact.exact_groups(docs).count() == len(TEXTS)
     got = {r["doc_id"]: r for r in exact.exact_groups(docs).collect()}
     groups = defaultdict(list)
     for k, t in enumerate(TEXTS):
