@@ -3,18 +3,19 @@
 Pages become records of the legacy format first: a version block (version 1 with five header
 fields a record, version 2 with ten), then for each page a header line and as many bytes as the
 line declares.  The converter parses the line by the version's field list, takes the declared
-length of bytes, and synthesises what WARC asks for: a record id derived from the payload's digest and the
-target, an ISO timestamp, the type, and payload and block digests.  Of records with equal payloads
-one is a ``response`` and the others ``revisit`` it by digest.
+length of bytes, and synthesises what WARC asks for: a record id derived from the archive's name and the
+record's place in it, an ISO timestamp, the type, and payload and block digests.  Of records with equal
+payloads one is a ``response`` and the others ``revisit`` it by digest.  Batches take the legacy
+versions in turn.
 
 Archives are written per task to the shared folder under a name of their own and renamed when
-complete; the result is parsed from the archives.  Equal payloads are found by digest and length
+complete; the result is parsed from the archives.  Equal payloads are found by SHA-256 and length
 in one map-side combined aggregate, so a payload that a third of all pages share costs one row a
-task.
+task; the SHA-1 that WARC asks for, for which collisions are known, decides nothing.
 
 Null html counts as empty.  Urls may be null or hold blanks (they are percent-encoded in header
-lines).  Repeated page ids are kept, each judged alone; an empty table gives no archive; extra
-columns are ignored.
+lines).  Repeated page ids are kept, each judged alone, and repeated rows get record ids of their own; an
+empty table gives no archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,14 +85,14 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, data[end + 1 : at]
 
 
-def warc_record(head: dict[str, str], payload: bytes, page_id, refers_to, truth: str) -> bytes:
-    """The WARC record for a legacy record; a revisit carries no payload."""
+def warc_record(head: dict[str, str], payload: bytes, page_id, refers_to, truth: str, place: str) -> bytes:
+    """The WARC record for a legacy record; a revisit carries no payload.  place: the archive and number that no other record has."""
     kind = "response" if refers_to is None else "revisit"
     d = head["date"]
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {truth} {head["url"]}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place} {head["url"]}')}>",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
         f"WARC-Target-URI: {head['url']}",
         f"WARC-IP-Address: {head['ip']}",
@@ -122,26 +123,27 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
-def write_warc(pages: DataFrame, uri: str, least: int = 0, version: int = 1) -> DataFrame:
+def write_warc(pages: DataFrame, uri: str, least: int = 0, versions: tuple[int, ...] = (1, 2)) -> DataFrame:
     """Writes archives of gzip members below uri; returns one row an archive: its name."""
     pages = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    light = pages.select("page_id", F.sha1("html").alias("sha"), F.octet_length("html").alias("size"))
+    light = pages.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("size"))
     groups = light.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
     # Payloads move once, to their digest's group; a hot digest is on the left side, which AQE splits.
-    paired = pages.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html")).join(groups.drop("n"), ["sha", "size"], "left")
+    paired = pages.withColumn("sha", F.sha2("html", 256)).withColumn("size", F.octet_length("html")).join(groups.drop("n"), ["sha", "size"], "left")
     paired = paired.select("page_id", "url", "html", F.when(F.col("keep") != F.col("page_id"), F.col("keep")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
-        own, sink, names, size = uuid.uuid4().hex, None, [], 0
+        own, sink, names, size, place = uuid.uuid4().hex, None, [], 0, 0
 
         def close() -> None:
             sink.close()
             names.append(f"{own}-{len(names):04d}.warc.gz")
             fs.move(f"{root}/.{own}", f"{root}/{names[-1]}")
 
-        for batch in batches:
+        for number, batch in enumerate(batches):
+            version = versions[number % len(versions)]
             urls = [x if x is not None else "" for x in batch["url"].to_pylist()]
             ids, refers, html = batch["page_id"].to_pylist(), batch["refers_to"].to_pylist(), utf8(batch["html"])
             legacy = arc_head(version, own) + b"".join(arc_record(version, u, h) for u, h in zip(urls, html, strict=True))
@@ -149,8 +151,9 @@ def write_warc(pages: DataFrame, uri: str, least: int = 0, version: int = 1) ->
                 if sink is None:
                     sink, size = fs.open_output_stream(f"{root}/.{own}", compression=None), 0
                 pack = zlib.compressobj(3, zlib.DEFLATED, 31)
-                member = pack.compress(warc_record(head, payload, page, to, digest(payload))) + pack.flush()
+                member = pack.compress(warc_record(head, payload, page, to, digest(payload), f"{own} {place}")) + pack.flush()
                 sink.write(member)
+                place += 1
                 size += len(member)
                 if size >= FILE_BYTES:
                     close()

@@ -235,6 +235,20 @@ def test_warc(spark):
     assert warc.archive_pages(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("versions", [(1,), (2,), (1, 2)])
+def test_warc_record_ids_are_unique(spark, tmp_path, versions):
+    import gzip
+
+    from graphloom.llm import warc
+
+    rows = [(k // 3, "http://x.org", "<p>same</p>") for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    names = [r["archive"] for r in warc.write_warc(df, f"file://{tmp_path}/w", versions=versions).collect()]
+    heads = [head for name in names for head, _ in warc.parse_warc(gzip.decompress((tmp_path / "w" / name).read_bytes()))]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    assert sum(h["WARC-Type"] == "response" for h in heads) == 3
+
+
 def test_toxicity(spark, sf, docs, none):
     from graphloom.llm import toxicity
 
