@@ -152,7 +152,7 @@ def fallback_cut(text: Column, target: Column, most: int) -> Column:
     """The safe cut nearest to target (steps of 10 up to 30 % of ``most``); target itself where none is safe."""
     reach = int(most * 0.3) // 10
     steps = F.array(*[F.lit(s * k * 10) for k in range(reach + 1) for s in ((1, -1) if k else (1,))])
-    good = F.filter(steps, lambda s: (target + s > 0) & (target + s < F.length(text)) & safe_cut(F.substring(text, F.lit(1), target + s), F.substring(text, target + s + 1, F.lit(400))))
+    good = F.filter(steps, lambda s: (target + s > 0) & (target + s < F.length(text)) & safe_cut(F.substring(text, F.lit(1), target + s), F.substring(text, target + s + 1, F.length(text))))
     return target + F.coalesce(F.get(good, F.lit(0)), F.lit(0))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import cuts
 from graphloom.functions import text as T
-from graphloom.functions.shared import shared_dir
-from graphloom.operators import metrics, ranking, similarity
+from graphloom.functions.shared import shared_dir, written
+from graphloom.operators import knn, metrics, ranking, similarity
 from graphloom.plans.graph_queries import graph
 from graphloom.plans.tables import table, with_tables
 from graphloom.sources import files
@@ -75,23 +76,35 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", T.soft_boundary(F.coalesce("text", F.lit("")), (F.length("text") / 2).cast("int"), 60).cast("bigint").alias("at"))
 
 
-@query("b6_b8_fallback_cut")
-def _(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text", T.fallback_cut(F.col("text"), (F.length("text") / 2).cast("int"), 200).alias("at"))
-    before, after = F.substring(F.col("text"), F.lit(1), F.col("at")), F.substring(F.col("text"), F.col("at") + 1, F.length("text"))
-    return docs.select("doc_id", F.col("at").cast("bigint").alias("at"), T.safe_cut(before, after).alias("safe"), T.cut_quality(before, after).alias("quality"))
+END = r"(\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$"
 
 
-END = r"(\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$"
+def odd_sql(x: str, mark: str, n: int) -> str:
+    return f"((length({x}) - length(replace({x}, '{mark}', ''))) // {n}) % 2 = 1"
 
 
-def safe_sql(at: str) -> str:
-    """SQL of T.safe_cut for whole texts cut after ``at`` characters; Java's $ also matches before a last line end."""
-    odd = lambda x, mark, n: f"((length({x}) - length(replace({x}, '{mark}', ''))) // {n}) % 2 = 1"
-    return rf"""with t as (select doc_id, left(text, {at}) as b, substring(text, {at} + 1) as a from documents)
-  select doc_id, not (regexp_matches(b, '[\p{{L}}\p{{N}}]{END}') and regexp_matches(a, '^[\p{{L}}\p{{N}}]') or regexp_matches(b, 'https?://\S*{END}') and regexp_matches(a, '^\S')
+#: T.safe_cut of the texts b and a; Java's $ also matches before a last line end.
+SAFE = rf"""not (regexp_matches(b, '[\p{{L}}\p{{N}}]{END}') and regexp_matches(a, '^[\p{{L}}\p{{N}}]') or regexp_matches(b, 'https?://\S*{END}') and regexp_matches(a, '^\S')
     or regexp_matches(b, '\[[^\]]*$') or regexp_matches(b, '\]\([^)]*$') or regexp_matches(b, '<[^<>]*$') and regexp_matches(a, '^[^<>]*>')
-    or {odd("b", "```", 3)} or {odd("string_split(b, chr(10))[-1]", "`", 1)} or {odd("b", "$$", 2)} or regexp_matches(b, '\n\|[^\n]*$') and not regexp_matches(b, '\n{END}')) as safe from t"""
+    or {odd_sql("b", "```", 3)} or {odd_sql("string_split(b, chr(10))[-1]", "`", 1)} or {odd_sql("b", "$$", 2)} or regexp_matches(b, '\n\|[^\n]*$') and not regexp_matches(b, '\n{END}'))"""
+
+
+def safe_sql(at: str) -> str:
+    """SQL of T.safe_cut for whole texts cut after ``at`` characters."""
+    return f"with t as (select doc_id, left(text, {at}) as b, substring(text, {at} + 1) as a from documents) select doc_id, {SAFE} as safe from t"
+
+
+@query("b6_b8_fallback_cut", rf"""with d as (select doc_id, text, length(text) // 2 as target from documents),
+  s as (select k, case when k % 2 = 1 then (k + 1) // 2 * 10 else k // 2 * -10 end as step from (select unnest(range(13)) as k)),
+  c as (select doc_id, k, target + step as cut, left(text, target + step) as b, substring(text, target + step + 1) as a from d cross join s where target + step > 0 and target + step < length(text)),
+  g as (select doc_id, arg_min(cut, k) as cut from (select *, {SAFE} as safe from c) where safe group by doc_id),
+  r as (select d.doc_id, coalesce(cut, target) as cut, left(text, coalesce(cut, target)) as b, substring(text, coalesce(cut, target) + 1) as a from d left join g using (doc_id)),
+  q as (select *, {SAFE} as safe from r)
+  select doc_id, cut as "at", safe, case when not safe then 0.0::double when regexp_matches(b, '\n\s*\n\s*$') or regexp_matches(a, '^#{{1,6}} ') then 1.0 when regexp_matches(b, '[.!?]\s*$') then 0.8 when regexp_matches(b, '[,;:]\s*$') then 0.5 else 0.2 end as quality from q""")
+def _(s, d):
+    docs = table(s, d, "documents").select("doc_id", "text", T.fallback_cut(F.col("text"), (F.length("text") / 2).cast("int"), 200).alias("at"))
+    before, after = F.substring(F.col("text"), F.lit(1), F.col("at")), F.substring(F.col("text"), F.col("at") + 1, F.length("text"))
+    return docs.select("doc_id", F.col("at").cast("bigint").alias("at"), T.safe_cut(before, after).alias("safe"), T.cut_quality(before, after).alias("quality"))
 
 
 @query("b7_safe_cut", safe_sql("200"))
@@ -107,6 +120,36 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", T.safe_cut(before, after).alias("safe"))
 
 
+#: A list item's and a table row's beginning.
+ITEM, ROW = r"^(  |\t)?(\d+\.|[-*+])\s|^(  |\t)[a-z]\.\s|^(  )?•\s", r"^\s*\|.*\|"
+
+
+@query("b7_safe_positions", rf"""with d as (select doc_id, coalesce(text, '') as text from documents),
+  x as (select doc_id, unnest(regexp_extract_all(text, '(?s).')) as ch, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) as i from d),
+  k as (select *, string_agg(ch, '') over (partition by doc_id order by i rows between 9 preceding and current row) as tail, lead(ch) over (partition by doc_id order by i) as nxt from x),
+  c as (select *, sum(case ch when '[' then 1 when ']' then -1 else 0 end) over w as square, sum(case ch when '(' then 1 when ')' then -1 else 0 end) over w as round, max(case when ch = '<' then i else 0 end) over w as lt,
+      max(case when ch = '>' then i else 0 end) over w as gt, sum((ch = '$')::int) over w % 2 as dollars, sum((ch = '`')::int) over w % 2 as ticks, sum((ch = chr(10))::int) over w as ln,
+      max(case when regexp_matches(ch, '[\s)>\]]') then i else 0 end) over w as stop, max(case when ends_with(tail, 'http://') or ends_with(tail, 'https://') then i else 0 end) over w as addr,
+      sum(ends_with(tail, '<table')::int) over w as tables, sum(ends_with(tail, '</table>')::int) over w as ends from k window w as (partition by doc_id order by i rows between unbounded preceding and current row)),
+  t as (select *, coalesce(lag(tables, 195) over w, 0) as tables0, coalesce(lag(ends, 193) over w, 0) as ends0 from c window w as (partition by doc_id order by i)),
+  l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as ln from d),
+  m as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by ln rows between unbounded preceding and 1 preceding), 0) as start,
+      coalesce(max(regexp_matches(line, '{ITEM}')::int) over (partition by doc_id order by ln rows between 2 preceding and 1 preceding), 0) = 1 as items, coalesce(max(regexp_matches(line, '{ROW}')::int) over (partition by doc_id order by ln rows between 4 preceding and 1 preceding), 0) = 1 as above,
+      coalesce(max(regexp_matches(line, '{ROW}')::int) over (partition by doc_id order by ln rows between 1 following and 4 following), 0) = 1 as below from l),
+  j as (select t.*, items, above, below, left(line, (i - start)::bigint) as own, substring(line, (i - start)::bigint + 1) as rest from t join m on t.doc_id = m.doc_id and t.ln = m.ln where nxt is not null),
+  s as (select doc_id, i from j where not (regexp_matches(ch, '[\p{{L}}\p{{N}}]') and regexp_matches(nxt, '[\p{{L}}\p{{N}}]') or addr > stop and not regexp_matches(nxt, '[\s)>\]]')
+      or square > 0 or ch = ']' and nxt = '(' or contains(tail, '](h') or ends_with(tail, '](') and round > 0 or lt > gt or dollars = 1 or ticks = 1
+      or (items or regexp_matches(own, '{ITEM}')) and regexp_matches(rest, '{ITEM}') or (above or regexp_matches(own, '{ROW}')) and (below or regexp_matches(rest, '{ROW}')) or tables - tables0 > ends - ends0))
+  select doc_id, length(text) + 1 as n_cuts, (case when text = '' then 1 else 2 end) + count(i) as n_safe, (length(text) + coalesce(sum(i), 0))::bigint as places from d left join s using (doc_id) group by doc_id, text""")
+def _(s, d):
+    return cuts.safe_cuts(table(s, d, "documents"), "doc_id")
+
+
+@query("b3_safe_slices")
+def _(s, d):
+    return cuts.safe_slices(table(s, d, "documents"), MOST, SHIFT, "doc_id").select("doc_id", "part", "token_start", "token_end", "reason", "safe", F.md5("text").alias("h"))
+
+
 @query("b9_cleaned_reply", "select conv_id, turn, trim(text, chr(10) || chr(9) || chr(13) || ' ') as text from conversations")
 def _(s, d):
     c = table(s, d, "conversations")
@@ -522,7 +565,10 @@ def _(s, d):
     return raw.join(v, "id").select("id", "positive", F.round(similarity.cosine("embedding", "embedding"), 6).alias("norm"))
 
 
-@query("d4_nearest")
+@query("d4_nearest", """with u as (select vec_id as id, [x::double for x in embedding] as v from embeddings), n as (select id, [x / sqrt(list_sum([y * y for y in v])) for x in v] as v from u),
+  p as (select a.id, b.id as other, round(list_inner_product(a.v, b.v), 9) as similarity from n a join n b on a.id % 20 = 0 and a.id <> b.id),
+  r as (select *, row_number() over (partition by id order by similarity desc, other) as rank from p)
+  select id, other, round(similarity, 6) as similarity, rank from r where rank <= 5""")
 def _(s, d):
     v = vectors(s, d)
     return similarity.nearest(v.where("id % 20 = 0"), v, 5).select("id", "other", F.round("similarity", 6).alias("similarity"), "rank")
@@ -533,6 +579,51 @@ def _(s, d):
     return similarity.lsh_pairs(vectors(s, d), 0.6).select("a", "b")
 
 
+@query("d4_nearest_of_all")
+def _(s, d):
+    """Every row's five, by the inverted file, with the recall against the exact five of the ids divisible by 20."""
+    found = knn.nearest_of_all(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 5)
+    found = written(found, f"{shared_dir(s)}/found")
+    v = vectors(s, d)
+    share = knn.recall(found, similarity.nearest(v.where("id % 20 = 0"), v, 5))
+    return found.join(F.broadcast(share)).select("id", "other", F.round("similarity", 6).alias("similarity"), "rank", F.round("recall", 4).alias("recall"))
+
+
+@query("d4_recall", "select count(*) as n_vectors, 5 * count(*) as n_pairs, true as reached from embeddings")
+def _(s, d):
+    """One row: whether every row has its five, and whether at least 0.9 of the exact five of the ids divisible by 20 are among them."""
+    v = vectors(s, d)
+    found = written(knn.nearest_of_all(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 5), f"{shared_dir(s)}/found")
+    share = knn.recall(found, similarity.nearest(v.where("id % 20 = 0"), v, 5))
+    return found.agg(F.countDistinct("id").alias("n_vectors"), F.count("*").alias("n_pairs")).join(F.broadcast(share)).select("n_vectors", "n_pairs", (F.col("recall") >= 0.9).alias("reached"))
+
+
+SHINGLES = """with w as (select pos as id, length(text) as chars, regexp_extract_all(lower(text), '[^\\s]+') as w from chunks), g as (select id, unnest([array_to_string(w[i + 1 : i + 3], ' ') for i in range(greatest(len(w) - 2, 1))]) as s from w where len(w) > 0),
+  h as (select id, ('0x' || left(md5(s), 15))::bigint as h from g), b as (select id, b, sum((h >> b) & 1) * 2 - count(*) as x from h cross join (select unnest(range(60)) as b) group by all),
+  u as (select id, list(x::double order by b) as v from b group by id), n as (select id, [x / greatest(sqrt(list_sum([y * y for y in v])), 1e-300) for x in v] as v from u),
+  p as (select a.id, b.id as other, round(list_inner_product(a.v, b.v), 9) as similarity from n a join n b on a.id <> b.id),
+  r as (select * from p where similarity >= 0.5 qualify row_number() over (partition by id order by similarity desc, other) <= 5),
+  d as (select least(r.id, r.other) as master, greatest(r.id, r.other) as duplicate, round(max(similarity), 6) as similarity from r join w x on x.id = r.id join w y on y.id = r.other
+    where similarity >= 0.85 and least(x.chars, y.chars) / greatest(x.chars, y.chars) >= 0.8 group by all)"""
+
+
+def near_texts(s, d):
+    """The neighbours of every chunk by the vectors of its shingles, and D5's pairs of them."""
+    docs = table(s, d, "chunks").select(F.col("pos").alias("id"), F.col("pos").alias("position"), "text")
+    near = knn.nearest_of_all(knn.shingle_vectors(docs), 5)
+    return similarity.duplicate_pairs(near, docs)
+
+
+@query("d5_near_duplicates", SHINGLES + " select * from d")
+def _(s, d):
+    return near_texts(s, d).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("d6_near_duplicate_map")
+def _(s, d):
+    return similarity.duplicate_map(written(near_texts(s, d), f"{shared_dir(s)}/pairs"))
+
+
 def text_duplicates(s, d):
     docs = table(s, d, "chunks")
     low = docs.groupBy("text").agg(F.min("pos").alias("p"), F.count("*").alias("n")).where("n > 1 and text <> ''")
