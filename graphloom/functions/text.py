@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from graphloom.functions import automaton
+
 # Words that carry no topic.
 STOP_WORDS = (
     "a about after all an and are as at based by for from how in into is it its of on or paper papers research study the their this to using via we with"
@@ -109,12 +111,6 @@ def _scored(low: Column, target: Column, weight: int):
     return score
 
 
-def _marked(pieces: Column, hits: Column, k: int, marker: str, most: int) -> Column:
-    """The first matches of a marker as (k, start, n, marker)."""
-    upto = lambda a, n: F.length(F.array_join(F.slice(a, F.lit(1), n), ""))
-    return F.transform(F.slice(hits, 1, most), lambda h, i: F.struct(F.lit(k).alias("k"), (upto(pieces, i + 1) + upto(hits, i)).alias("start"), F.length(h).alias("n"), F.lit(marker).alias("marker")))
-
-
 def soft_boundary(text: Column, target: Column, shift: int) -> Column:
     """The best cut (characters) within ``shift`` of target: least weight * distance, 0.9 of it after the target; the target if there is none."""
     low = F.greatest(target - shift, F.lit(0))
@@ -179,20 +175,9 @@ def abstract(index: Column) -> Column:
 
 
 def evidence_spans(docs: DataFrame, markers: list[str], id_col: str = "id", text_col: str = "text", context: int = 70, most: int = 8) -> DataFrame:
-    """(id, marker, start, end, excerpt): whole-word hits of the markers (an s may follow), case-insensitive; the first ``most`` by
-    (marker's place in the list, start).  Positions are found by alternating pieces and matches."""
-    text = F.col("_t")
-    rows = docs.select(id_col, F.col(text_col).alias("_t")).where("_t is not null")
-    every = []
-    for k, marker in enumerate(markers):
-        pattern = "(?i)(?<![0-9a-z])" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in marker) + "s?(?![0-9a-z])"
-        pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-        spans = _marked(pieces, hits, k, marker, most)
-        every.append(F.when(F.contains(F.lower(text), F.lit(marker.lower())), spans).otherwise(F.array().cast("array<struct<k:int,start:int,n:int,marker:string>>")))
-    picked = rows.select(id_col, "_t", F.posexplode(F.slice(F.array_sort(F.concat(*every)), 1, most)).alias("_at", "s"))
-    start, end = F.col("s.start"), F.col("s.start") + F.col("s.n")
-    excerpt = F.trim(F.regexp_replace(F.substring("_t", F.greatest(start - context, F.lit(0)) + 1, end - F.greatest(start - context, F.lit(0)) + context), r"\s+", " "))
-    return picked.select(id_col, F.col("s.marker").alias("marker"), start.alias("start"), end.alias("end"), excerpt.alias("excerpt"))
+    """(id, marker, start, end, excerpt): whole-word hits of the markers, case-insensitive (an s may follow a single word); the first
+    ``most`` by (marker's place in the list, start).  All markers are found in one pass over the text."""
+    return automaton.evidence(docs, markers, id_col, text_col, context, most)
 
 
 def collected_spans(fields: dict[str, tuple[DataFrame, int]], markers: list[str], id_col: str = "id", most: int = 14) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import automaton
 from graphloom.functions import ontology as O
 
 CONCEPT_TYPES = list(O.NODE_CODES)
@@ -75,22 +76,36 @@ def valid_edges(nodes: DataFrame, edges: DataFrame, least: float = 0.5) -> DataF
 
 
 def mentions(chunks: DataFrame, concepts: DataFrame, existing: DataFrame | None = None, weight: float = 0.35, max_words: int | None = None) -> DataFrame:
-    """Chunk-to-concept edges where a term or alias (of any length, or up to ``max_words`` words) occurs as whole words, case-insensitively.
+    """Chunk-to-concept edges where a term or alias (of any length, or up to ``max_words`` words) occurs, case-insensitively, between word boundaries.
 
-    Words of the chunk form n-grams, of the lengths that occur among the terms, that meet the terms in an equi-join; no chunk is compared with every concept.
+    Terms within the automaton's measured bound are found in one pass over each text; beyond it, runs of the text's pieces (words and what
+    is between them), of the lengths that occur among the terms, meet the terms in an equi-join.  No chunk is compared with every concept.
     """
+    words = r"[\p{L}\p{N}_]+"
     terms = concepts.select("concept_id", F.explode(F.array_distinct(F.concat(F.array("term"), F.coalesce("aliases", F.array()) if "aliases" in concepts.columns else F.array().cast("array<string>")))).alias("term"))
-    terms = terms.where(F.trim("term") != "").select("concept_id", F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"[\p{L}\p{N}_]+"), 0), " ").alias("gram")).where("gram <> ''").distinct()
-    lengths = sorted(r[0] for r in terms.select(F.size(F.split("gram", " "))).distinct().collect())  # a row a length
-    lengths = [n for n in lengths if max_words is None or n <= max_words]
-    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    sized = chunks.select("id", words.alias("w"))
-    grams = sized.select("id", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")))))).alias("gram"))
-    out = grams.join(terms, "gram").select(F.col("id").alias("source"), F.col("concept_id").alias("target"), F.lit("MENTIONS").alias("type"), F.lit(weight).alias("weight")).distinct()
+    terms = terms.where(F.col("term").rlike(r"\S")).select("concept_id", F.lower("term").alias("gram")).distinct()
+    if max_words is not None:
+        terms = terms.where(F.size(F.regexp_extract_all("gram", F.lit(words), 0)) <= max_words)
+    patterns = automaton.collected(terms, "gram")
+    if patterns is None:
+        found = _runs(chunks, terms, words)
+    else:
+        found = automaton.occurring(chunks, patterns, "id", "text", automaton.whole_words).withColumnRenamed("pattern", "gram")
+    out = found.join(terms, "gram").select(F.col("id").alias("source"), F.col("concept_id").alias("target"), F.lit("MENTIONS").alias("type"), F.lit(weight).alias("weight")).distinct()
     return out if existing is None else out.join(existing.select("source", "target"), ["source", "target"], "left_anti")
 
 
+def _runs(chunks: DataFrame, terms: DataFrame, words: str) -> DataFrame:
+    """(id, gram): the runs of whole pieces that are as long as some term; none begins or ends with a mark at the text's own ends."""
+    pieces = lambda c: F.regexp_extract_all(F.lower(c), F.lit(rf"{words}|[^\p{{L}}\p{{N}}_]+"), 0)
+    lengths = sorted(r[0] for r in terms.select(F.size(pieces("gram")).alias("n")).distinct().collect())  # a row a length
+    split = chunks.select("id", pieces("text").alias("w")).select("id", "w", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")).where("size(w) >= n")
+    word = lambda i: F.get("w", i).rlike(words)
+    last = F.size("w") - F.col("n")
+    starts = F.filter(F.sequence(F.lit(0), last), lambda i: ((i > 0) | word(F.lit(0))) & ((i < last) | word(F.size("w") - 1)))
+    return split.select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.col("n")), "")))).alias("gram"))
+
+
 def duplicate_ids(nodes: DataFrame) -> DataFrame:
     """Ids of more than one node."""
     return nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")

@@ -116,12 +116,12 @@ RUBRIC = {
 
 
 def rubric(papers: DataFrame, sections: DataFrame) -> DataFrame:
-    """(paper_id, item, answer): two or more distinct markers present, one partial, none missing, no such section not_evaluated."""
+    """(paper_id, item, answer): two or more distinct markers among a section's first four hits present, one partial, none missing, no such section not_evaluated."""
     parts = []
     for item, (names, markers) in RUBRIC.items():
         own = sections.where(F.col("section").isin(*names.split()))
         have = own.groupBy("paper_id").agg(F.count("*").alias("_s"))
-        hits = evidence_spans(own, markers, "paper_id", "body", most=50).groupBy("paper_id").agg(F.count_distinct("marker").alias("_h"))
+        hits = evidence_spans(own, markers, "paper_id", "body", most=4).groupBy("paper_id").agg(F.count_distinct("marker").alias("_h"))
         answer = F.when(F.col("_s").isNull(), "not_evaluated").when(F.col("_h") >= 2, "present").when(F.col("_h") == 1, "partial").otherwise("missing")
         parts.append(papers.select("paper_id").join(have, "paper_id", "left").join(hits, "paper_id", "left").select("paper_id", F.lit(item).alias("item"), answer.alias("answer")))
     return reduce(DataFrame.unionByName, parts)

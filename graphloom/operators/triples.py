@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import automaton
 from graphloom.functions import ontology as O
 
 
@@ -69,10 +70,14 @@ def labels_of(nodes: DataFrame, kind: str) -> DataFrame:
 def known_in_goals(goals: DataFrame, labels: DataFrame) -> DataFrame:
     """(goal_id, label) where the label occurs in the goal, case-insensitively.
 
-    A label is met by equality with the goal's substrings of the lengths that occur among the labels, so neither side is paired
-    with all of the other.  Blank labels are left out.
+    Labels within the automaton's measured bound are found in one pass over each goal; beyond it, a label is met by equality with the
+    goal's substrings of the lengths that occur among the labels.  Neither side is paired with all of the other.  Blank labels are left out.
     """
     sized = labels.select("label", F.lower("label").alias("low")).where(F.trim("low") != "")
+    patterns = automaton.collected(sized, "low")
+    if patterns is not None:
+        found = automaton.occurring(goals, patterns, "goal_id", "goal").select(F.col("id").alias("goal_id"), F.col("pattern").alias("low"))
+        return found.join(sized, "low").select("goal_id", "label").distinct()
     lengths = sized.agg(F.collect_set(F.length("low")).alias("lengths"))  # one row, as long as the longest label at most
     parts = goals.select("goal_id", F.lower("goal").alias("g")).crossJoin(F.broadcast(lengths)).select("goal_id", "g", F.explode("lengths").alias("n")).where(F.length("g") >= F.col("n"))
     parts = parts.select("goal_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("g") - F.col("n") + 1), lambda i: F.substring("g", i, F.col("n"))))).alias("low"))

@@ -178,16 +178,31 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
 
 
-@query("b12_evidence_spans")
+def spans_sql(source: str, key: str, text: str, markers: list[str], most: int, name: str) -> str:
+    """SQL of T.evidence_spans as common tables ending in ``name``; between two pieces of a text split at a marker lies a hit."""
+    listed = ", ".join(f"({k}, '{m}')" for k, m in enumerate(markers))
+    return rf"""{name}_m as (select * from (values {listed}) as t(k, marker)), {name}_d as (select {key}, {text} as text, k, marker, string_split(lower({text}), marker) as ps from {source} cross join {name}_m),
+  {name}_u as (select {key}, k, marker, unnest(ps) as piece, generate_subscripts(ps, 1) as j, len(ps) as n from {name}_d),
+  {name}_o as (select *, sum(length(piece)) over w + (j - 1) * length(marker) as start, lead(piece) over (partition by {key}, k order by j) as nxt from {name}_u window w as (partition by {key}, k order by j rows between unbounded preceding and current row)),
+  {name}_s as (select *, case when piece <> '' then right(piece, 1) when j = 1 then '' else right(marker, 1) end as b, left(nxt || case when j + 1 < n then marker else '' end, 2) as a from {name}_o where j < n),
+  {name}_f as (select {key}, k, marker, start, start + length(marker) + case when regexp_matches(a, '^[0-9a-z]') then 1 else 0 end as stop from {name}_s
+    where not regexp_matches(b, '[0-9a-z]') and (not regexp_matches(a, '^[0-9a-z]') or regexp_matches(a, '^s([^0-9a-z]|$)') and not contains(marker, ' ') and not ends_with(marker, 's'))),
+  {name} as (select {key}, marker, start::bigint as start, stop::bigint as "end" from {name}_f qualify row_number() over (partition by {key} order by k, start) <= {most})"""
+
+
+@query("b12_evidence_spans", f"""with {spans_sql("documents", "doc_id", "text", ["the", "token", "que", "der"], 8, "s")}
+  select s.*, trim(substring(text, greatest(start - 70, 0) + 1, "end" - greatest(start - 70, 0) + 70), ' ' || chr(10) || chr(9) || chr(13)) as excerpt from s join documents using (doc_id)""")
 def _(s, d):
     return T.evidence_spans(table(s, d, "documents"), ["the", "token", "que", "der"], "doc_id").select("doc_id", "marker", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "excerpt")
 
 
-@query("b13_collected_spans")
+@query("b13_collected_spans", f"""with {spans_sql("papers", "paper_id", "title", ["the", "token", "que"], 4, "t")}, {spans_sql("papers", "paper_id", "abstract", ["the", "token", "que"], 8, "a")},
+  u as (select paper_id, 0 as n, 'title' as field, marker, start from t union all select paper_id, 1, 'body', marker, start from a)
+  select paper_id, field, marker, start, row_number() over (partition by paper_id order by n, start, marker) as rank from u qualify rank <= 14""")
 def _(s, d):
-    docs = table(s, d, "documents")
-    fields = {"title": (docs.select("doc_id", F.substring("text", 1, 80).alias("text")), 4), "body": (docs.select("doc_id", "text"), 8)}
-    return T.collected_spans(fields, ["the", "token", "que"], "doc_id").select("doc_id", "field", "marker", F.col("start").cast("bigint").alias("start"), "rank")
+    papers = table(s, d, "papers")
+    fields = {"title": (papers.select("paper_id", F.col("title").alias("text")), 4), "body": (papers.select("paper_id", F.col("abstract").alias("text")), 8)}
+    return T.collected_spans(fields, ["the", "token", "que"], "paper_id").select("paper_id", "field", "marker", F.col("start").cast("bigint").alias("start"), "rank")
 
 
 @query("b14_sections", "select doc_id, 'methodology' as section, trim(replace(text, chr(10), ' ')) as body from documents where trim(replace(text, chr(10), ' ')) <> ''")
@@ -368,11 +383,29 @@ def _(s, d):
     return ranking.velocity(table(s, d, "papers"), 2025).select("paper_id", F.round("velocity", 6).alias("velocity"))
 
 
-@query("l9_rubric", "select doc_id as paper_id, 'limitations' as item, case when doc_id % 3 = 0 then 'present' when doc_id % 3 = 1 then 'partial' else 'missing' end as answer from documents")
+def rubric_sql() -> str:
+    """SQL of ranking.rubric where each document is the section that its id says."""
+    names = ", ".join(f"'{n}'" for n in T.SECTIONS)
+    tables, parts = [f"sec as (select doc_id as paper_id, [{names}][doc_id % 9 + 1] as section, text from documents)"], []
+    for k, (item, (own, markers)) in enumerate(ranking.RUBRIC.items()):
+        among = ", ".join(f"'{n}'" for n in own.split())
+        tables.append(f"own{k} as (select * from sec where section in ({among}))")
+        tables.append(spans_sql(f"own{k}", "paper_id", "text", markers, 4, f"h{k}"))
+        parts.append(f"""select sec.paper_id, '{item}' as item, case when section not in ({among}) then 'not_evaluated' when n >= 2 then 'present' when n = 1 then 'partial' else 'missing' end as answer
+  from sec left join (select paper_id, count(distinct marker) as n from h{k} group by 1) c using (paper_id)""")
+    return f"with {', '.join(tables)} {' union all '.join(parts)}"
+
+
+def answers(s, d):
+    """The rubric's answers where each document is the section that its id says."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("body"))
+    names = F.array(*map(F.lit, T.SECTIONS))
+    return ranking.rubric(docs, docs.withColumn("section", F.get(names, (F.col("paper_id") % 9).cast("int"))))
+
+
+@query("l9_rubric", rubric_sql())
 def _(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("paper_id"))
-    body = F.when(F.col("paper_id") % 3 == 0, "error bars and variance").when(F.col("paper_id") % 3 == 1, "the variance").otherwise("nothing")
-    return ranking.rubric(docs, docs.select("paper_id", F.lit("limitations").alias("section"), body.alias("body"))).where("item = 'limitations'")
+    return answers(s, d)
 
 
 @query("l10_methodology")
