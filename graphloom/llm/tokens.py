@@ -19,6 +19,7 @@ gives no files and an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -29,6 +30,7 @@ from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ LENGTH = 2048
 #: Sequences in a batch, and batches in a file (64 MiB of two-byte ids).
 BATCH, FILE_BATCHES = 256, 64
 #: Bytes of text encoded at a time, and pieces that a worker remembers.
-CHUNK_BYTES, CACHE = 2 << 20, 400_000
+CHUNK_BYTES, CACHE = 1 << 20, 400_000
 #: Words encoded in one call, and the longest piece that is remembered.
 WORDS, LONGEST = 256, 64
 #: The signs that stand for a blank and a line end in the tokens of a byte-level vocabulary.
@@ -69,6 +71,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker a core; threads of its own would only take memory
         self.tokenizer = _tokenizer(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
@@ -236,13 +239,14 @@ def write_sequences(docs: DataFrame, tokenizer: str, uri: str, length: int = LEN
             if writer is None:
                 part = batch["part"][0].as_py()
                 writer = SequenceWriter(uri, part, length, wide)
-            texts, lengths, begin = utf8(batch["text"]), [], 0
-            while begin < len(texts):  # a few MB at a time: the pieces of a text take many times its size
+            column, lengths, begin = batch["text"], [], 0
+            sizes = pa.compute.binary_length(column).to_pylist()
+            while begin < len(sizes):  # an MB at a time: the pieces of a text take many times its size
                 stop, size = begin, 0
-                while stop < len(texts) and (stop == begin or size + len(texts[stop]) <= CHUNK_BYTES):
-                    size += len(texts[stop])
+                while stop < len(sizes) and (stop == begin or size + sizes[stop] <= CHUNK_BYTES):
+                    size += sizes[stop]
                     stop += 1
-                ids = [x + end for x in encoder([x.decode() for x in texts[begin:stop]])]
+                ids = [x + end for x in encoder([x.decode() for x in utf8(column.slice(begin, stop - begin))])]
                 writer.add(np.frombuffer(b"".join(ids), "<u4"))
                 lengths += [len(x) // 4 for x in ids]
                 begin = stop
