@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -270,28 +271,50 @@ def collected_urls(entries: Column) -> Column:
     return F.filter(good, lambda e, i: ~F.exists(F.slice(good, F.lit(1), i), lambda o: (o["type"] == e["type"]) & (o["url"] == e["url"])))
 
 
+def normal_title(title: Column) -> Column:
+    """Lower case, runs of anything but a-z and 0-9 as one blank; empty for null."""
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " ")), F.lit(""))
+
+
 def title_match(query: Column, title: Column) -> Column:
-    """1 for equal normal forms, 0.95 for containment from 16 characters on, else 0.7 recall + 0.3 precision of words."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    q, t = norm(query), norm(title)
-    qs, ts = F.array_distinct(F.filter(F.split(q, " "), lambda w: w != "")), F.array_distinct(F.filter(F.split(t, " "), lambda w: w != ""))
+    """1 for equal normal forms, 0.95 where one of 16 characters or more is in the other, else 0.7 recall + 0.3 precision of the words."""
+    q, t = normal_title(query), normal_title(title)
+    qs, ts = F.array_distinct(tokenize(q)), F.array_distinct(tokenize(t))
     both = F.size(F.array_intersect(qs, ts))
-    contained = (F.least(F.length(q), F.length(t)) >= 16) & (F.contains(q, t) | F.contains(t, q))
-    return F.when((q == "") | (t == ""), 0.0).when(q == t, 1.0).when(contained, 0.95).otherwise(0.7 * both / F.size(qs) + 0.3 * both / F.size(ts))
+    contained = (F.least(F.length(q), F.length(t)) >= CONTAINED) & (F.contains(q, t) | F.contains(t, q))
+    shared = F.when((F.size(qs) == 0) | (F.size(ts) == 0), 0.0).otherwise(0.7 * both / F.greatest(F.size(qs), F.lit(1)) + 0.3 * both / F.greatest(F.size(ts), F.lit(1)))
+    return F.when((q == "") | (t == ""), 0.0).when(q == t, 1.0).when(contained, 0.95).otherwise(shared)
+
+
+#: From so many characters on, a title that is part of another matches it.
+CONTAINED = 16
 
 
 def best_titles(queries: DataFrame, papers: DataFrame, least: float = 0.6) -> DataFrame:
-    """(query_id, paper_id, score): the best match of each query of at least ``least``; only papers that share a word are compared."""
-    token = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " "), lambda w: F.length(w) > 2)))
-    left = queries.select("query_id", "query", token(F.col("query")).alias("w"))
-    right = papers.select("paper_id", "title", token(F.col("title")).alias("w"))
-    rare = right.groupBy("w").agg(F.count("*").alias("n"))
-    # Each query meets papers through its rarest word and, for the score's sake, any two further words.
-    w = Window.partitionBy("query_id").orderBy("n", "w")
-    keys = left.join(rare, "w").withColumn("k", F.row_number().over(w)).where("k <= 3").select("query_id", "query", "w")
-    pairs = keys.join(right, "w").select("query_id", "query", "paper_id", "title").distinct()
-    scored = pairs.withColumn("score", title_match(F.col("query"), F.col("title"))).where(F.col("score") >= least)
-    return scored.groupBy("query_id").agg(F.max_by(F.struct("paper_id", "score"), F.struct("score", -F.col("paper_id"))).alias("b")).select("query_id", "b.paper_id", "b.score")
+    """(query_id, paper_id, score): the best match of each query of at least ``least`` (above 0); of equal ones the smallest paper_id.
+
+    Exact, without comparing all pairs: a score of ``least`` by words needs (least - 0.3) / 0.7 of the query's words, so two sets that
+    reach it share one of the query's rarest words, all but so many less one; equal forms meet by equality; and of two titles one of which
+    is in the other, the shorter one's first 16 characters are among the longer one's runs of 16.  A pair that meets several ways is scored once.
+    """
+    left = queries.select("query_id", normal_title(F.col("query")).alias("q")).where("q <> ''").withColumn("w", F.array_distinct(tokenize(F.col("q"))))
+    right = papers.select("paper_id", normal_title(F.col("title")).alias("t")).where("t <> ''").withColumn("w", F.array_distinct(tokenize(F.col("t"))))
+    having = right.select("paper_id", F.explode("w").alias("w"))
+    known = left.select("query_id", F.size("w").alias("n"), F.explode("w").alias("w")).join(having.groupBy("w").agg(F.count("*").alias("df")), "w")
+    need = F.greatest(F.ceil(F.col("n") * (max(least - 0.3, 0.0) / 0.7) - 1e-9), F.lit(1))
+    rare = known.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "w"))).withColumn("known", F.count("*").over(Window.partitionBy("query_id")))
+    pairs = [rare.where(F.col("k") <= F.col("known") - need + 1).select("query_id", "w").join(having, "w").select("query_id", "paper_id")]
+    pairs.append(left.join(right.select("paper_id", F.col("t").alias("q")), "q").select("query_id", "paper_id"))
+    if least <= 0.95:
+        runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (CONTAINED - 1)), lambda i: F.substring(c, i, F.lit(CONTAINED)))))
+        long_q, long_t = left.where(F.length("q") >= CONTAINED), right.where(F.length("t") >= CONTAINED)
+        head = lambda c: F.substring(c, 1, CONTAINED).alias("g")
+        pairs.append(long_q.select("query_id", head("q")).join(long_t.select("paper_id", runs(F.col("t")).alias("g")), "g").select("query_id", "paper_id"))
+        pairs.append(long_t.select("paper_id", head("t")).join(long_q.select("query_id", runs(F.col("q")).alias("g")), "g").select("query_id", "paper_id"))
+    met = reduce(DataFrame.unionByName, pairs).distinct()
+    both = met.join(left.select("query_id", "q"), "query_id").join(right.select("paper_id", "t"), "paper_id").withColumn("score", title_match(F.col("q"), F.col("t")))
+    best = both.where((F.col("score") >= least) & (F.col("score") > 0)).groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "paper_id")).alias("b"))
+    return best.select("query_id", "b.paper_id", (-F.col("b.s")).alias("score"))
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -237,15 +237,24 @@ def material_counters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def proximity(nodes: DataFrame, edges: DataFrame, kind: str = "FailureMode", counts: DataFrame | None = None, hops: int = 5) -> DataFrame:
-    """id, proximity: the larger of counts and 1 / (d + 1), d the steps (at most ``hops``) to a node of the kind other than itself."""
-    e = edges.select("source", "target").distinct()
-    start = nodes.where(F.col("type") == kind).select(F.col("id").alias("goal"), "id", F.lit(0).alias("d"))
-    state, frontier = start, start
+    """id, proximity: the larger of counts and 1 / (d + 1), d the steps (at most ``hops``) to a node of the kind other than itself.
+
+    Each node carries the labels (d, goal) of its two nearest goals, so there are at most two rows a node, however many goals there are.
+    """
+    where = shared_dir(nodes.sparkSession)
+    e = written(edges.where("source <> target").select("source", "target").distinct(), f"{where}/edges")
+    labels = written(nodes.where(F.col("type") == kind).select("id", F.col("id").alias("goal"), F.lit(0).alias("d")).distinct(), f"{where}/0")
+    frontier = labels
     for k in range(1, hops + 1):
-        step = frontier.join(e, frontier["id"] == e["target"]).select("goal", F.col("source").alias("id")).distinct()
-        frontier = step.join(state.select("goal", "id"), ["goal", "id"], "left_anti").withColumn("d", F.lit(k))
-        state = state.unionByName(frontier)
-    near = state.where("goal <> id").groupBy("id").agg(F.max(1.0 / (F.col("d") + 1)).alias("p"))
+        # The two nearest goals of a node are among the two nearest of the nodes it leads to; two are enough for one that is not the node itself.
+        step = frontier.join(e, frontier["id"] == e["target"]).select(F.col("source").alias("id"), "goal").distinct().join(labels.select("id", "goal"), ["id", "goal"], "left_anti")
+        first = step.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("goal"))).where("_k <= 2")
+        have = labels.groupBy("id").agg(F.count("*").alias("_have"))
+        frontier = written(first.join(have, "id", "left").where(F.col("_k") + F.coalesce("_have", F.lit(0)) <= 2).select("id", "goal", F.lit(k).alias("d")), f"{where}/{k}")
+        labels = labels.unionByName(frontier)
+        if frontier.limit(1).count() == 0:
+            break
+    near = labels.where("goal <> id").groupBy("id").agg(F.max(1.0 / (F.col("d") + 1)).alias("p"))
     out = nodes.select("id").join(near, "id", "left")
     if counts is None:
         return out.select("id", F.coalesce("p", F.lit(0.0)).alias("proximity"))

@@ -39,11 +39,11 @@ select source || ':c:' || doc_id as id, 'Chunk' as type, text, cast(doc_id as bi
 
 CONCEPTS = """
 select 'con_' || item_id as concept_id, lower(regexp_extract(text, '[A-Za-z]{3,}', 0)) as term, cast(item_id as bigint) as pos,
-       substring(text, 1, 60) as definition from benchmark
+       text as definition from benchmark
 """
 
-PAPERS = """
-select doc_id as paper_id, substring(text, 1, 40) as title, text as abstract, cast(2000 + doc_id % 25 as int) as year,
+PAPERS = r"""
+select doc_id as paper_id, regexp_extract(text, '^[^.!?\n]*', 0) as title, text as abstract, cast(2000 + doc_id % 25 as int) as year,
        cast((doc_id * 37) % 500 as bigint) as citations, case when doc_id % 3 = 0 then (doc_id % 100) / 100.0e0 end as percentile,
        cast(doc_id + 1 as bigint) as source_rank, doc_id % 2 = 0 as open_access, doc_id % 97 = 0 as retracted, source as field, lang as topic from documents
 """
