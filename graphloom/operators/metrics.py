@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,41 +107,94 @@ def _shortest_dag(dist: DataFrame, edges: DataFrame, cost: Column) -> DataFrame:
     return a.join(e, "source").join(b, ["src", "target"]).where(F.abs(F.col("da") + F.col("c") - F.col("db")) <= 1e-9 * (1 + F.abs("db"))).select("src", "source", "target", "da", "db")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
-    """id, betweenness on inverse_weight, directed and normalised by (n-1)(n-2); 0 for fewer than three nodes.
+def _hop_levels(dist: DataFrame, dag: DataFrame, where: str) -> DataFrame:
+    """(src, id, level): the most edges on a shortest path from src; all predecessors of a node are on lower levels."""
+    level = written(dist.where("src = id").select("src", "id", F.lit(0).alias("level"), F.lit(True).alias("fresh")), f"{where}/l0")
+    k = 0
+    while level.where("fresh").limit(1).count():
+        k += 1
+        up = dag.join(level.where("fresh").select("src", F.col("id").alias("source"), "level"), ["src", "source"]).groupBy("src", F.col("target").alias("id")).agg((F.max("level") + 1).alias("new"))
+        both = level.select("src", "id", "level").join(up, ["src", "id"], "full")
+        higher = F.col("new").isNotNull() & (F.col("level").isNull() | (F.col("new") > F.col("level")))
+        level = written(both.select("src", "id", F.when(higher, F.col("new")).otherwise(F.col("level")).alias("level"), higher.alias("fresh")), f"{where}/l{k}")
+    return level.drop("fresh")
+
+
+def dependencies(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(src, id, delta): Brandes' dependency of each source on each node: the share of its shortest paths that lead through the node, summed over the targets.
 
-    Brandes for all sources at once: distances, then path counts forward and dependencies backward, by rank of distance.
-    With ``pivots`` the sums over these sources are scaled by n / pivots.
+    All sources at once: distances, then path counts forward and dependencies backward by the hops of shortest paths, so the number of
+    rounds is that of their edges, whatever the weights.
     """
-    spark = nodes.sparkSession
-    where = shared_dir(spark)
-    ids = nodes.select("id").distinct()
-    n = ids.count()
-    if n < 3:
-        return ids.withColumn("betweenness", F.lit(0.0))
-    sources = ids if pivots is None else pivots.select("id").distinct()
-    scale = 1.0 if pivots is None else n / max(1, sources.count())
+    where = shared_dir(nodes.sparkSession)
     dist = written(distances(nodes, edges, sources), f"{where}/dist")
-    level = dist.withColumn("level", F.dense_rank().over(Window.partitionBy("src").orderBy("dist")) - 1)
-    level = written(level, f"{where}/level")
-    dag = _shortest_dag(dist, edges, F.col("inverse_weight").cast("double"))
+    dag = written(_shortest_dag(dist, edges, F.col("inverse_weight").cast("double")).select("src", "source", "target"), f"{where}/edges")
+    level = _hop_levels(dist, dag, where)
     lv = level.select("src", F.col("id").alias("target"), F.col("level").alias("lt"))
     dag = written(dag.join(lv, ["src", "target"]).join(lv.select("src", F.col("target").alias("source"), F.col("lt").alias("ls")), ["src", "source"]), f"{where}/dag")
     top = level.agg(F.max("level")).first()[0] or 0
     sigma = written(level.where("level = 0").select("src", "id", F.lit(1.0).alias("sigma")), f"{where}/s0")
     for k in range(1, top + 1):
         new = dag.where(F.col("lt") == k).join(sigma.withColumnRenamed("id", "source"), ["src", "source"]).groupBy("src", F.col("target").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        sigma = written(sigma.unionByName(new), f"{where}/s{k}")
+        sigma = sigma.unionByName(written(new, f"{where}/s{k}"))
     paths = dag.join(sigma.withColumnRenamed("id", "source").withColumnRenamed("sigma", "ss"), ["src", "source"]).join(sigma.withColumnRenamed("id", "target").withColumnRenamed("sigma", "st"), ["src", "target"])
     paths = written(paths.select("src", "source", "target", "ls", (F.col("ss") / F.col("st")).alias("r")), f"{where}/paths")
     delta = written(level.select("src", "id", F.lit(0.0).alias("delta")).where("false"), f"{where}/d0")
     for k in range(top - 1, -1, -1):
         got = paths.where(F.col("ls") == k).join(delta.withColumnRenamed("id", "target"), ["src", "target"], "left").groupBy("src", F.col("source").alias("id")).agg(F.sum(F.col("r") * (1 + F.coalesce("delta", F.lit(0.0)))).alias("delta"))
-        delta = written(delta.unionByName(got), f"{where}/d{k + 1}")
-    total = delta.where("src <> id").groupBy("id").agg(F.sum("delta").alias("d"))
+        delta = delta.unionByName(written(got, f"{where}/d{k + 1}"))
+    return delta.where("src <> id")
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
+    """id, betweenness on inverse_weight, directed and normalised by (n-1)(n-2); 0 for fewer than three nodes.
+
+    Exact over all sources; with ``pivots`` the sums over these sources are scaled by n / pivots.
+    """
+    ids = nodes.select("id").distinct()
+    n = ids.count()
+    if n < 3:
+        return ids.withColumn("betweenness", F.lit(0.0))
+    sources = ids if pivots is None else pivots.select("id").distinct()
+    scale = 1.0 if pivots is None else n / max(1, sources.count())
+    total = dependencies(nodes, edges, sources).groupBy("id").agg(F.sum("delta").alias("d"))
     return ids.join(total, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale / ((n - 1) * (n - 2))).alias("betweenness"))
 
 
+def sampled_betweenness(nodes: DataFrame, edges: DataFrame, error: float = 0.05, risk: float = 0.1, first: int = 128, seed: int = 5) -> DataFrame:
+    """F7 with a stated error: id, betweenness, bound, sources: with probability 1 - risk every value is within its bound, and no bound is above ``error``.
+
+    Sources are drawn by a hash, twice as many each time, until the empirical Bernstein bound of each node, shared out over nodes and
+    rounds, is small enough; when all are drawn, the values are exact and the bounds 0.  A source's dependency is counted once.
+    """
+    where = shared_dir(nodes.sparkSession)
+    ids = written(nodes.select("id").distinct(), f"{where}/ids")
+    n = ids.count()
+    if n < 3:
+        return ids.select("id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("bound"), F.lit(n).cast("bigint").alias("sources"))
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    rounds = max(1, ceil(log2(max(2.0, n / first))) + 1)
+    share = log(3 * n * rounds / risk)
+    parts, low, drawn, k = None, 0.0, 0, 0
+    while low < 1.0:
+        k += 1
+        high = min(1.0, first * 2 ** (k - 1) / n)
+        some = written(ids.where((place >= low) & (place < high)), f"{where}/sources{k}")
+        drawn, low = drawn + some.count(), high
+        x = F.col("delta") / (n - 2)
+        part = written(dependencies(nodes, edges, some).groupBy("id").agg(F.sum(x).alias("s1"), F.sum(x * x).alias("s2")), f"{where}/sums{k}")
+        parts = part if parts is None else parts.unionByName(part)
+        if not drawn:
+            continue
+        sums = ids.join(parts.groupBy("id").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2")), "id", "left").na.fill(0.0)
+        spread = F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / drawn) / max(1, drawn - 1))
+        bound = F.lit(0.0) if low >= 1.0 else F.sqrt(2 * spread * share / drawn) + 3 * share / drawn
+        found = written(sums.select("id", (F.col("s1") / drawn * n / (n - 1)).alias("betweenness"), bound.alias("bound"), F.lit(drawn).cast("bigint").alias("sources")), f"{where}/found{k}")
+        if found.agg(F.max("bound")).first()[0] <= error:
+            return found
+    return found
+
+
 def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """F8: id, out_closeness: (r / (n - 1)) * (r / sum of distances), r reached nodes."""
     ids = nodes.select("id").distinct()

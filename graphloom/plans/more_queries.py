@@ -34,11 +34,11 @@ def plants(s, d):
 
 
 def whole(s, d):
-    """All nodes, and all edges between them: parallel edges once, each of length 1."""
+    """All nodes, and all edges between them: of parallel ones the last, weighted by their confidence."""
     n, e = graph(s, d)
     ids = n.select("id")
-    inside = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").where("source <> target")
-    return n, metrics.collapsed(inside).withColumn("inverse_weight", F.lit(1.0))
+    inside = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return n, metrics.clean_weights(metrics.collapsed(inside.withColumn("weight", F.col("confidence"))))
 
 
 CHAIN = "s as (select s_suppkey, s_nationkey, n_regionkey from supplier join nation on s_nationkey = n_nationkey), n as (select (select count(*) from supplier) + (select count(*) from nation) + (select count(*) from region) as n)"

@@ -287,28 +287,32 @@ def test_preference_pairs_of_all_documents(spark, sf):
 
 
 def test_whole_graph_closeness_and_components(spark, sf):
-    from collections import deque
+    import heapq
 
     from graphloom.plans import registry
     from graphloom.plans.tables import table
 
     ids = {r[0] for r in table(spark, sf, "nodes").select("id").collect()}
-    pairs = {(r[0], r[1]) for r in table(spark, sf, "edges").select("source", "target").collect() if r[0] in ids and r[1] in ids and r[0] != r[1]}
-    out = {x: [] for x in ids}
-    both = {x: set() for x in ids}
-    for a, b in pairs:
-        out[a].append(b)
-        both[a].add(b)
-        both[b].add(a)
+    rows = table(spark, sf, "edges").select("source", "target", "pos", "type", "confidence").collect()
+    last = {}
+    for r in rows:  # of parallel edges the last listed counts
+        if r["source"] in ids and r["target"] in ids and r["source"] != r["target"]:
+            key = (r["source"], r["target"])
+            last[key] = max(last.get(key, (-1, "", 0)), (r["pos"], r["type"], 1.0 if r["confidence"] is None else r["confidence"]))
+    out = {x: {} for x in ids}
+    both = {x: {} for x in ids}
+    for (a, b), (_, _, w) in last.items():
+        out[a][b] = min(1 / (w if w > 0 else 1e-9), 1e9)
+        both[a][b] = both[b][a] = 1.0
 
     def reach(start, near):
-        dist, queue = {start: 0}, deque([start])
+        dist, queue = {}, [(0.0, start)]
         while queue:
-            x = queue.popleft()
-            for y in near[x]:
-                if y not in dist:
-                    dist[y] = dist[x] + 1
-                    queue.append(y)
+            d, x = heapq.heappop(queue)
+            if x not in dist:
+                dist[x] = d
+                for y, c in near[x].items():
+                    heapq.heappush(queue, (d + c, y))
         return dist
 
     want = {}
