@@ -23,6 +23,8 @@ own; an empty table gives an empty result; extra columns, whatever their names,
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,7 +167,7 @@ def mix(docs: DataFrame, levels: int | None = None, weights: tuple[int, ...] = W
     near = lambda x, p: (x["high"] > p * F.col("n_blocks") + F.col("_k0")) & (x["low"] < p * F.col("n_blocks") + F.col("_k0") + F.col("blocks"))
     with_cuts = ranges.join(tree, "_n", "left").select(
         "_key", "_range", "blocks", "_words0", "_k0", "source_size", "n_blocks", "target", "passes", "rest",
-        F.filter("cuts", lambda x: near(x, 0) | near(x, 1) | near(x, 2)).alias("cuts"),
+        F.filter("cuts", lambda x: reduce(or_, [near(x, p) for p in range(cap + 1)])).alias("cuts"),
     )
     out = ranked.join(with_cuts, ["_key", "_range"])
     spot = lambda p: p * F.col("n_blocks") + F.col("_k0") + F.col("_k")

@@ -5,8 +5,8 @@ fields a record, version 2 with ten), then for each page a header line and as ma
 line declares.  The converter parses the line by the version's field list, takes the declared
 length of bytes, and synthesises what WARC asks for: a record id derived from the archive's name and the
 record's place in it, an ISO timestamp, the type, and payload and block digests.  Of records with equal
-payloads one is a ``response`` and the others ``revisit`` it by digest.  Batches take the legacy
-versions in turn.
+payloads one is a ``response`` and the others ``revisit`` it by digest.  The rows of a batch take the
+legacy versions in turn, an archive a version.
 
 Archives are written per task to the shared folder under a name of their own and renamed when
 complete; the result is parsed from the archives.  Equal payloads are found by SHA-256 and length
@@ -14,7 +14,9 @@ in one map-side combined aggregate, so a payload that a third of all pages share
 task; the SHA-1 that WARC asks for, for which collisions are known, decides nothing.
 
 Null html counts as empty.  Urls may be null or hold blanks (they are percent-encoded in header
-lines).  Repeated page ids are kept, each judged alone, and repeated rows get record ids of their own; an
+lines).  A null page id is smaller than any other and has no header line; of equal payloads whose
+ids are all null one row is the response.  Of repeated rows of the largest id one is the response, the others revisit
+it by its id, which is their own; all get record ids of their own.  Ids may be of any type that a string holds.  An
 empty table gives no archive; extra columns are ignored.
 """
 
@@ -26,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -85,9 +88,9 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, data[end + 1 : at]
 
 
-def warc_record(head: dict[str, str], payload: bytes, page_id, refers_to, truth: str, place: str) -> bytes:
-    """The WARC record for a legacy record; a revisit carries no payload.  place: the archive and number that no other record has."""
-    kind = "response" if refers_to is None else "revisit"
+def warc_record(head: dict[str, str], payload: bytes, page_id, revisit: bool, refers_to, truth: str, place: str) -> bytes:
+    """The WARC record for a legacy record; a revisit carries no payload.  A null id has no header line.  place: the archive and number that no other record has."""
+    kind = "revisit" if revisit else "response"
     d = head["date"]
     lines = [
         "WARC/1.1",
@@ -97,13 +100,13 @@ def warc_record(head: dict[str, str], payload: bytes, page_id, refers_to, truth:
         f"WARC-Target-URI: {head['url']}",
         f"WARC-IP-Address: {head['ip']}",
         f"WARC-Payload-Digest: sha1:{truth}",
-        f"WARC-Page-ID: {page_id}",
+        *([] if page_id is None else [f"WARC-Page-ID: {quote(str(page_id))}"]),
         f"WARC-Original-Length: {len(payload)}",
         f"Content-Type: {head['type']}",
     ]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    block = payload if refers_to is None else b""
+    if revisit:
+        lines += [*([] if refers_to is None else [f"WARC-Refers-To-Page-ID: {quote(str(refers_to))}"]), "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    block = b"" if revisit else payload
     lines += [f"WARC-Block-Digest: sha1:{digest(block)}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -125,12 +128,14 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def write_warc(pages: DataFrame, uri: str, least: int = 0, versions: tuple[int, ...] = (1, 2)) -> DataFrame:
     """Writes archives of gzip members below uri; returns one row an archive: its name."""
-    pages = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    light = pages.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("size"))
-    groups = light.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
+    # The row's place tells repeated rows of one id apart: just one of them is the response.
+    pages = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
+    light = pages.select("page_id", "row", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("size"))
+    groups = light.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max(F.struct("page_id", "row")).alias("keep"), F.count("*").alias("n")).where("n > 1")
     # Payloads move once, to their digest's group; a hot digest is on the left side, which AQE splits.
     paired = pages.withColumn("sha", F.sha2("html", 256)).withColumn("size", F.octet_length("html")).join(groups.drop("n"), ["sha", "size"], "left")
-    paired = paired.select("page_id", "url", "html", F.when(F.col("keep") != F.col("page_id"), F.col("keep")).alias("refers_to"))
+    revisit = F.coalesce(F.col("keep.row") != F.col("row"), F.lit(False))
+    paired = paired.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("keep.page_id")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(uri)
@@ -142,16 +147,16 @@ def write_warc(pages: DataFrame, uri: str, least: int = 0, versions: tuple[int,
             names.append(f"{own}-{len(names):04d}.warc.gz")
             fs.move(f"{root}/.{own}", f"{root}/{names[-1]}")
 
-        for number, batch in enumerate(batches):
-            version = versions[number % len(versions)]
-            urls = [x if x is not None else "" for x in batch["url"].to_pylist()]
-            ids, refers, html = batch["page_id"].to_pylist(), batch["refers_to"].to_pylist(), utf8(batch["html"])
+        for batch, (k, version) in ((b, v) for b in batches for v in enumerate(versions)):  # the rows of a batch take the versions in turn
+            rows = batch.take(pa.array(range(k, batch.num_rows, len(versions)), pa.int64()))
+            urls = [x if x is not None else "" for x in rows["url"].to_pylist()]
+            ids, revisits, refers, html = rows["page_id"].to_pylist(), rows["revisit"].to_pylist(), rows["refers_to"].to_pylist(), utf8(rows["html"])
             legacy = arc_head(version, own) + b"".join(arc_record(version, u, h) for u, h in zip(urls, html, strict=True))
-            for (head, payload), page, to in zip(parse_arc(legacy), ids, refers, strict=True):
+            for (head, payload), page, again, to in zip(parse_arc(legacy), ids, revisits, refers, strict=True):
                 if sink is None:
                     sink, size = fs.open_output_stream(f"{root}/.{own}", compression=None), 0
                 pack = zlib.compressobj(3, zlib.DEFLATED, 31)
-                member = pack.compress(warc_record(head, payload, page, to, digest(payload), f"{own} {place}")) + pack.flush()
+                member = pack.compress(warc_record(head, payload, page, again, to, digest(payload), f"{own} {place}")) + pack.flush()
                 sink.write(member)
                 place += 1
                 size += len(member)
@@ -185,7 +190,7 @@ def read_warc(archives: DataFrame, uri: str, id_type: str = "bigint") -> DataFra
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(uri)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
@@ -199,14 +204,14 @@ def read_warc(archives: DataFrame, uri: str, id_type: str = "bigint") -> DataFra
                             truth, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
                             if kind == "response" and digest(block) != truth:
                                 raise ValueError(f"{name}: payload differs from its digest")
-                            number = lambda k, h=head: int(h[k]) if k in h and h[k] != "None" else None
-                            rows.append((number("WARC-Page-ID"), number("WARC-Original-Length"), truth, kind, number("WARC-Refers-To-Page-ID")))
+                            named = lambda k, h=head: unquote(h[k]) if k in h else None
+                            rows.append((named("WARC-Page-ID"), int(head["WARC-Original-Length"]), truth, kind, named("WARC-Refers-To-Page-ID")))
                             if len(rows) == 10_000:
                                 yield packed(rows)
                                 rows = []
         yield packed(rows)
 
-    out = archives.mapInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    out = archives.mapInArrow(read, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
     return out.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 

@@ -197,3 +197,31 @@ def test_chat_format(spark):
     assert read_back(formatted(spark.createDataFrame([], CONVS))).count() == 0
     (r,) = read_back(formatted(probe(spark))).collect()
     assert tuple(r)[:5] == next(plain_chat([(-7, 0, "user", ODD[10]), (-7, 1, "assistant", ODD[10])]))
+
+
+def test_warc_null_and_repeated_ids(spark):
+    from graphloom.llm import warc
+
+    rows = [(None, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, "v", "b"), (None, "w", "b"), (2, None, None), (3, "u x", "")] + [(k, "u", "same") for k in range(10, 15)]
+    got = [tuple(r) for r in warc.archive_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)).collect()]
+    by = lambda n: sorted(((r[0], r[3], r[4]) for r in got if r[2] == warc.digest(n)), key=str)
+    assert by(b"<p>a</p>") == sorted([(1, "response", None), (1, "revisit", 1), (None, "revisit", 1)], key=str)
+    assert by(b"b") == [(None, "response", None), (None, "revisit", None)]
+    assert by(b"") == [(2, "revisit", 3), (3, "response", None)]
+    assert by(b"same") == [(k, "revisit", 14) for k in range(10, 14)] + [(14, "response", None)]
+    named = spark.createDataFrame([("a b\r\n", "u", "x"), ("None", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    assert {tuple(r)[0::3] for r in warc.archive_pages(named).collect()} == {("a b\r\n", "response"), ("None", "revisit"), (None, "response")}
+
+
+def test_mixing_with_many_passes(spark, sf):
+    from graphloom.llm import mixing
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.taken(mixing.mix(docs, share=4.5, cap=5, keep=False)).collect()
+    words = sum(r["size"] for r in rows)
+    assert sum(r["taken"] for r in rows) == pytest.approx(4.5 * words, rel=0.001) and all(r["taken"] <= 5 * r["size"] for r in rows)
+    of = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    near = {}
+    for r in rows:
+        near[of[r["doc_id"]]] = near.get(of[r["doc_id"]], -r["target"]) + r["taken"]
+    assert all(abs(x) <= 1 for x in near.values())
