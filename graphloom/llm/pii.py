@@ -85,8 +85,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base, loose: arrays of (kind, start, end, text, before); loose ones overlap no base span."""
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
     loose = F.concat(*[S.found(F.col("text"), p, k, _needed(k, F.col("text"))) for k, p in LOOSE.items()])
-    free = F.filter(loose, lambda s: ~S.overlaps(s, F.col("base")))
-    return text.select("doc_id", "base", free.alias("loose"))
+    # Both are columns before they are compared, so that no pattern is matched again.
+    return text.select("doc_id", "base", loose.alias("loose")).withColumn("loose", S.free(F.col("loose"), F.col("base")))
 
 
 def votes(s: Column) -> list[Column]:
@@ -174,11 +174,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = written(candidates(docs), shared_dir(docs.sparkSession))  # texts are matched once; spans alone go on
     model = train(found)
     likely = F.filter("loose", lambda s: probability(s, model) >= threshold)
-    # Of loose spans that overlap, the first by (start, kind) stays.
-    kept = F.aggregate(
-        F.array_sort(F.transform(likely, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s.alias("s")))), F.expr(f"cast(array() as {S.SPAN})"),
-        lambda done, x: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > x["start"]), done).otherwise(F.concat(done, F.array(x["s"]))),
-    )
+    kept = S.first_of_each(likely)
     return found.select("doc_id", "base", F.transform(kept, lambda s: s.withField("kind", F.concat(F.lit("other_"), s["kind"]))).alias("added"))
 
 

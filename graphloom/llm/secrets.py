@@ -107,11 +107,10 @@ def scan(docs: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD)
     """doc_id, base and added: arrays of (kind, start, end, text)."""
     table = train(docs, rows)
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    based = text.withColumn("base", base_spans(F.col("text")))
     pattern = f"[A-Za-z0-9+/_=-]{{{RUN},}}"
     runs = S.found(F.col("text"), pattern, "markov", F.col("text").rlike(pattern))
-    added = F.filter(runs, lambda s: ~S.overlaps(s, F.col("base")) & (ratio(s["text"], table) > threshold))
-    return based.select("doc_id", "base", added.alias("added"))
+    both = text.select("doc_id", base_spans(F.col("text")).alias("base"), runs.alias("runs"))
+    return both.select("doc_id", "base", F.filter(S.free(F.col("runs"), F.col("base")), lambda s: ratio(s["text"], table) > threshold).alias("added"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -73,3 +73,51 @@ def ordered(spans: Column, kinds: list[str], by_kind: bool) -> Column:
 
 def overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+
+
+def _chunks(values: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(CHUNK)), lambda k: F.slice(values, k, F.lit(CHUNK)))
+
+
+def free(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others, in their order.
+
+    Few are compared one by one.  Many are swept: the others by their start and the spans by their end stand in one order, and a span
+    is free if no other that starts before its end has an end after its start; the largest end so far is carried from chunk to chunk.
+    """
+
+    def swept(events: Column) -> Column:
+        end_of = lambda e: F.when(e["other"] == 1, e["edge"]).otherwise(F.lit(-1))
+        most = lambda c: F.coalesce(F.array_max(F.transform(c, end_of)), F.lit(-1))
+
+        def of_chunks(chunks: Column) -> Column:
+            begin = F.struct(F.lit(-1).alias("m"), F.expr("cast(array() as array<int>)").alias("out"))
+            before = F.aggregate(F.transform(chunks, most), begin, lambda s, m: F.struct(F.greatest(s["m"], m).alias("m"), F.concat(s["out"], F.array(s["m"])).alias("out")), lambda s: s["out"])
+
+            def of_chunk(c: Column, m: Column) -> Column:
+                told = F.transform(c, lambda e, j: F.struct(e["other"].alias("other"), e["edge"].alias("edge"), e["at"].alias("at"), F.greatest(m, most(F.slice(c, F.lit(1), j))).alias("m")))
+                return F.transform(F.filter(told, lambda e: (e["other"] == 0) & (e["m"] <= e["edge"])), lambda e: e["at"])
+
+            return F.flatten(F.zip_with(chunks, before, of_chunk))
+
+        return F.transform(F.array_sort(_bound(_chunks(events), of_chunks)), lambda k: F.get(spans, k))
+
+    event = lambda pos, other, edge, at: F.struct(pos.alias("pos"), F.lit(other).alias("other"), edge.alias("edge"), at.alias("at"))
+    events = F.concat(F.transform(others, lambda o: event(o["start"], 1, o["end"], F.lit(0))), F.transform(spans, lambda s, k: event(s["end"], 0, s["start"], k)))
+    few = F.size(spans).cast("bigint") * F.size(others) <= CHUNK * CHUNK
+    return F.when(few, F.filter(spans, lambda s: ~overlaps(s, others))).otherwise(_bound(F.array_sort(events), swept))
+
+
+def first_of_each(spans: Column) -> Column:
+    """Of spans that overlap, the first by (start, kind) stays; the array that grows is copied once a chunk, not once a span."""
+    none = F.expr(f"cast(array() as {SPAN})")
+
+    def step(s: Column, x: Column) -> Column:
+        return F.when(s["end"] > x["start"], s).otherwise(F.struct(x["s"]["end"].alias("end"), F.concat(s["out"], F.array(x["s"])).alias("out")))
+
+    def of_chunk(s: Column, c: Column) -> Column:
+        got = F.aggregate(c, F.struct(s["end"].alias("end"), none.alias("out")), step)
+        return _bound(got, lambda g: F.struct(g["end"].alias("end"), F.concat(s["out"], g["out"]).alias("out")))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s.alias("s"))))
+    return _bound(ordered, lambda o: F.aggregate(_chunks(o), F.struct(F.lit(-1).alias("end"), none.alias("out")), of_chunk, lambda s: s["out"]))

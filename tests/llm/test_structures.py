@@ -225,3 +225,39 @@ def test_mixing_with_many_passes(spark, sf):
     for r in rows:
         near[of[r["doc_id"]]] = near.get(of[r["doc_id"]], -r["target"]) + r["taken"]
     assert all(abs(x) <= 1 for x in near.values())
+
+
+def test_free_spans(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import spans as S
+
+    rnd = random.Random(11)
+
+    def some(n, kinds, width, apart):
+        return [(rnd.choice(kinds), at, at + rnd.randint(1, width), "t", "b") for at in sorted(rnd.sample(range(n * apart), n))]
+
+    cases = [(some(a, "xy", w, 9), some(b, "pq", w, 9)) for a, b, w in [(0, 0, 3), (5, 0, 3), (0, 5, 3), (40, 60, 12), (700, 600, 7), (900, 900, 40)]]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(cases)], f"id int, a {S.SPAN}, b {S.SPAN}")
+    got = {r["id"]: r for r in df.select("id", S.free(F.col("a"), F.col("b")).alias("free"), S.first_of_each(F.col("a")).alias("first")).collect()}
+    for k, (a, b) in enumerate(cases):
+        assert [tuple(x) for x in got[k]["free"]] == [x for x in a if not any(y[1] < x[2] and x[1] < y[2] for y in b)]
+        first, end = [], -1
+        for x in sorted(a, key=lambda x: (x[1], x[0])):
+            if end <= x[1]:
+                first.append(x)
+                end = x[2]
+        assert [tuple(x) for x in got[k]["first"]] == first
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    from graphloom.llm import pii, secrets
+
+    text = " ".join(f"m{k}@x.org tel 555 {k:07d} key 0123456789abcdef0123456789abcd{k:05x} Zq{k:05d}Xw{k:05d}Kj " for k in range(16_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    for module in (pii, secrets):
+        began = time.time()
+        r = module.digest(module.scan(docs)).first()
+        assert (r["n_email"] if module is pii else r["n_hex"]) == 16_000 and time.time() - began < 120
