@@ -326,7 +326,8 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rou
     """id, cluster_id: modularity communities by local moving and aggregation, numbered by their smallest node.
 
     All nodes weigh their moves at once; in alternate rounds only moves to a smaller (or larger) community name count, which keeps
-    pairs from swapping, and ties go to the smaller name, so the result is deterministic.
+    pairs from swapping, and ties go to the smaller name, so the result is deterministic.  Before a level's communities become nodes,
+    each is split into its connected parts, which never lowers modularity, so no community is disconnected.
     """
     spark = nodes.sparkSession
     where = shared_dir(spark)
@@ -359,6 +360,7 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rou
             changed |= any_moved
             if not any_moved and k > 1:
                 break
+        com = written(_connected(graph, com), f"{where}/r{level}")
         member = written(member.join(com.select(F.col("v").alias("com"), F.col("com").alias("new")), "com", "left").select("id", F.coalesce("new", "com").alias("com")), f"{where}/m{level}")
         if not changed:
             break
@@ -368,6 +370,13 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rou
     return member.join(firsts, "com").select("id", "cluster_id")
 
 
+def _connected(graph: DataFrame, com: DataFrame) -> DataFrame:
+    """(v, k, com) with communities split into their connected parts, each named by its smallest node."""
+    own = com.select("v", "com")
+    inside = graph.where("a < b").join(own.select(F.col("v").alias("a"), F.col("com").alias("ca")), "a").join(own.select(F.col("v").alias("b"), F.col("com").alias("cb")), "b").where("ca = cb")
+    return com.drop("com").join(connected_components(inside).select(F.col("node").alias("v"), "label"), "v", "left").select("v", "k", F.coalesce("label", "v").alias("com"))
+
+
 def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: the modularity of a clustering (id, cluster_id) on the undirected projection."""
     pairs = undirected(edges)

@@ -652,7 +652,9 @@ def _(s, d):
     return near_texts(s, d).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("d6_near_duplicate_map")
+@query("d6_near_duplicate_map", "with recursive " + SHINGLES[5:] + """, sym as (select master as a, duplicate as b from d union select duplicate, master from d), reach(a, b) as (select a, b from sym union select reach.a, sym.b from reach join sym on reach.b = sym.a),
+  lab as (select a as id, least(a, min(b)) as label from reach group by a), never as (select label, min(id) as m from lab where id not in (select duplicate from d) group by label), low as (select label, min(id) as low from lab group by label)
+  select id as duplicate, coalesce(m, low) as master from lab join low using (label) left join never using (label) where id <> coalesce(m, low)""")
 def _(s, d):
     return similarity.duplicate_map(written(near_texts(s, d), f"{shared_dir(s)}/pairs"))
 
@@ -716,6 +718,14 @@ def _(s, d):
     return similarity.before_after((n, e), similarity.rewritten(n, e, mapping))
 
 
+@query("e2_candidates_of_all", SHINGLES + """, k as (select *, row_number() over (partition by id order by similarity desc, other) as n from r where similarity >= 0.75 and id < other)
+  select id as source, other as target, round(similarity, 6) as similarity, case when exists (select 1 from citations c where c.source = k.id and c.target = k.other or c.source = k.other and c.target = k.id) then 'CITES' else '' end as existing from k where n <= 3""")
+def _(s, d):
+    """Long-range pairs of every chunk with similarity from 0.75 on."""
+    near = knn.nearest_of_all(knn.shingle_vectors(table(s, d, "chunks").select(F.col("pos").alias("id"), "text")), 5)
+    return similarity.long_range_candidates(near, table(s, d, "citations").withColumn("type", F.lit("CITES"))).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("e2_candidates")
 def _(s, d):
     v = vectors(s, d)

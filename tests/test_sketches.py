@@ -86,3 +86,51 @@ def test_sampled_betweenness(spark, monkeypatch):
     got = metrics.sampled_betweenness(nodes, edges, error=0.0, first=400).collect()
     assert {r["id"]: r["betweenness"] for r in got} == pytest.approx(want, abs=1e-12) and {(r["bound"], r["sources"]) for r in got} == {(0.0, n)}
     assert metrics.sampled_betweenness(*made(spark, 0, 0)).count() == 0
+
+
+def sequential(weights, ids):
+    """Local moving, node after node, without aggregation: what a plain run gives."""
+    near = {v: {} for v in ids}
+    for (a, b), w in weights.items():
+        near[a][b] = near[a].get(b, 0) + w
+        near[b][a] = near[b].get(a, 0) + w
+    k = {v: sum(near[v].values()) for v in ids}
+    m2, com = sum(k.values()), {v: v for v in ids}
+    total, moved = dict(k), True
+    while moved:
+        moved = False
+        for v in sorted(ids):
+            links = {}
+            for u, w in near[v].items():
+                links[com[u]] = links.get(com[u], 0) + w
+            total[com[v]] -= k[v]
+            best = max(sorted({*links, com[v]}), key=lambda c: (links.get(c, 0) - k[v] * total[c] / m2, c == com[v]))
+            moved |= best != com[v]
+            com[v] = best
+            total[best] += k[v]
+    return com
+
+
+def test_communities_are_connected_and_no_worse(spark):
+    rnd = random.Random(9)
+    group = {f"n{k:02}": k // 12 for k in range(48)}
+    weights = {}
+    for a in group:
+        for b in group:
+            if a < b and rnd.random() < (0.5 if group[a] == group[b] else 0.04):
+                weights[(a, b)] = 1.0
+    nodes = spark.createDataFrame([(v,) for v in group], "id string")
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "source string, target string, weight double")
+    found = metrics.communities(nodes, edges)
+    plain = spark.createDataFrame([(v, c) for v, c in sequential(weights, list(group)).items()], "id string, cluster_id string")
+    assert metrics.modularity(edges, found).first()[0] >= metrics.modularity(edges, plain).first()[0] - 1e-9
+    com = {r["id"]: r["cluster_id"] for r in found.collect()}
+    for c in set(com.values()):
+        mine = {v for v in com if com[v] == c}
+        seen, todo = set(), [min(mine)]
+        while todo:
+            v = todo.pop()
+            if v not in seen:
+                seen.add(v)
+                todo += [b if a == v else a for a, b in weights if v in (a, b) and {a, b} <= mine]
+        assert seen == mine
