@@ -408,12 +408,19 @@ def _(s, d):
     return answers(s, d)
 
 
-@query("l10_methodology")
+TITLED = "pt as (select *, title || chr(10) || abstract as body from papers)"
+
+
+@query("l10_methodology", f"""with {TITLED}, {spans_sql("pt", "paper_id", "body", ranking.METHOD_MARKERS, 100, "m")}, {spans_sql("pt", "paper_id", "body", ranking.UNCERTAINTY_MARKERS, 100, "u")},
+  a as (select paper_id, count(distinct marker) as n from m group by 1), b as (select paper_id, count(distinct marker) as n from u group by 1)
+  select paper_id, case when length(abstract) > 80 then least(100.0::double, 7 * coalesce(a.n, 0) + 6 * coalesce(b.n, 0) + 14) end as methodology from pt left join a using (paper_id) left join b using (paper_id)""")
 def _(s, d):
     return ranking.methodology(table(s, d, "papers"))
 
 
-@query("l11_reproducibility")
+@query("l11_reproducibility", f"""with {TITLED}, {spans_sql("pt", "paper_id", "body", ranking.REPRODUCIBILITY_MARKERS, 100, "m")},
+  a as (select paper_id, count(distinct marker) as n, bool_or(marker in ('github', 'code', 'repository', 'open source')) as c from m group by 1)
+  select paper_id, least(100.0::double, case when open_access then 30 else 0 end + case when c then 30 else 0 end + least(7 * coalesce(n, 0), 25)) as reproducibility from pt left join a using (paper_id)""")
 def _(s, d):
     return ranking.reproducibility(table(s, d, "papers"))
 
