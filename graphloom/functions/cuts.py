@@ -156,7 +156,7 @@ def safe_positions(text: str) -> np.ndarray:
     def whole(needle: str) -> np.ndarray:
         """How many are whole within the last characters before a cut."""
         begun = _count(_starts(text, needle, n))
-        return np.maximum(np.concatenate(([0] * len(needle), begun))[: n + 1] - begun[back], 0)
+        return np.maximum(np.concatenate(([0] * (len(needle) - 1), begun))[: n + 1] - begun[back], 0)
 
     bad |= whole("<table") > whole("</table>")
     bad[[0, n]] = False
