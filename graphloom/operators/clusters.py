@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.shared import shared_dir, written
+
 LINK_TYPES = ["SYNTHESIZED_BY", "IMPROVES", "APPLIED_IN", "REQUIRES_CONDITION"]
 
 
@@ -50,6 +52,16 @@ def node_order(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy((~concept).cast("int"), F.when(concept, F.col("id")), "pos", "id")
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """The rows of a sorted table with place, from 1: the sort's ranges are counted, and a range's rows follow those of the ranges before it."""
+    at = F.monotonically_increasing_id()  # the range above bit 33, the row in it below
+    rows = written(ordered.withColumns({"_range": F.shiftright(at, 33), "_row": at.bitwiseAND(F.lit((1 << 33) - 1))}), f"{shared_dir(ordered.sparkSession)}/placed")
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(counts), "_range").withColumn("place", F.col("_before") + F.col("_row") + 1).drop("_range", "_row", "_before")
+
+
 def inter_cluster_links(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, top: int = 3, longest: int = 500) -> DataFrame:
     """H5: per cluster and direction the ``top`` links to other clusters by the source's importance; the edge's position breaks ties."""
     ends = _ends(nodes, edges.where(F.col("type").isin(*(types or LINK_TYPES))), "cluster_id", "importance", "name").where("source_cluster_id <> target_cluster_id")

@@ -536,9 +536,10 @@ def _(s, d):
     return clusters.cluster_dictionary(own, known, n).select("cluster_id", "concept_id", "term", "missing", "concept_cluster")
 
 
-@query("h4_node_order", "select id from nodes")
+@query("h4_node_order", "select id, row_number() over (order by type <> 'Property', case when type = 'Property' then id end, pos, id) as place from nodes")
 def _(s, d):
-    return clusters.node_order(table(s, d, "nodes")).select("id")
+    kind = F.when(F.col("type") == "Property", "Concept").otherwise(F.col("type"))
+    return clusters.placed(clusters.node_order(table(s, d, "nodes").withColumn("type", kind))).select("id", "place")
 
 
 @query("h5_cluster_links", f"""with x as (select e.source, e.target, e.type, e.pos, s.cluster_id as c1, t.cluster_id as c2, s.name as sn, t.name as tn, s.importance as imp from edges e join metric_nodes s on s.id = e.source join metric_nodes t on t.id = e.target where s.cluster_id <> t.cluster_id and e.type in ({IN(clusters.LINK_TYPES)})),
