@@ -108,9 +108,14 @@ def evidence(gaps: DataFrame, edges: DataFrame, n: int = 3) -> DataFrame:
 
 
 def gap_edges(gaps: DataFrame, edges: DataFrame) -> DataFrame:
-    """(gap_id, source, target, type): the edges among a gap's related nodes."""
-    at = gaps.select("gap_id", F.explode("related").alias("id")).distinct()
-    return edges.join(at.withColumnRenamed("id", "source"), "source").join(at.withColumnRenamed("id", "target"), ["gap_id", "target"]).select("gap_id", "source", "target", "type").distinct()
+    """(gap_id, source, target, type): the edges among a gap's related nodes.
+
+    A gap asks for each pair of its few nodes by both ends at once, so no node meets each gap that names it with each of its edges.
+    """
+    own = gaps.select("gap_id", F.array_distinct("related").alias("r"))
+    pairs = own.select("gap_id", F.explode("r").alias("x"), "r").select("gap_id", "x", F.explode("r").alias("y")).where("x <= y")
+    known = edges.select("source", "target", "type", F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).where("source is not null and target is not null")
+    return pairs.join(known, ["x", "y"]).select("gap_id", "source", "target", "type").distinct()
 
 
 def ranked_gaps(gaps: DataFrame, least: float = 0.5, n: int = 50) -> DataFrame:
