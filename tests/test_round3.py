@@ -17,3 +17,22 @@ def test_gap_edges_meet_pairs(spark):
     assert len(rows) == len(want) and set(rows) == want
     joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert len(joins) == 1 and joins[0].count(" = ") == 2
+
+
+def test_upserts_fold_in_order(spark):
+    """Proposals of one pair in order, parallel edges, null ends and null confidences, without a Python function a pair."""
+    from graphloom.operators import similarity
+
+    kinds = "source string, target string, type string, confidence double, pos int"
+    edges = spark.createDataFrame([("a", "b", "X", 0.5, 1), ("a", "b", "Y", 0.7, 0), ("c", "d", "X", 0.5, 0), ("k", "l", "X", None, 0), (None, "n", "X", 0.1, 0), ("s", "t", "X", 0.3, 4), ("s", "t", "X", 0.2, 5)], kinds)
+    more = spark.createDataFrame([
+        ("a", "b", "X", 0.6, 0), ("a", "b", "Z", 0.65, 1), ("a", "b", "Z", 0.7, 2), ("a", "b", "W", 0.9, 3), ("c", "d", "X", 0.4, 0), ("e", "f", "Q", 0.2, 9), ("e", "f", "R", 0.2, 10),
+        ("k", "l", "X", 0.2, 0), (None, "n", "Y", 0.9, 0), ("s", "t", "X", 0.9, 0),
+    ], kinds)
+    out = similarity.upsert_edges(edges, more)
+    assert out.columns == ["source", "target", "type", "confidence", "pos", "origin"]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [
+        ("a", "b", "W", 0.9, 3, "replaced"), ("c", "d", "X", 0.5, 0, "kept"), ("e", "f", "R", 0.2, 10, "replaced"), ("k", "l", "X", 0.2, 0, "updated"),
+        (None, "n", "X", 0.1, 0, "kept"), (None, "n", "Y", 0.9, 0, "added"), ("s", "t", "X", 0.9, 4, "updated"), ("s", "t", "X", 0.2, 5, "kept"),
+    ]))
+    assert _plans(out, "InArrow") == 0
