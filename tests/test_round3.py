@@ -36,3 +36,29 @@ def test_upserts_fold_in_order(spark):
         (None, "n", "X", 0.1, 0, "kept"), (None, "n", "Y", 0.9, 0, "added"), ("s", "t", "X", 0.9, 4, "updated"), ("s", "t", "X", 0.2, 5, "kept"),
     ]))
     assert _plans(out, "InArrow") == 0
+
+
+def test_bounded_neighbours(spark):
+    """With a similarity bound every list is the exact one above it: copies, near copies, zero vectors, and few probes found both ways."""
+    import numpy as np
+
+    from graphloom.operators import knn
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(150, 12))
+    v = np.concatenate((base, base[:90] + rng.normal(size=(90, 12)) * 0.25, base[:9], base[:1], np.zeros((2, 12))))
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    sim = np.round(u @ u.T, 9)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id bigint, embedding array<double>")
+    want = {}
+    for k in range(len(v)):
+        for rank, j in enumerate(np.lexsort((np.arange(len(v)), -sim[k]))[: len(v)][[x != k for x in np.lexsort((np.arange(len(v)), -sim[k]))]][:5]):
+            if sim[k, j] >= 0.8:
+                want[k, rank + 1] = int(j)
+    got = {(r["id"], r["rank"]): r["other"] for r in knn.nearest_of_all(df, 5, least=0.8, target=0.5).collect()}
+    assert got == want
+    few = {(r["id"], r["other"]) for r in knn.nearest_of_all(df, 5, least=0.8, cells=12, sample=240, probes=2).collect()}
+    exact = {(k, j) for (k, _), j in want.items()}
+    assert len(few & exact) >= 0.9 * len(exact)
+    far = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(200, 60)))], "id bigint, v array<double>")
+    assert knn.fit(far, 200, 5, least=0.85, target=0.9)[1] < knn.fit(far, 200, 5, target=0.9)[1]  # the bound, not the far nearest, says how many
