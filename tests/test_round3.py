@@ -62,3 +62,21 @@ def test_bounded_neighbours(spark):
     assert len(few & exact) >= 0.9 * len(exact)
     far = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(200, 60)))], "id bigint, v array<double>")
     assert knn.fit(far, 200, 5, least=0.85, target=0.9)[1] < knn.fit(far, 200, 5, target=0.9)[1]  # the bound, not the far nearest, says how many
+
+
+def test_similar_pairs(spark):
+    """Every pair of classes in and across blocks, each copy with its class only, zero and null vectors with nothing."""
+    import numpy as np
+
+    from graphloom.operators import similarity
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 6))
+    v = [*base.tolist(), *base[:3].tolist(), base[0].tolist(), [0.0] * 6, [0.0] * 6, None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "id bigint, embedding array<double>")
+    u = base / np.linalg.norm(base, axis=1, keepdims=True)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if round(float(u[a] @ u[b]), 9) >= 0.6} | {(0, 40), (1, 41), (2, 42), (0, 43)}
+    for block in (7, 1000):
+        rows = [(r["a"], r["b"]) for r in similarity.similar_pairs(df, 0.6, block=block).collect()]
+        assert len(rows) == len(want) and set(rows) == want
+    assert similarity.similar_pairs(df.where("id < 0"), 0.6).count() == 0
