@@ -80,3 +80,20 @@ def test_similar_pairs(spark):
         rows = [(r["a"], r["b"]) for r in similarity.similar_pairs(df, 0.6, block=block).collect()]
         assert len(rows) == len(want) and set(rows) == want
     assert similarity.similar_pairs(df.where("id < 0"), 0.6).count() == 0
+
+
+def test_titles_of_one_form_are_one(spark):
+    """Copies of a title and of a query are compared once: each query gets the smallest paper_id, and a long title takes one pass."""
+    import time
+
+    from graphloom.functions import text as T
+
+    words = " ".join(f"w{k * 7919 % 99991}" for k in range(60_000))
+    papers = spark.createDataFrame([(9, "Copper slag flotation kinetics"), (4, "copper slag, flotation kinetics!"), (5, words + " unusual closing words of it"), (6, None), (7, " ")], "paper_id int, title string")
+    queries = spark.createDataFrame([(1, "copper slag flotation kinetics"), (2, "Copper slag flotation kinetics."), (3, "unusual closing words of it"), (8, None)], "query_id int, query string")
+    began = time.time()
+    out = T.best_titles(queries, papers)
+    got = {(r["query_id"], r["paper_id"], r["score"]) for r in out.collect()}
+    assert got == {(1, 4, 1.0), (2, 4, 1.0), (3, 5, 0.95)}
+    assert time.time() - began < 60
+    assert "Aggregate [t#" in out._jdf.queryExecution().optimizedPlan().toString() and "Aggregate [q#" in out._jdf.queryExecution().optimizedPlan().toString()
