@@ -82,8 +82,9 @@ def no_outcome(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Bridge scores of 0.5 or more with two or more edges to other clusters."""
     own = nodes.select("id", "cluster_id")
-    both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("other")))
-    crossing = both.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("cluster_id").alias("c2")), "other").where("cluster_id <> c2").groupBy("id").agg(F.count("*").alias("crossing")).where("crossing >= 2")
+    # Each edge meets the clusters of its ends once; only then is it counted at both.
+    ends = edges.select("source", "target").join(own.select(F.col("id").alias("source"), F.col("cluster_id").alias("c1")), "source").join(own.select(F.col("id").alias("target"), F.col("cluster_id").alias("c2")), "target")
+    crossing = ends.where("c1 <> c2").select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("crossing")).where("crossing >= 2")
     return _gap(nodes.where("bridge_score >= 0.5").join(crossing, "id"), "bridge", confidence(0.64, F.col("bridge_score") * 0.2))
 
 

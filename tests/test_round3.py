@@ -97,3 +97,13 @@ def test_titles_of_one_form_are_one(spark):
     assert got == {(1, 4, 1.0), (2, 4, 1.0), (3, 5, 0.95)}
     assert time.time() - began < 60
     assert "Aggregate [t#" in out._jdf.queryExecution().optimizedPlan().toString() and "Aggregate [q#" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bridges_join_each_edge_once(spark):
+    from graphloom.operators import gaps
+
+    n = spark.createDataFrame([("a", 1, 0.6), ("b", 2, 0.7), ("c", 2, 0.5), ("d", None, 0.9), ("e", 1, 0.4)], "id string, cluster_id int, bridge_score double")
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("a", "c"), ("c", "d"), ("d", "b"), ("e", "b"), ("e", "c"), ("c", "gone")], "source string, target string")
+    out = gaps.bridges(n, e)
+    assert {(r["id"], r["confidence"]) for r in out.collect()} == {("a", 0.76), ("b", 0.78), ("c", 0.74)}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
