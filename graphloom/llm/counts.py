@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.words import utf8
+
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose items meet in one range.
 RANGE_BYTES = 2 * BLOCK_BYTES
@@ -75,6 +77,12 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
 
 
+def texts_of(column: pa.Array, most: int) -> Iterator[list[bytes]]:
+    """The column's texts as bytes, in lists of at most that many bytes (or of one text), so that no batch is decoded whole; null is empty."""
+    for a, b in pieces(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), most):
+        yield utf8(column.slice(a, b - a))
+
+
 def pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most limit bytes together, or one row."""
     begin, ends = 0, np.cumsum(sizes)

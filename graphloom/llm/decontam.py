@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shared import shared_dir
-from graphloom.llm.counts import pieces
+from graphloom.llm.counts import texts_of
 from graphloom.llm.words import ALNUM, split, utf8
 
 WINDOW = 13
@@ -41,8 +41,8 @@ WINDOW = 13
 BLOCK_WORDS = 200_000
 #: A word, before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bytes of text in one shard.
-SHARD_BYTES = 16 << 20
+#: Bytes of text in one shard: its words, hashes and index take some twenty times as many.
+SHARD_BYTES = 4 << 20
 SAMPLE = 8
 
 
@@ -256,10 +256,10 @@ def _read_query(file: str) -> Phrases:
         return pickle.loads(source.read())
 
 
-def _found(batch: list[bytes], files: list[str]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+def _found(batch: pa.Array, files: list[str]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
     """The results of all texts, shard by shard; a shard meets the blocks one after the other."""
-    for a, b in pieces(np.array([len(x) for x in batch], np.int64), SHARD_BYTES):
-        yield from search_shard(batch[a:b], map(_read_query, files))
+    for texts in texts_of(batch, SHARD_BYTES):
+        yield from search_shard(texts, map(_read_query, files))
 
 
 FOUND = "struct<n_words:bigint,spans:array<array<bigint>>,items:array<string>>"
@@ -271,7 +271,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     @F.arrow_udf(FOUND)
     def search(text: pa.Array) -> pa.Array:
-        n, spans, items = zip(*_found(utf8(text), files), strict=True) if len(text) else ((), (), ())
+        n, spans, items = zip(*_found(text, files), strict=True) if len(text) else ((), (), ())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=["n_words", "spans", "items"]
         )
@@ -298,7 +298,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
 
     @F.arrow_udf("boolean")
     def contaminated(text: pa.Array) -> pa.Array:
-        hit = [(sum(b - a for a, b in spans), n) for n, spans, _ in _found(utf8(text), files)]
+        hit = [(sum(b - a for a, b in spans), n) for n, spans, _ in _found(text, files)]
         return pa.array([h > 0 and share * h >= n for h, n in hit], pa.bool_())
 
     return docs.where(~contaminated(F.col("text").cast("string")))

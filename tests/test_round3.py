@@ -107,3 +107,20 @@ def test_bridges_join_each_edge_once(spark):
     out = gaps.bridges(n, e)
     assert {(r["id"], r["confidence"]) for r in out.collect()} == {("a", 0.76), ("b", 0.78), ("c", 0.74)}
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decontamination_meets_few_texts_at_once(monkeypatch):
+    """No task decodes or indexes a whole batch; the results are those of one shard."""
+    import pyarrow as pa
+
+    from graphloom.llm import decontam
+
+    query = decontam.phrases([("1", b"one two three"), ("2", b"x")])
+    monkeypatch.setattr(decontam, "_read_query", lambda f: query)
+    texts = pa.array(["a one two three b", None, "x " * 40, "", "three two one", "x"] * 50)
+    want = list(decontam.search_shard([(t or "").encode() for t in texts.to_pylist()], [query]))
+    sizes, search = [], decontam.search_shard
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 100)
+    monkeypatch.setattr(decontam, "search_shard", lambda t, q: sizes.append(sum(map(len, t))) or search(t, q))
+    assert list(decontam._found(texts.slice(6), ["f"])) == want[6:]
+    assert list(decontam._found(texts[:0], ["f"])) == [] and max(sizes) <= 100 and len(sizes) > 40
