@@ -109,6 +109,34 @@ def test_bridges_join_each_edge_once(spark):
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """Every labelled row trains or scales, by several replicas; words that only few rows have are learnt; runs of unknown words cut short change no maximum."""
+    import zlib
+
+    import numpy as np
+
+    from graphloom.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    learn = [k for k in range(2400) if zlib.crc32(str(k).encode()) % 3 != 1]
+    texts = {k: " ".join(f"w{x}" for x in rng.integers(0, 200, 12)) + (f" bad{k % 9}" if k % 4 == 0 else "") for k in range(2400)}
+    docs = spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in texts], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "REPLICA_ROWS", 300)
+    seen, sizes = [], toxicity._start
+    monkeypatch.setattr(toxicity, "_start", lambda known, z, rate: seen.append(rate) or sizes(known, z, rate))
+    scored = toxicity.score(docs, labels).collect()
+    test = [r for r in scored if r["held_out"]]
+    assert len(test) + len(learn) == 2400 and np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in test]) > 0.97
+    assert abs(seen[0] - 0.25) < 0.02
+    known = np.sort(rng.choice(toxicity.BUCKETS, 60_000, replace=False))
+    net, _ = toxicity._start(known, rng.normal(size=len(known)), 0.3)
+    raw = [t.encode() for t in list(texts.values())[:50]] + [b"", b"one", b"a b", b"a b c d e f"]
+    cut = list(toxicity._encoded(raw, known))
+    got = toxicity._pooled(net.rows[np.concatenate(cut)].sum(1), np.concatenate(([0], np.cumsum([len(c) for c in cut]))), net) @ net.out + net.bias
+    assert np.allclose(got, toxicity.logits(raw, net), atol=1e-5) and sum(map(len, cut)) < sum(len(t.split()) for t in raw)
+
+
 def test_decontamination_meets_few_texts_at_once(monkeypatch):
     """No task decodes or indexes a whole batch; the results are those of one shard."""
     import pyarrow as pa
