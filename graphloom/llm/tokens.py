@@ -35,7 +35,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.shared import shared_dir, written
+from graphloom.functions.shared import batches_of, released, shared_dir, written
 from graphloom.llm.words import utf8
 
 END_ID = 2
@@ -44,6 +44,8 @@ LENGTH = 2048
 BATCH, FILE_BATCHES = 256, 64
 #: Bytes of text encoded at a time, and pieces that a worker remembers.
 CHUNK_BYTES, CACHE = 1 << 20, 400_000
+#: Bytes of text that a worker is sent at a time; both it and the JVM hold a batch, and the JVM while it grows twice.
+BATCH_BYTES = CHUNK_BYTES
 #: Words encoded in one call, and the longest piece that is remembered.
 WORDS, LONGEST = 256, 64
 #: The signs that stand for a blank and a line end in the tokens of a byte-level vocabulary.
@@ -231,6 +233,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, uri: str, length: int = LEN
     wide = _tokenizer(tokenizer).get_vocab_size() > 65536 or end_id > 65535
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         encoder, writer, n = _encoder(tokenizer), None, 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -258,7 +261,8 @@ def write_sequences(docs: DataFrame, tokenizer: str, uri: str, length: int = LEN
             writer.close()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = written(rows.mapInArrow(encode, f"doc_id {kind}, part int, at bigint, n_tokens bigint"), f"{uri}/_spans")
+    with batches_of(spark, BATCH_BYTES):
+        spans = written(rows.mapInArrow(encode, f"doc_id {kind}, part int, at bigint, n_tokens bigint"), f"{uri}/_spans")
     # One row a partition: its window is as small as the number of tasks.
     before = spans.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     slots = length * BATCH * FILE_BATCHES

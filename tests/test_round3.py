@@ -152,3 +152,34 @@ def test_decontamination_meets_few_texts_at_once(monkeypatch):
     monkeypatch.setattr(decontam, "search_shard", lambda t, q: sizes.append(sum(map(len, t))) or search(t, q))
     assert list(decontam._found(texts.slice(6), ["f"])) == want[6:]
     assert list(decontam._found(texts[:0], ["f"])) == [] and max(sizes) <= 100 and len(sizes) > 40
+
+
+def test_batches_for_workers_are_bounded(spark, tmp_path):
+    """Token output: no batch of whole texts, whatever its rows, is held at once by a worker and its JVM; the setting does not outlive the write."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    import public_tokenizers
+    from graphloom.functions.shared import batches_of
+    from graphloom.llm import tokens
+
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 100).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "b"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with batches_of(spark, 1 << 18):
+        n, most = docs.mapInArrow(sizes, "n bigint, b bigint").agg(F.sum("n"), F.max("b")).first()
+    assert n == 3000 and most < 1 << 19
+    seen = []
+    write = tokens.written
+    tokens.written = lambda df, where: seen.append(spark.conf.get(key)) or write(df, where)
+    try:
+        out = tokens.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), uri=f"file://{tmp_path}/t")
+    finally:
+        tokens.written = write
+    assert seen == [str(tokens.BATCH_BYTES)] and spark.conf.get(key) == before
+    assert out.count() == 3000
