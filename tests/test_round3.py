@@ -183,3 +183,30 @@ def test_batches_for_workers_are_bounded(spark, tmp_path):
         tokens.written = write
     assert seen == [str(tokens.BATCH_BYTES)] and spark.conf.get(key) == before
     assert out.count() == 3000
+
+
+def test_communities_carry_numbers(spark, monkeypatch):
+    """Rounds hold numbers, not names, and give the communities and numbers of the names; a name is as long as it likes, an unknown end keeps its links."""
+    from graphloom.operators import metrics
+
+    names = [f"{c}{k}" * 3 for c in "ab" for k in range(4)]
+    pairs = [(x, y, 1.0) for x in names for y in names if x < y and x[0] == y[0]] + [(names[0], names[4], 0.1), ("gone", names[5], 1.0), (None, names[1], 1.0)]
+    nodes = spark.createDataFrame([(x,) for x in [*names, "lone"]], "id string")
+    edges = spark.createDataFrame(pairs, "source string, target string, weight double")
+    rounds, write = [], metrics.written
+    monkeypatch.setattr(metrics, "written", lambda df, where: rounds.append((where.split("/")[-1], dict(df.dtypes))) or write(df, where))
+    got = {r["id"]: r["cluster_id"] for r in metrics.communities(nodes, edges).collect()}
+    assert got == {x: "ab".index(x[0]) for x in names} | {"lone": 2}
+    assert all("string" not in kinds.values() for where, kinds in rounds if where[:1] in "cgrm")
+    none = metrics.communities(nodes, edges.where("false"))
+    assert sorted(r["cluster_id"] for r in none.collect()) == list(range(9))
+
+
+def test_ranks_have_no_gaps(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators.components import ranked
+
+    ids = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("x"))
+    got = {r["id"]: r["rank"] for r in ranked(ids.union(ids), f"file://{tmp_path}/r").collect()}
+    assert [got[x] for x in sorted(got)] == list(range(5000))
