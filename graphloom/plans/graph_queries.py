@@ -231,7 +231,7 @@ def _(s, d):
 
 @query("i5_entities", f"with {TRIPLES} select Subject as entity from triples union select Object from triples")
 def _(s, d):
-    return triples.entities(triples.triples(*graph(s, d)))
+    return triples.entities(triples.direct_triples(*graph(s, d)))
 
 
 @query("i6_labels", "select distinct coalesce(nullif(name, ''), id) as label from nodes where type = 'Application'")
@@ -269,7 +269,7 @@ def _(s, d):
 
 @query("i12_entity_lookup", f"with {TRIPLES} select distinct entity from (select Subject as entity from triples union select Object from triples) where starts_with(entity, 'Supplier')")
 def _(s, d):
-    return triples.entity_lookup(triples.triples(*graph(s, d)), "Supplier")
+    return triples.entity_lookup(triples.direct_triples(*graph(s, d)), "Supplier")
 
 
 @query("f1_clean_weights", "select source, target, type, case when w > 0 then w else 1e-9 end as weight, least(1 / case when w > 0 then w else 1e-9 end, 1e9) as inverse_weight from (select *, confidence - 0.1e0 as w from edges where source <> target)")

@@ -210,3 +210,20 @@ def test_ranks_have_no_gaps(spark, tmp_path):
     ids = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("x"))
     got = {r["id"]: r["rank"] for r in ranked(ids.union(ids), f"file://{tmp_path}/r").collect()}
     assert [got[x] for x in sorted(got)] == list(range(5000))
+
+
+def test_entities_need_direct_triples_only(spark, sf):
+    """Entities of direct triples are those of all triples; the query joins no derived ones and reads its edges once."""
+    from graphloom.operators import triples
+    from graphloom.plans import registry
+    from graphloom.plans.tables import table
+
+    nodes = spark.createDataFrame([("m", "Material", "M"), ("a", "Application", ""), ("p", "Property", "P"), ("p", "Property", "P2"), ("x", "Unknown", "X")], "id string, type string, name string")
+    edges = spark.createDataFrame([("m", "a", "APPLIED_IN", 1), ("m", "p", "IMPROVES", 2), ("m", "x", "IMPROVES", 1), ("gone", "p", "IMPROVES", 1), (None, "p", "IMPROVES", 1)], "source string, target string, type string, co_occurrence_count int")
+    got = sorted(r[0] for r in triples.entities(triples.direct_triples(nodes, edges)).collect())
+    assert got == sorted(r[0] for r in triples.entities(triples.triples(nodes, edges)).collect()) == ["M", "P", "P2", "a"]
+    every = triples.triples(table(spark, sf, "nodes"), table(spark, sf, "edges"))
+    for name, keep in (("i5_entities", lambda x: True), ("i12_entity_lookup", lambda x: x.startswith("Supplier"))):
+        out = registry.QUERIES[name](spark, sf)
+        assert {r[0] for r in out.collect()} == {x for r in every.collect() for x in (r["Subject"], r["Object"]) if keep(x)}
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") < 12
