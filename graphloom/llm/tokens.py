@@ -26,7 +26,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,8 @@ LENGTH = 2048
 BATCH, FILE_BATCHES = 256, 64
 #: Bytes of text encoded at a time, and pieces that a worker remembers.
 CHUNK_BYTES, CACHE = 1 << 20, 400_000
+#: Of these, pieces that end with marks.
+MARKED = 60_000
 #: Bytes of text that a worker is sent at a time; both it and the JVM hold a batch, and the JVM while it grows twice.
 BATCH_BYTES = CHUNK_BYTES
 #: Words encoded in one call, and the longest piece that is remembered.
@@ -53,9 +54,17 @@ SIGNS = {" ": "\u0120", "\n": "\u010a"}
 #: Marks that may follow a word.
 MARKS = ".,;:!?*#$%&|"
 _UNSAFE = re.compile(r"\s\s")
+_OTHER, _TWO = "\t\r\v\f\x1c\x1d\x1e\x1f", ("  ", "\n\n", " \n", "\n ")
 _EDGE = re.compile(r"(?<=\S)(?= )")
 
 
+def _unsafe(text: str) -> bool:
+    """Whether white space follows white space: quickly where a blank and a line end are the only kinds of it."""
+    if text.isascii() and not any(x in text for x in _OTHER):
+        return any(x in text for x in _TWO)
+    return _UNSAFE.search(text) is not None
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -80,6 +89,7 @@ class Encoder:
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.heads: dict[str, bytes] = {}  # pieces at the head of a text, and marks
+        self.marked: list[str] = []  # those in rest that end with marks
         self.rest: dict[str, bytes] = {}  # pieces after a blank, without it, and pieces that begin with a line end or several blanks, in full
         vocabulary = self.tokenizer.get_vocab()
         self.opens = {sep: np.zeros(max(vocabulary.values()) + 1, bool) for sep in SIGNS}  # tokens that begin with a blank or a line end
@@ -107,20 +117,29 @@ class Encoder:
         if len(self.rest) + len(self.heads) > CACHE:
             self.rest.clear()
             self.heads.clear()
-        cut: list[list[str] | None] = []
-        missing: set[str] = set()
-        known = self.rest.__contains__
+            self.marked.clear()
+        firsts: list[str | None] = []
+        found: list[list[bytes | None]] = []
+        holes: list[tuple[list[bytes | None], list[int], list[str]]] = []
+        known = self.rest.get
         for text in texts:
             if not self.by_piece or any(x in text for x in self.added):
-                cut.append(None)
+                firsts.append(None)
+                found.append([self.whole(text)])
                 continue
-            if _UNSAFE.search(text):
+            if _unsafe(text):
                 pieces = _EDGE.split(text)
                 pieces = [pieces[0], *(x if x[1:2].isspace() else x[1:] for x in pieces[1:])]
             else:  # white space stands alone: a line end is a piece's first character
                 pieces = text.replace("\n", " \n").split(" ")
-            cut.append(pieces)
-            missing.update(filterfalse(known, islice(pieces, 1, None)))
+            firsts.append(pieces[0])
+            ids = list(map(known, pieces))  # the first is put right below
+            ids[0] = b""
+            at = [k for k, x in enumerate(ids) if x is None]
+            if at:
+                holes.append((ids, at, [pieces[k] for k in at]))
+            found.append(ids)
+        missing = {x for _, _, some in holes for x in some}
         marked: dict[str, str] = {}
         words: dict[str, set[str]] = {sep: set() for sep in SIGNS}
         other: dict[str, list[str]] = {" ": [], "": []}
@@ -134,21 +153,30 @@ class Encoder:
                     words["\n" if line else " "].add(stem[1:] if line else stem)
             else:
                 other["" if line or x[:1] == " " else " "].append(x)
-        for sep, found in words.items():
-            self._learn_words(list(found), sep)
-        for before, found in other.items():
-            self._learn(self.rest, found, before)
+        for sep, some in words.items():
+            self._learn_words(list(some), sep)
+        for before, some in other.items():
+            self._learn(self.rest, some, before)
         ends = {x[len(t) :] for x, t in marked.items()}
-        firsts = {p[0] for p in cut if p is not None}
-        self._learn(self.heads, [x for x in ends | firsts if x not in self.heads], "")
+        starts = {x for x in firsts if x is not None}
+        self._learn(self.heads, [x for x in ends | starts if x not in self.heads], "")
         for x, t in marked.items():
             self.rest[x] = self.rest[t] + self.heads[x[len(t) :]]
         get = self.rest.__getitem__
-        out = [self.whole(t) if p is None else self.heads[p[0]] + b"".join(map(get, islice(p, 1, None))) for t, p in zip(texts, cut, strict=True)]
-        for x in marked:  # quickly made again; the memory is for words
-            del self.rest[x]
+        for ids, at, some in holes:
+            for k, x in zip(at, map(get, some), strict=True):
+                ids[k] = x
+        for first, ids in zip(firsts, found, strict=True):
+            if first is not None:
+                ids[0] = self.heads[first]
+        out = list(map(b"".join, found))
+        self.marked += [x for x in marked if len(x) <= LONGEST]
+        if len(self.marked) > MARKED:  # quickly made again; the memory is for words
+            for x in self.marked:
+                self.rest.pop(x, None)
+            self.marked.clear()
         for pieces in (self.rest, self.heads):  # long pieces hardly come again
-            for x in [x for x in (firsts if pieces is self.heads else missing) if len(x) > LONGEST]:
+            for x in [x for x in (starts if pieces is self.heads else missing) if len(x) > LONGEST]:
                 pieces.pop(x, None)
         return out
 
