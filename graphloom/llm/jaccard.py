@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.shared import shared_dir, written
+from graphloom.functions.shared import dropped, shared_dir, written
 from graphloom.llm import counts as C
 from graphloom.llm.words import mix, shingles, split, utf8
 from graphloom.operators.components import connected_components
@@ -330,9 +330,8 @@ def class_links(sets: DataFrame, where: str) -> DataFrame:
     return connected_components(links.unionByName(second)).withColumnRenamed("node", "cls")
 
 
-def _members(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, h, n, component_id and first, the component's row that stays (null: the row is alone), for every row."""
-    where = shared_dir(docs.sparkSession)
+def _members(docs: DataFrame, width: int, where: str) -> DataFrame:
+    """doc_id, h, n, component_id and first, the component's row that stays (null: the row is alone), for every row; reads tables below where."""
     sets = written(document_sets(docs, width), f"{where}/sets")
     labels = class_links(sets, where)
     light = sets.select("doc_id", "h", "n", F.when(F.col("lead") > 0, F.col("cls")).alias("cls"))
@@ -346,7 +345,7 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
 
 def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    return _members(docs, width).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return _members(docs, width, shared_dir(docs.sparkSession)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -354,7 +353,9 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Rows are told apart by id and text; of rows that repeat both, one stays.  Rows without words all stay.
     """
-    members = written(_members(docs, width), shared_dir(docs.sparkSession))
+    spark, where = docs.sparkSession, shared_dir(docs.sparkSession)
+    members = written(_members(docs, width, where), shared_dir(spark))
+    dropped(spark, where)
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h"))
     linked_rows = members.where("first is not null").withColumn("stays", stays)
     gone = linked_rows.where("not stays").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()

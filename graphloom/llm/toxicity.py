@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.shared import shared_dir, written
+from graphloom.functions.shared import dropped, shared_dir, written
 from graphloom.llm.counts import texts_of
 from graphloom.llm.words import NON_SPACE, Words, hash_ranges, mix, split
 
@@ -311,8 +311,16 @@ def _maybe_in(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Net:
-    """Learn from all labelled rows that are not held out; of rows with one id, from one text."""
-    spark, where = docs.sparkSession, shared_dir(docs.sparkSession)
+    """Learn from all labelled rows that are not held out; of rows with one id, from one text.  Its tables are deleted when it has learned."""
+    where = shared_dir(docs.sparkSession)
+    try:
+        return _fitted(docs, labels, where)
+    finally:
+        dropped(docs.sparkSession, where)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, where: str) -> Net:
+    spark = docs.sparkSession
     learns = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     marked = labels.where(learns & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     text = docs.where(learns).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
@@ -357,6 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net:
     # A row a replica and kind, so that no round shuffles texts.
     data = data.withColumn("replica", F.pmod(F.xxhash64("h"), F.lit(replicas))).repartition(2 * replicas, "out", "replica")
     data = written(data.groupBy("out", "replica").agg(F.sort_array(F.collect_list(F.struct("h", "toxic", "words", "lang"))).alias("docs")), f"{where}/encoded")
+    dropped(spark, f"{where}/rows")
     dealt = data.where("not out") if apart else data.groupBy("replica").agg(F.sort_array(F.flatten(F.collect_list("docs"))).alias("docs"))
     values, squares = [f"v{k}" for k in range(DIM)], [f"q{k}" for k in range(DIM)]
     schema = "at bigint, " + ", ".join(f"{c} double" for c in values + squares)

@@ -1,6 +1,44 @@
 """What stages leave behind in the shared folder, and what the token encoder remembers."""
 
+import os
+import uuid
+
 import pytest
+from pyspark.sql import functions as F
+
+LETTERS = "bcdfghklmnprstvz"
+
+
+@pytest.fixture
+def left(tmp_path, monkeypatch):
+    """The folders of data that the stages left in their shared folders."""
+    from graphloom.llm import jaccard, toxicity
+
+    for stage in (jaccard, toxicity):
+        monkeypatch.setattr(stage, "shared_dir", lambda _: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    yield lambda: [d for d, _, files in os.walk(tmp_path) if any(x.endswith(".parquet") for x in files)]
+
+
+def test_training_leaves_no_tables(spark, left):
+    from graphloom.llm import toxicity
+
+    text = F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "vile scum").otherwise("kind words"), F.col("id").cast("string"), F.lit("and the rest"))
+    docs = spark.range(240).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    labels = spark.range(240).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("toxic"))
+    rows = toxicity.score(docs, labels).collect()
+    assert left() == []
+    assert len(rows) == 240 and sum((r["score"] > 0.5) == (r["doc_id"] % 2 == 0) for r in rows) == 240
+
+
+def test_deduplication_leaves_only_its_members(spark, left):
+    from graphloom.llm import jaccard
+
+    words = " ".join(f"{a}o{b}" for a in LETTERS for b in LETTERS)
+    docs = spark.createDataFrame([(1, words), (2, words), (3, words + " end"), (4, "one other text of six words"), (5, None)], "doc_id bigint, text string")
+    out = jaccard.deduplicated(docs)
+    inner = [d for d in left() if os.path.basename(d) in ("sets", "heads", "classes", "home", "links", "labels", "open", "links2")]
+    assert inner == []
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 4, 5]
 
 
 def test_encoder_keeps_marked_words(monkeypatch):
