@@ -134,3 +134,18 @@ def test_communities_are_connected_and_no_worse(spark):
                 seen.add(v)
                 todo += [b if a == v else a for a, b in weights if v in (a, b) and {a, b} <= mine]
         assert seen == mine
+
+
+def test_rounds_take_the_place_of_earlier_ones(spark, tmp_path, monkeypatch):
+    """One round's table is left, and it names nodes by numbers; long names, a loop, a null end and an end that is no node."""
+    from graphloom.operators import sketches
+
+    monkeypatch.setattr(sketches, "shared_dir", lambda _: f"file://{tmp_path}/s")
+    name = lambda k: f"{k} " + "n" * 50
+    nodes = spark.createDataFrame([(name(k),) for k in range(5)], "id string")
+    edges = [(name(0), name(1), 2.0), (name(1), name(2), 1.0), (name(0), name(2), 9.0), (name(2), name(3), 0.5), (name(3), name(3), 1.0), (name(3), None, 1.0), (name(3), "none", 1.0)]
+    out = sketches.distance_sketches(nodes, spark.createDataFrame(edges, "source string, target string, inverse_weight double"))
+    rows = sorted((r["id"][0], r["dist"]) for r in out.collect())
+    assert rows == sorted([(str(k), 0.0) for k in range(5)] + [("0", 2.0), ("0", 3.0), ("0", 3.5), ("1", 1.0), ("1", 1.5), ("2", 0.5)])
+    rounds = [p for p in (tmp_path / "s").iterdir() if p.name.isdigit()]
+    assert len(rounds) == 1 and dict(spark.read.parquet(f"file://{rounds[0]}").dtypes)["id"] == "bigint"
