@@ -6,6 +6,7 @@ bounded lists, so their few rows are numbered by one window; everything before t
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,34 +18,65 @@ from graphloom.functions.shared import shared_dir, written
 def between(pairs: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(pair, step, id): for each (pair, start, goal) a path of the fewest edges, from step 0 at the start; no row where there is none.
 
-    All pairs search at once, level by level: each level is a table of (pair, id, pred), pred the smallest predecessor, and a pair whose goal
-    is met goes no further.  Then all pairs trace back together, one join with each level.  State: a row for each pair and node reached.
+    All pairs search at once, level by level, from the start and from the goal: each time the side whose open nodes have fewer edges takes
+    a step, until a pair's sides meet.  Where paths are equally short, each node's predecessor, from the goal on, is the smallest id.  Then
+    all pairs trace back together, one join with each level.  State: a row for each pair and node reached from either side.
     Null ends are no nodes; loops and repeated edges change nothing; a pair from a node to itself is that node.
     """
     where = shared_dir(edges.sparkSession)
     pairs = written(pairs.select("pair", "start", "goal").where("start is not null and goal is not null"), f"{where}/pairs")
-    hops = written(edges.where("source <> target").select("source", "target").distinct(), f"{where}/hops")
-    levels = [written(pairs.select("pair", F.col("start").alias("id"), F.lit(None).cast("string").alias("pred")), f"{where}/0")]
-    seen = levels[0].select("pair", "id")
-    goals = pairs.select("pair", F.col("goal").alias("id"))
-    frontier = levels[0].join(goals, ["pair", "id"], "left_anti")
-    while frontier.limit(1).count():
-        if len(levels) > max_rounds:
+    hops = written(edges.where("source <> target").select("source", "target"), f"{where}/hops")
+    fronts = {c: written(pairs.select("pair", F.col(c).alias("id")), f"{where}/{c}0") for c in ("start", "goal")}
+    sides, seen = {c: [x] for c, x in fronts.items()}, dict(fronts)
+    ends = {"start": ("source", "target"), "goal": ("target", "source")}
+    met = written(fronts["start"].join(fronts["goal"], ["pair", "id"]).select("pair", "id", F.lit(0).alias("a"), F.lit(0).alias("b")), f"{where}/met0")
+    open_ = pairs.select("pair").join(met.select("pair"), "pair", "left_anti")
+    degree = {c: written(hops.groupBy(F.col(x).alias("id")).agg(F.count("*").alias("d")), f"{where}/{c}-hops") for c, (x, _) in ends.items()}
+    while True:
+        done = sum(len(x) - 1 for x in sides.values())
+        if done > max_rounds:
             raise RuntimeError(f"between: pairs are still searching after {max_rounds} rounds")
-        step = frontier.select("pair", F.col("id").alias("source")).join(hops, "source").groupBy("pair", F.col("target").alias("id")).agg(F.min("source").alias("pred"))
-        new = written(step.join(seen, ["pair", "id"], "left_anti"), f"{where}/{len(levels)}")
-        levels.append(new)
-        met = new.join(goals, ["pair", "id"], "left_semi").select("pair")
-        frontier = new.select("pair", "id").join(met, "pair", "left_anti")
-        seen = seen.unionByName(new.select("pair", "id"))
-    asked, out = goals, None
-    for k in range(len(levels) - 1, -1, -1):
-        here = written(levels[k].join(asked, ["pair", "id"], "left_semi"), f"{where}/trace{k}")
-        part = here.select("pair", F.lit(k).alias("step"), "id")
-        out = part if out is None else out.unionByName(part)
-        # A goal that a later level holds is not on an earlier one, so goals may be asked for on every level.
-        asked = goals.unionByName(here.select("pair", F.col("pred").alias("id")).where("id is not null"))
-    return out
+        ahead = {c: fronts[c].join(open_, "pair", "left_semi").join(degree[c], "id").agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0] for c in sides}
+        if not min(ahead.values()):
+            break
+        side = min(sides, key=lambda c: ahead[c])
+        other = "goal" if side == "start" else "start"
+        front = fronts[side].join(open_, "pair", "left_semi")
+        near, far = ends[side]
+        step = front.select("pair", F.col("id").alias(near)).join(hops, near).select("pair", F.col(far).alias("id")).where("id is not null").distinct()
+        fronts[side] = written(step.join(seen[side], ["pair", "id"], "left_anti"), f"{where}/{side}{len(sides[side])}")
+        sides[side].append(fronts[side])
+        seen[side] = seen[side].unionByName(fronts[side])
+        # Before, no node was on both sides of an open pair; so all that meets now is halfway along a shortest path, and on the other side's outermost level.
+        a, b = len(sides["start"]) - 1, len(sides["goal"]) - 1
+        new = fronts[side].join(fronts[other], ["pair", "id"]).select("pair", "id", F.lit(a).alias("a"), F.lit(b).alias("b"))
+        met = met.unionByName(written(new, f"{where}/met{done + 1}"))
+        # A pair one of whose sides reaches nothing new has no path.
+        open_ = written(open_.join(fronts[side], "pair", "left_semi").join(met.select("pair"), "pair", "left_anti"), f"{where}/open{done + 1}")
+    met = written(met, f"{where}/met")
+    lengths = written(met.groupBy("pair").agg(F.max(F.col("a") + F.col("b")).alias("long"), F.max("a").alias("a")), f"{where}/lengths")
+    # Of the goal's side, the nodes on shortest paths, from those that met towards the goal: (pair, id, at), at the steps to the goal.
+    way = {k: [met.where(F.col("b") == k).select("pair", "id")] for k in range(len(sides["goal"]))}
+    for k in range(len(sides["goal"]) - 2, -1, -1):
+        from_ = reduce(DataFrame.unionByName, way[k + 1])
+        led = from_.select("pair", F.col("id").alias("source")).join(hops, "source").select("pair", F.col("target").alias("id")).distinct()
+        way[k].append(written(led.join(sides["goal"][k], ["pair", "id"], "left_semi"), f"{where}/way{k}"))
+    # From the goal back: the smallest predecessor on a shortest path, among those halves first and then on the start's side.
+    here = written(pairs.join(lengths, "pair").select("pair", F.col("long").alias("step"), F.col("goal").alias("id"), "long", "a"), f"{where}/trace0")
+    out, k = here.select("pair", "step", "id"), 0
+    while True:
+        k += 1
+        left = here.where("step > 0")
+        before = left.select("pair", "step", "long", "a", F.col("id").alias("target")).join(hops.withColumnRenamed("source", "id"), "target")
+        goal_side = reduce(DataFrame.unionByName, [x.select("pair", "id", F.lit(j).alias("j")) for j, parts in way.items() for x in parts])
+        start_side = reduce(DataFrame.unionByName, [x.select("pair", "id", F.lit(j).alias("j")) for j, x in enumerate(sides["start"])])
+        one = before.where("step > a").withColumn("j", F.col("long") - F.col("step") + 1).join(goal_side, ["pair", "id", "j"], "left_semi")
+        two = before.where("step <= a").withColumn("j", F.col("step") - 1).join(start_side, ["pair", "id", "j"], "left_semi")
+        here = one.unionByName(two).groupBy("pair", "step", "long", "a").agg(F.min("id").alias("id"))
+        here = written(here.select("pair", (F.col("step") - 1).alias("step"), "id", "long", "a"), f"{where}/trace{k}")
+        if not here.limit(1).count():
+            return out
+        out = out.unionByName(here.select("pair", "step", "id"))
 
 
 def _learning() -> list[Column]:
